@@ -158,7 +158,7 @@ def sources_and_evidence(entries: DataFrame, registry: DataFrame) -> DataFrame:
     """Per page, the sources used in registry order and the fields that
     corroboration rested on. ``registry``: source, ord."""
     used = (
-        entries.select("page_id", "source").distinct().join(F.broadcast(registry), "source")
+        entries.select("page_id", "source").distinct().join(registry, "source")
     )
     sources = used.groupBy("page_id").agg(
         F.array_sort(F.collect_list(F.struct("ord", "source"))).alias("s")

@@ -49,7 +49,7 @@ def work_class(claims: DataFrame, classes: DataFrame, class_property: str = "P31
     """Medium of the first best-rank class that is a class of works.
     ``classes``: class, medium (a registry)."""
     values = best_rank_values(claims.filter(F.col("property") == class_property))
-    hits = values.join(F.broadcast(classes), values["value_id"] == classes["class"])
+    hits = values.join(classes, values["value_id"] == classes["class"])
     return hits.groupBy("qid").agg(F.min_by("medium", F.struct("ord", "medium")).alias("medium"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("queries_measure", "queries_rank")
+MODULES = ("queries_measure", "queries_rank", "queries_match")
 
 
 def load_catalog():

@@ -55,11 +55,10 @@ def page_coverage(spark, sf):
         F.count("doi").alias("papers_total"),
         F.count_if(F.col("doi").isNotNull() & F.col("licensed")).alias("papers_open"),
     )
-    # Regions and nations are fixed, short lists.
     places = (
         table(spark, sf, "customer")
-        .join(F.broadcast(table(spark, sf, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
-        .join(F.broadcast(table(spark, sf, "region")), F.col("r_regionkey") == F.col("n_regionkey"))
+        .join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+        .join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
         .select(F.col("c_custkey").alias("page_id"), "r_name", "n_name")
     )
     return M.page_coverage(
