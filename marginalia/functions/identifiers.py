@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marginalia.functions.markup import let
+
 YEAR = "(?i)^[0-9]{4}[a-z]?$"
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.when(F.trim(text) != "", F.trim(text))
+    return F.nullif(F.trim(text), F.lit(""))
 
 
 def isbn_digits(text: Column) -> Column:
     """Digits and X only."""
-    isbn = F.upper(F.regexp_replace(text, "[^0-9Xx]", ""))
-    return F.when(isbn != "", isbn)
+    return F.nullif(F.upper(F.regexp_replace(text, "[^0-9Xx]", "")), F.lit(""))
 
 
 def valid_isbn(text: Column) -> Column:
@@ -40,6 +41,10 @@ def stated_year(params: Column) -> Column:
 
 def author_line(names: Column) -> Column:
     """One name; two or three joined with &; four cut to three and et al."""
+    return let(names, _author_line)
+
+
+def _author_line(names: Column) -> Column:
     count = F.size(names)
     head = F.array_join(F.slice(names, 1, F.greatest(count - 1, F.lit(0))), ", ")
     return (
@@ -52,7 +57,7 @@ def author_line(names: Column) -> Column:
 def host_of(url: Column) -> Column:
     """Lower-case host without www., null for anything that is no URL."""
     host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
-    return F.when(host != "", host)
+    return F.nullif(host, F.lit(""))
 
 
 def host_suffixes(host: Column) -> Column:

@@ -19,17 +19,22 @@ def _nested(depth: int) -> str:
         return f"(?:{OPEN_T}{_FLAT}*+{CLOSE_T}|{_INNER_L})"
     inner = _nested(depth - 1)
     return (
-        f"(?:{OPEN_T}(?:{_FLAT}|{inner})*+{CLOSE_T}"
-        f"|{OPEN_L}(?:{_FLAT}|{inner})*+{CLOSE_L})"
+        f"(?:{OPEN_T}(?:{_FLAT}++|{inner})*+{CLOSE_T}"
+        f"|{OPEN_L}(?:{_FLAT}++|{inner})*+{CLOSE_L})"
     )
 
 
 _BALANCED = _nested(3)
-TEMPLATE = f"{OPEN_T}(?:{_FLAT}|{_BALANCED})*+{CLOSE_T}"
-_PART = f"(?:^|\\|)((?:[^|{OPEN_T}{CLOSE_T}{OPEN_L}{CLOSE_L}]|{_BALANCED})*+)"
+TEMPLATE = f"{OPEN_T}(?:{_FLAT}++|{_BALANCED})*+{CLOSE_T}"
+_PART = f"(?:^|\\|)((?:[^|{OPEN_T}{CLOSE_T}{OPEN_L}{CLOSE_L}]++|{_BALANCED})*+)"
 REF_BODY = r"(?is)<ref\b[^>]*+(?<!/)>(.*?)</ref>"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def mark_nesting(text: Column) -> Column:
     for plain, mark in (("{{", OPEN_T), ("}}", CLOSE_T), ("[[", OPEN_L), ("]]", CLOSE_L)):
         text = F.replace(text, F.lit(plain), F.lit(mark))
@@ -49,8 +54,7 @@ def ref_bodies(wikitext: Column) -> Column:
 
 def first_template(marked: Column) -> Column:
     """The first complete template of a marked text, or null."""
-    found = F.regexp_extract(marked, f"({TEMPLATE})", 1)
-    return F.when(found != "", found)
+    return F.nullif(F.regexp_extract(marked, f"({TEMPLATE})", 1), F.lit(""))
 
 
 def template_parts(template: Column) -> Column:
@@ -70,22 +74,25 @@ def template_params(template: Column) -> Column:
             F.trim(F.substr(p, F.instr(p, "=") + 1)).alias("value"),
         ),
     )
-    last = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(
-            F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))),
-            lambda later: later["key"] == p["key"],
-        ),
-    )
-    return F.map_from_entries(last)
+
+    def last_of_each(found: Column) -> Column:
+        return F.filter(
+            found,
+            lambda p, i: ~F.exists(
+                F.slice(found, i + 2, F.size(found)), lambda later: later["key"] == p["key"]
+            ),
+        )
+
+    return F.map_from_entries(let(pairs, last_of_each))
 
 
 def positional_args(template: Column) -> Column:
     """Unnamed, non-empty arguments after the template's name."""
-    parts = template_parts(template)
-    rest = F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
+    rest = let(
+        template_parts(template), lambda parts: F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
+    )
     return F.filter(
-        F.transform(F.filter(rest, lambda p: F.instr(p, "=") == 0), F.trim), lambda p: p != ""
+        F.transform(F.filter(rest, lambda p: F.instr(p, "=") == 0), lambda t: F.trim(t)), lambda p: p != ""
     )
 
 
@@ -101,8 +108,7 @@ def strip_markup(text: Column) -> Column:
     plain = F.regexp_replace(plain, r"\[\[[^\]|]*+\|([^\]]*+)\]\]", "$1")
     plain = F.regexp_replace(plain, r"\[\[([^\]]*+)\]\]", "$1")
     plain = F.regexp_replace(plain, "'''?", "")
-    plain = F.trim(F.regexp_replace(strip_tags(plain), r"\s+", " "))
-    return F.when(plain != "", plain)
+    return F.nullif(F.trim(F.regexp_replace(strip_tags(plain), r"\s+", " ")), F.lit(""))
 
 
 def _decode_numeric(text: Column, pattern: str, base: int) -> Column:
@@ -114,7 +120,7 @@ def _decode_numeric(text: Column, pattern: str, base: int) -> Column:
         head = "&#" if base == 10 else "&#x"
         return F.replace(acc, F.concat(F.lit(head), code, F.lit(";")), char)
 
-    return F.when(text.contains("&#"), F.aggregate(codes, text, put)).otherwise(text)
+    return F.aggregate(codes, text, put)
 
 
 def decode_entities(text: Column) -> Column:

@@ -13,6 +13,7 @@ from marginalia.functions.identifiers import (
     host_suffixes,
     norm_doi,
 )
+from marginalia.functions.markup import let
 from marginalia.functions.ordering import top_k
 from marginalia.functions.places import earth_point, map_feature, tile
 from marginalia.functions.text import (
@@ -282,9 +283,11 @@ def subject_heading_match(forms: DataFrame, records: DataFrame) -> DataFrame:
 def subject_names_anchor(subject_tokens: Column, tokens: Column) -> Column:
     """Every token of the name is among the subject's tokens and its joined
     neighbours, or the name run together is."""
-    held = with_bigrams(subject_tokens)
-    whole = F.size(F.array_except(tokens, held)) == 0
-    return (F.size(tokens) > 0) & (whole | F.array_contains(held, F.array_join(tokens, "")))
+    def names(held: Column) -> Column:
+        whole = F.size(F.array_except(tokens, held)) == 0
+        return whole | F.array_contains(held, F.array_join(tokens, ""))
+
+    return (F.size(tokens) > 0) & let(with_bigrams(subject_tokens), names)
 
 
 def with_bigrams(tokens: Column) -> Column:

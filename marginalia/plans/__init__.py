@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("queries_measure", "queries_rank", "queries_match")
+MODULES = (
+    "queries_measure", "queries_rank", "queries_match", "queries_read", "queries_graph", "queries_stream",
+)
 
 
 def load_catalog():
