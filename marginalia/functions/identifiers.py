@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marginalia.functions.markup import let
+from marginalia.functions.markup import let, trim
 
 YEAR = "(?i)^[0-9]{4}[a-z]?$"
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.nullif(F.trim(text), F.lit(""))
+    return F.nullif(trim(text), F.lit(""))
 
 
 def isbn_digits(text: Column) -> Column:
@@ -34,7 +34,7 @@ def harvard_key(surname: Column, year: Column) -> Column:
 
 def stated_year(params: Column) -> Column:
     """The year parameter if it is one, else a four-digit word of the date."""
-    year = F.trim(params["year"])
+    year = trim(params["year"])
     from_date = F.regexp_extract(F.coalesce(params["date"], F.lit("")), r"\b(\d{4})\b", 1)
     return F.when(year.rlike(YEAR), year).when(from_date != "", from_date)
 
@@ -86,5 +86,5 @@ def citation_href(url: Column, doi: Column, archive_url: Column) -> Column:
 
 def entity_id(uri: Column) -> Column:
     """The entity id at the end of an entity URI, else null."""
-    found = F.regexp_extract(F.trim(uri), r"(Q\d+)$", 1)
+    found = F.regexp_extract(trim(uri), r"(Q\d+)$", 1)
     return F.when(found != "", found)

@@ -30,6 +30,11 @@ _PART = f"(?:^|\\|)((?:[^|{OPEN_T}{CLOSE_T}{OPEN_L}{CLOSE_L}]++|{_BALANCED})*+)"
 REF_BODY = r"(?is)<ref\b[^>]*+(?<!/)>(.*?)</ref>"
 
 
+def trim(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.trim(text, F.lit(" \t\n\r\u00a0"))
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -70,8 +75,8 @@ def template_params(template: Column) -> Column:
     pairs = F.transform(
         named,
         lambda p: F.struct(
-            F.lower(F.trim(F.substring_index(p, "=", 1))).alias("key"),
-            F.trim(F.substr(p, F.instr(p, "=") + 1)).alias("value"),
+            F.lower(trim(F.substring_index(p, "=", 1))).alias("key"),
+            trim(F.substr(p, F.instr(p, "=") + 1)).alias("value"),
         ),
     )
 
@@ -92,7 +97,7 @@ def positional_args(template: Column) -> Column:
         template_parts(template), lambda parts: F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
     )
     return F.filter(
-        F.transform(F.filter(rest, lambda p: F.instr(p, "=") == 0), lambda t: F.trim(t)), lambda p: p != ""
+        F.transform(F.filter(rest, lambda p: F.instr(p, "=") == 0), lambda t: trim(t)), lambda p: p != ""
     )
 
 
@@ -108,7 +113,7 @@ def strip_markup(text: Column) -> Column:
     plain = F.regexp_replace(plain, r"\[\[[^\]|]*+\|([^\]]*+)\]\]", "$1")
     plain = F.regexp_replace(plain, r"\[\[([^\]]*+)\]\]", "$1")
     plain = F.regexp_replace(plain, "'''?", "")
-    return F.nullif(F.trim(F.regexp_replace(strip_tags(plain), r"\s+", " ")), F.lit(""))
+    return F.nullif(trim(F.regexp_replace(strip_tags(plain), r"\s+", " ")), F.lit(""))
 
 
 def _decode_numeric(text: Column, pattern: str, base: int) -> Column:
@@ -135,7 +140,7 @@ def decode_entities(text: Column) -> Column:
 
 
 def one_line(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def html_text(html: Column) -> Column:

@@ -81,7 +81,7 @@ def stream_suppress_cooloff(spark, sf):
 
 @query(
     "ttl_first_seen",
-    f"""{REQ.replace('WITH', 'WITH RECURSIVE', 1)}, {_chain('true', '21600 * 1000000')}
+    f"""{REQ.replace('WITH', 'WITH RECURSIVE', 1)}, {_chain('true', '21600000000')}
 SELECT event_id, CAST(host AS VARCHAR) AS key, event_id NOT IN (SELECT event_id FROM ch) AS hit FROM v_requests""",
 )
 def ttl_first_seen(spark, sf):
