@@ -54,9 +54,12 @@ def _author_line(names: Column) -> Column:
     )
 
 
+_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*+://(?:[^/?#@\s]*+@)?([^/?#:@\s]+)"
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host without www., null for anything that is no URL."""
-    host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"^www\.", "")
     return F.nullif(host, F.lit(""))
 
 

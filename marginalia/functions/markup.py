@@ -52,14 +52,20 @@ def unmark_nesting(text: Column) -> Column:
     return text
 
 
-def ref_bodies(wikitext: Column) -> Column:
-    """Bodies of the refs that have one, in order."""
-    return F.regexp_extract_all(wikitext, F.lit(REF_BODY), F.lit(1))
-
-
-def first_template(marked: Column) -> Column:
-    """The first complete template of a marked text, or null."""
-    return F.nullif(F.regexp_extract(marked, f"({TEMPLATE})", 1), F.lit(""))
+def ref_templates(wikitext: Column) -> Column:
+    """Refs that have a body, in order: struct(ord, body, template). Body and
+    template are still marked; the template is the first complete one, or
+    empty. One pass over the text, however the result is filtered later."""
+    bodies = F.regexp_extract_all(
+        mark_nesting(F.coalesce(wikitext, F.lit(""))), F.lit(REF_BODY), F.lit(1)
+    )
+    return F.transform(
+        bodies,
+        lambda body, i: F.struct(
+            (i + 1).cast("bigint").alias("ord"), body.alias("body"),
+            F.regexp_extract(body, f"({TEMPLATE})", 1).alias("template"),
+        ),
+    )
 
 
 def template_parts(template: Column) -> Column:
@@ -117,15 +123,16 @@ def strip_markup(text: Column) -> Column:
 
 
 def _decode_numeric(text: Column, pattern: str, base: int) -> Column:
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
-
     def put(acc: Column, code: Column) -> Column:
         digits = F.conv(code, base, 16)
         char = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
         head = "&#" if base == 10 else "&#x"
         return F.replace(acc, F.concat(F.lit(head), code, F.lit(";")), char)
 
-    return F.aggregate(codes, text, put)
+    def codes(of: Column) -> Column:
+        return F.array_distinct(F.regexp_extract_all(of, F.lit(pattern), F.lit(1)))
+
+    return let(text, lambda t: F.when(t.contains("&#"), F.aggregate(codes(t), t, put)).otherwise(t))
 
 
 def decode_entities(text: Column) -> Column:

@@ -107,9 +107,12 @@ def place_items(items: DataFrame, links: DataFrame, edges: DataFrame, seeds: Dat
     subjects = seeds.join(items.select("page_id", "item_id"), ["page_id", "item_id"], "left_semi").select(
         "page_id", "item_id", F.lit(1).cast("bigint").alias("section_ord"), F.lit("article subject").alias("via")
     )
-    direct = subjects.unionByName(
-        linked.join(subjects, ["page_id", "item_id"], "left_anti")
-    ).withColumn("placement", F.lit("direct"))
+    # used three times below
+    direct = cut_lineage(
+        subjects.unionByName(
+            linked.join(subjects, ["page_id", "item_id"], "left_anti")
+        ).withColumn("placement", F.lit("direct"))
+    )
 
     # Edges seen from either end; each edge judged before it is grouped.
     geographic = (F.size("linked_via") > 0) & (

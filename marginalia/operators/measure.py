@@ -50,6 +50,16 @@ def page_coverage(
     return rolled.withColumn("depth", depth.cast("bigint")).drop("_gid")
 
 
+def hosts_under(hosts: DataFrame, bases: DataFrame) -> DataFrame:
+    """Distinct (host, slug): the partner base a host is or lies under."""
+    return (
+        hosts.select("host", F.explode(host_suffixes(F.col("host"))).alias("base"))
+        .join(bases, "base")
+        .select("host", "slug")
+        .distinct()
+    )
+
+
 def partner_tally(
     entries: DataFrame,
     footnotes: DataFrame,
@@ -65,15 +75,11 @@ def partner_tally(
     hosts = footnotes.select("page_id", host_of(F.col("access_url")).alias("host")).filter(
         "host IS NOT NULL"
     )
-    # One row per page and host before the suffixes multiply them.
-    hosts = hosts.groupBy("page_id", "host").agg(F.count("*").alias("notes"))
+    # Notes are counted per page and host, and every host is resolved once.
+    counted = hosts.groupBy("page_id", "host").agg(F.count("*").alias("notes"))
     bases = partners.filter(~F.col("slug").isin(*left_out)).select("slug", "base").distinct()
-    notes = (
-        hosts.select("page_id", "host", "notes", F.explode(host_suffixes(F.col("host"))).alias("base"))
-        .join(bases, "base")
-        .select("page_id", "slug", "host", "notes")
-        .distinct()
-        .select("page_id", "slug", F.lit(0).alias("cards"), "notes")
+    notes = counted.join(hosts_under(hosts.select("host").distinct(), bases), "host").select(
+        "page_id", "slug", F.lit(0).alias("cards"), "notes"
     )
     return (
         cards.unionByName(notes)
@@ -99,15 +105,13 @@ def visibility_report(
         F.bool_or("kartographer").alias("kartographer"),
         F.bool_or("identifier_bar").alias("identifier_bar"),
     )
-    suffixes = (
-        reach.filter("host IS NOT NULL")
-        .select("page_id", "host")
-        .distinct()
-        .select("page_id", F.explode(host_suffixes(F.col("host"))).alias("base"))
-        .distinct()
+    linked_hosts = reach.filter("host IS NOT NULL").select("page_id", "host").distinct()
+    general = linked_hosts.join(
+        hosts_under(linked_hosts.select("host").distinct(), hosts.filter("page_id IS NULL").select("slug", "base")), "host"
     )
-    general = suffixes.join(hosts.filter("page_id IS NULL").select("slug", "base"), "base")
-    carded = suffixes.join(hosts.filter("page_id IS NOT NULL"), ["page_id", "base"])
+    carded = linked_hosts.select(
+        "page_id", F.explode(host_suffixes(F.col("host"))).alias("base")
+    ).distinct().join(hosts.filter("page_id IS NOT NULL"), ["page_id", "base"])
     linked = (
         general.select("page_id", "slug")
         .unionByName(carded.select("page_id", "slug"))

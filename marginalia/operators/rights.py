@@ -87,13 +87,7 @@ def rights_summary(rights: DataFrame) -> DataFrame:
     """What a reader may conclude: leading status and licence, whether the
     work is free, bound or mixed, where, and whether the only thing recorded
     is that the question is open."""
-    work = F.col("work")
-    known = F.filter(work, lambda w: w["status"]["known"])
-    free = F.filter(known, lambda w: w["status"]["free"])
-    bound = F.filter(known, lambda w: ~w["status"]["free"])
-    open_only = F.filter(work, lambda w: ~w["status"]["known"])
-
-    def lead(of: Column) -> Column:
+    def lead(of: str) -> Column:
         ranked = F.array_sort(
             F.transform(
                 of,
@@ -105,7 +99,7 @@ def rights_summary(rights: DataFrame) -> DataFrame:
         )
         return F.get(ranked, F.lit(0))
 
-    def places(of: Column) -> Column:
+    def places(of: str) -> Column:
         named = F.array_distinct(
             F.filter(F.transform(of, lambda w: jurisdiction_phrase(w["jurisdiction"])), lambda p: p.isNotNull())
         )
@@ -114,33 +108,46 @@ def rights_summary(rights: DataFrame) -> DataFrame:
 
     best_licence = F.get(
         F.array_sort(
-            F.transform("licences", lambda x: F.struct(licence_rank(x["licence"]).alias("rank"), x["ord"].alias("ord"), x["licence"].alias("code")))
+            F.transform(
+                "licences",
+                lambda x: F.struct(
+                    licence_rank(x["licence"]).alias("rank"), x["ord"].alias("ord"), x["licence"].alias("code")
+                ),
+            )
         ),
         F.lit(0),
     )
 
-    def some(of: Column) -> Column:
+    def some(of: str) -> Column:
         return F.coalesce(F.size(of) > 0, F.lit(False))
 
-    creator = F.coalesce("creator.status.code", "self.status.code")
-    nothing_known = ~some(known) & F.col("licences").isNull() & creator.isNull()
-    return rights.select(
+    # Each intermediate list is a column of its own, so it is computed once.
+    split = rights.select(
         "item",
-        lead(known)["code"].alias("lead_status"),
-        best_licence["code"].alias("lead_licence"),
-        creator.alias("creator_status"),
-        some(free).alias("free"),
-        some(bound).alias("bound"),
-        (some(free) & some(bound)).alias("mixed"),
-        places(free).alias("free_in"),
-        places(bound).alias("bound_in"),
-        (nothing_known & some(open_only)).alias("open_question"),
-        F.when(
-            best_licence["code"].isNotNull()
-            & (lead(known)["code"].isNull() | (best_licence["rank"] <= lead(known)["rank"])),
-            licence_marks(best_licence["code"]),
-        )
-        .otherwise(F.coalesce(lead(known)["marks"], "creator.status.marks", "self.status.marks"))
+        F.filter("work", lambda w: w["status"]["known"]).alias("known"),
+        F.filter("work", lambda w: w["status"]["known"] & w["status"]["free"]).alias("free"),
+        F.filter("work", lambda w: w["status"]["known"] & ~w["status"]["free"]).alias("bound"),
+        F.filter("work", lambda w: ~w["status"]["known"]).alias("open"),
+        best_licence.alias("licence"),
+        F.coalesce("creator.status", "self.status").alias("person"),
+    ).withColumn("lead", lead("known"))
+    nothing_known = ~some("known") & F.col("licence").isNull() & F.col("person").isNull()
+    licence_leads = F.col("licence").isNotNull() & (
+        F.col("lead").isNull() | (F.col("licence.rank") <= F.col("lead.rank"))
+    )
+    return split.select(
+        "item",
+        F.col("lead.code").alias("lead_status"),
+        F.col("licence.code").alias("lead_licence"),
+        F.col("person.code").alias("creator_status"),
+        some("free").alias("free"),
+        some("bound").alias("bound"),
+        (some("free") & some("bound")).alias("mixed"),
+        places("free").alias("free_in"),
+        places("bound").alias("bound_in"),
+        (nothing_known & some("open")).alias("open_question"),
+        F.when(licence_leads, licence_marks(F.col("licence.code")))
+        .otherwise(F.coalesce("lead.marks", "person.marks"))
         .alias("marks"),
     )
 

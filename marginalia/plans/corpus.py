@@ -49,7 +49,11 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     further order, and a list of sources at the end."""
     rows = lines(spark, sf_dir)
     bodies = rows.groupBy("page_id", "section_ord").agg(
-        _joined(CITE_TEXT, "ord", " ").alias("wt"), _joined(LINE_HTML, "ord", "").alias("ht")
+        _joined(CITE_TEXT, "ord", " ").alias("wt"),
+        _joined(LINE_HTML, "ord", "").alias("ht"),
+        F.array_sort(F.collect_list(F.expr(f"CASE WHEN ln = 4 AND rf <> 'R' THEN struct(ord, {BIB_TEXT} AS t) END"))).alias("bib"),
+        F.collect_set(F.expr(NOTE_HTML)).alias("notes"),
+        F.collect_set(F.expr("CASE WHEN ln = 2 THEN 'https://www.' || host || '/p/' || key END")).alias("links"),
     )
     sections = sql_over(
         spark, sf_dir,
@@ -76,15 +80,21 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = Window.partitionBy("page_id").orderBy("section_ord").rowsBetween(Window.unboundedPreceding, -1)
     sections = sections.withColumn("offset", F.coalesce(F.sum(F.length("chunk")).over(before), F.lit(0)).cast("int"))
     pages = sections.groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct("section_ord", "chunk", "hchunk", "level", "stitle", "anchor", "offset"))).alias("s"),
+        F.array_sort(
+            F.collect_list(F.struct("section_ord", "chunk", "hchunk", "level", "stitle", "anchor", "offset", "bib", "notes", "links"))
+        ).alias("s"),
         F.sum(F.length("chunk")).cast("int").alias("len"),
     )
-    sources = rows.filter("ln = 4 AND rf <> 'R'").groupBy("page_id").agg(
-        _joined(BIB_TEXT, "section_ord * 1000 + ord", "\n").alias("bib")
-    )
-    notes = rows.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_set(F.expr(NOTE_HTML))), "").alias("notes"))
-    links = rows.filter("ln = 2").groupBy("page_id").agg(
-        F.array_sort(F.collect_set(F.concat(F.lit("https://www."), "host", F.lit("/p/"), "key"))).alias("links")
+
+    def every(field: str):
+        lists = F.transform(F.filter("s", lambda x: x[field].isNotNull()), lambda x: x[field])
+        return F.flatten(lists)
+
+    pages = pages.select(
+        "page_id", "s", "len",
+        F.array_join(F.transform(every("bib"), lambda x: x["t"]), "\n").alias("bib"),
+        F.array_join(F.array_sort(F.array_distinct(every("notes"))), "").alias("notes"),
+        F.array_sort(F.array_distinct(every("links"))).alias("links"),
     )
     infobox = """'<table class="infobox vcard"><tr><th>Artist</th><td><a href="/wiki/Mr_' || c_custkey || '">' || c_name || '</a><span style="display: none">hid<span>den</span>x</span></td></tr>'
       || '<tr><th>Inner</th><td><table><tr><th>a</th><td>b</td></tr></table></td></tr><tr><th colspan="2">Head only</th></tr>'
@@ -104,19 +114,19 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     return (
-        pages.join(sources, "page_id", "left").join(notes, "page_id", "left").join(links, "page_id", "left").join(customers, "page_id")
+        pages.join(customers, "page_id")
         .select(
             "page_id", "title",
             F.concat(
                 "infobox", "map", F.array_join(F.transform("s", lambda x: x["hchunk"]), ""),
-                F.lit('<h2 id="Sources">Sources</h2><ol class="references">'), F.coalesce("notes", F.lit("")), F.lit("</ol>"),
+                F.lit('<h2 id="Sources">Sources</h2><ol class="references">'), "notes", F.lit("</ol>"),
             ).alias("html"),
             F.concat(
-                F.array_join(F.transform("s", lambda x: x["chunk"]), ""), F.lit("== Sources ==\n"), F.coalesce("bib", F.lit(""))
+                F.array_join(F.transform("s", lambda x: x["chunk"]), ""), F.lit("== Sources ==\n"), "bib"
             ).alias("wikitext"),
             "templates",
             F.concat(
-                F.coalesce("links", F.array().cast("array<string>")), F.array(F.lit("https://web.archive.org/web/1"), F.lit("not a url"))
+                "links", F.array(F.lit("https://web.archive.org/web/1"), F.lit("not a url"))
             ).alias("externallinks"),
             F.concat(body, F.array(listed)).alias("sections"),
         )

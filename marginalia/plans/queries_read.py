@@ -10,7 +10,7 @@ from marginalia.operators import quality as Q
 from marginalia.plans import corpus as C
 from marginalia.plans.catalog import query
 from marginalia.plans.views import sql_over, table, view, with_views
-from marginalia.session import scratch_path
+from marginalia.session import cut_lineage, scratch_path
 from marginalia.sources import readers as RD
 from marginalia.sources import sinks as SK
 
@@ -23,9 +23,11 @@ b AS (SELECT st.page_id, st.section_ord, stitle, coalesce(wt, '') AS wt FROM st
 PAGES_WITH_CUSTOMER = "SELECT DISTINCT o_custkey AS page_id FROM orders"
 
 
-def sections(spark, sf):
-    """Every section by itself, subsections apart."""
-    return X.slice_sections(C.articles(spark, sf), stop_at=2)
+def sections(spark, sf, reused=False):
+    """Every section by itself, subsections apart; written out once where a
+    query reads it several times."""
+    every = X.slice_sections(C.articles(spark, sf), stop_at=2)
+    return cut_lineage(every) if reused else every
 
 
 @query(
@@ -101,8 +103,7 @@ POINTERS = """ptr AS (SELECT page_id, section_ord, row_number() OVER (PARTITION
 SHORT = "short AS (SELECT page_id, section_ord, min(ord) AS ord, key FROM ptr GROUP BY 1, 2, 4)"
 
 
-def short_resolved(spark, sf):
-    every = sections(spark, sf)
+def short_resolved(every):
     _, listed = X.body_sections(every)
     return J.resolve_short_cites(X.short_cites(every), X.bibliography(listed))
 
@@ -124,7 +125,7 @@ def bibliography(spark, sf):
 SELECT s.page_id, s.section_ord, s.ord, s.key, bib.title, bib.isbn FROM short s JOIN bib ON bib.page_id = s.page_id AND bib.key = s.key""",
 )
 def resolve_short_cites(spark, sf):
-    return short_resolved(spark, sf).select("page_id", "section_ord", "ord", "key", "title", "isbn")
+    return short_resolved(sections(spark, sf, reused=True)).select("page_id", "section_ord", "ord", "key", "title", "isbn")
 
 
 @query(
@@ -138,7 +139,8 @@ n AS (SELECT *, coalesce(isbn, oclc) AS cite_key, row_number() OVER (PARTITION B
 SELECT page_id, section_ord, ord, via_short, isbn, oclc, title, cite_key FROM n WHERE n = 1""",
 )
 def identified_cites(spark, sf):
-    return X.identified_cites(sections(spark, sf), short_resolved(spark, sf)).drop("lccn")
+    every = sections(spark, sf, reused=True)
+    return X.identified_cites(every, short_resolved(every)).drop("lccn")
 
 
 @query(
@@ -253,7 +255,7 @@ SELECT m.page_id, m.section_ord, 'k' || key AS name, first_ord AS block, CAST(fi
 FROM m LEFT JOIN acc ON acc.page_id = m.page_id AND acc.section_ord = m.section_ord AND acc.isbn = '9780' || key9""",
 )
 def footnotes(spark, sf):
-    pages = C.articles(spark, sf)
+    pages = cut_lineage(C.articles(spark, sf))
     blocks, _ = X.text_blocks(X.section_html(pages, stop_at=2), keep_markers=True)
     notes = J.footnotes(X.note_markers(blocks), X.reference_notes(pages), sql_over(spark, sf, ACCESS, "v_cites"))
     return notes.select("page_id", "section_ord", "name", F.col("ord.block").alias("block"), "num", "isbn", "access")
@@ -304,10 +306,11 @@ def reporter_cites(spark, sf):
 SELECT *, 0::BIGINT AS uncited_paragraphs FROM r""",
 )
 def citation_audit(spark, sf):
-    refs = X.ref_styles(sections(spark, sf)).withColumn(
+    pages = cut_lineage(C.articles(spark, sf))
+    refs = X.ref_styles(X.slice_sections(pages, stop_at=2)).withColumn(
         "url", F.when(F.col("url").contains("brand-9."), F.lit("https://en.wikipedia.org/wiki/X")).otherwise(F.col("url"))
     )
-    blocks, _ = X.text_blocks(X.section_html(C.articles(spark, sf), stop_at=2), keep_markers=True)
+    blocks, _ = X.text_blocks(X.section_html(pages, stop_at=2), keep_markers=True)
     marked = blocks.withColumn("has_marker", F.contains("html", F.lit('href="#cite_note-')))
     return Q.citation_audit(refs, marked)
 
