@@ -114,12 +114,15 @@ def strip_tags(text: Column) -> Column:
 
 
 def strip_markup(text: Column) -> Column:
-    """Links to their labels, bold and tags removed; empty becomes null."""
+    """Links to their labels, bold and tags removed; empty becomes null. Most
+    values hold no markup, and one look tells."""
+    marked = text.rlike(f"[{OPEN_T}-{CLOSE_L}<\\[']|\\s\\s|[\\t\\n\\r]")
     plain = unmark_nesting(text)
     plain = F.regexp_replace(plain, r"\[\[[^\]|]*+\|([^\]]*+)\]\]", "$1")
     plain = F.regexp_replace(plain, r"\[\[([^\]]*+)\]\]", "$1")
     plain = F.regexp_replace(plain, "'''?", "")
-    return F.nullif(trim(F.regexp_replace(strip_tags(plain), r"\s+", " ")), F.lit(""))
+    plain = trim(F.regexp_replace(strip_tags(plain), r"\s+", " "))
+    return F.nullif(F.when(marked, plain).otherwise(trim(text)), F.lit(""))
 
 
 def _decode_numeric(text: Column, pattern: str, base: int) -> Column:

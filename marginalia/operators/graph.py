@@ -121,7 +121,11 @@ def place_items(items: DataFrame, links: DataFrame, edges: DataFrame, seeds: Dat
     judged = edges.select(
         "page_id", "src", "dst", geographic.alias("_geo"), (F.col("type") == "location").alias("_loc")
     )
-    ends = undirected_edges(judged).withColumnRenamed("src", "item_id").withColumnRenamed("dst", "other")
+    both_ways = F.array(
+        F.struct(F.col("src").alias("item_id"), F.col("dst").alias("other")),
+        F.struct(F.col("dst").alias("item_id"), F.col("src").alias("other")),
+    )
+    ends = judged.select("page_id", F.inline(both_ways), "_geo", "_loc")
     by_item = ends.groupBy("page_id", "item_id").agg(
         F.bool_and("_geo").alias("_geo"), F.bool_and("_loc").alias("_loc")
     )
