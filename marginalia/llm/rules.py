@@ -6,6 +6,9 @@ much of its text that way is rejected, as is one that is too short or repeats it
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +27,15 @@ SENTENCE_END = r"[.!?…。！？:;][\"'”’»)\]*_]*[\x20\x09-\x0D]*$"
 STREWN = r"(?:[#*$%&|<>]{2}|!{2})[^\n]*?(?:[#*$%&|<>]{2}|!{2})[^\n]*?(?:[#*$%&|<>]{2}|!{2})"
 # Navigation: words set between separators, as in menus, breadcrumbs and tag lists.
 SEPARATED = r"\x20[|>»•·/]\x20[^\n]*?\x20[|>»•·/]\x20[^\n]*?\x20[|>»•·/]\x20"
+# What a line must hold to be strewn or separated: one look at the text spares most lines both rules.
+ODD = r"[#*$%&|<>!»•·/]"
 # Boilerplate: wording that belongs to the page and not to its text.
 BOILERPLATE = (
-    r"(?i)\ball rights reserved\b|\bcookie policy\b|\bprivacy policy\b|\bterms of (?:use|service)\b|\bclick here\b"
-    r"|\benable javascript\b|\bsubscribe to our\b|\bsign up for\b|\bread more\b|\bshare (?:this|on)\b|\bpowered by\b"
-    r"|\blorem ipsum\b|\bskip to (?:main )?content\b|\bback to top\b"
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "click here", "enable javascript",
+    "subscribe to our", "sign up for", "read more", "share this", "powered by", "lorem ipsum", "skip to content",
+    "skip to main content", "back to top",
 )
+TAIL = 12  # characters at a line's end in which its last sign is looked for
 
 
 def words(text: Column) -> Column:
@@ -40,12 +46,6 @@ def words(text: Column) -> Column:
     )
 
 
-def _without(text: Column, signs: str) -> Column:
-    for sign in signs:
-        text = F.replace(text, F.lit(sign), F.lit(""))
-    return text
-
-
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is worked out once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -54,10 +54,17 @@ def _let(value: Column, body) -> Column:
 def repeated_words(tokens: Column, width: int = WINDOW) -> Column:
     """How many words lie in a window of ``width`` words that occurs twice or more (all occurrences count).
 
-    Windows are compared by a 64-bit digest of their words' 64-bit digests."""
+    Windows are compared by a 64-bit digest of their words' 64-bit digests; ``width`` is a power of two."""
+
+    def doubled(step: int):
+        return lambda hashes: F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + step)))
 
     def windows(hashes: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(hashes) - (width - 1)), lambda i: F.xxhash64(F.slice(hashes, i, width)))
+        # Digests of 2, 4, ... words, each from two of half the width.
+        out, step = hashes, 1
+        while step < width:
+            out, step = _let(out, doubled(step)), step * 2
+        return F.slice(out, F.lit(1), F.size(hashes) - (width - 1))
 
     def covered(found: Column) -> Column:
         # Sorted by digest, an occurrence that is not the only one has an equal neighbour.
@@ -83,12 +90,26 @@ def repeated_words(tokens: Column, width: int = WINDOW) -> Column:
     return F.when(F.size(tokens) < width + 1, F.lit(0).cast("bigint")).otherwise(_let(_let(hashes, windows), count))
 
 
+def _mentions(text: Column) -> Column:
+    hits = [text.contains(phrase) for phrase in BOILERPLATE]
+    return reduce(or_, hits)
+
+
+def ends_well(line: Column) -> Column:
+    """Whether a line is blank or ends like a sentence."""
+    return F.right(line, F.lit(TAIL)).rlike(SENTENCE_END) | ~line.rlike(r"[^\x20\x09-\x0D]")
+
+
 def line_passes(line: Column) -> Column:
     """Whether a line stays: no rule speaks against it. A line without words passes."""
-    blank = F.length(F.btrim(line, F.lit(BLANKS))) == 0
-    return blank | (
-        line.rlike(SENTENCE_END) & ~line.rlike(STREWN) & ~line.rlike(SEPARATED) & ~line.rlike(BOILERPLATE)
-    )
+    bad = line.rlike(STREWN) | line.rlike(SEPARATED) | _mentions(F.lower(line))
+    return ends_well(line) & ~bad
+
+
+def passing_lines(text: Column) -> Column:
+    lines = F.split(text, "\n", -1)
+    suspect = text.rlike(ODD) | _mentions(F.lower(text))
+    return F.array_join(F.when(suspect, F.filter(lines, line_passes)).otherwise(F.filter(lines, ends_well)), "\n")
 
 
 def clean_lines(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
@@ -103,17 +124,16 @@ def clean_lines(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "n_lost", "kept"]
     df = docs.drop(*own)
     text, safe = F.col("text"), F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(safe, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
+    lines = F.filter(F.split(safe, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_words", words(text)).withColumn("_lines", lines)
-    clean = F.array_join(F.filter(F.split(text, "\n", -1), line_passes), "\n")
     df = df.select(
         *[c for c in df.columns if c not in ("_words", "_lines")],
         F.size("_words").cast("bigint").alias("n_words"),
-        F.length(_without(safe, BLANKS)).cast("bigint").alias("word_chars"),
-        (F.length(safe) - F.length(_without(safe, SYMBOLS))).cast("bigint").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
+        (F.length(safe) - F.length(F.translate(safe, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         repeated_words(F.col("_words")).alias("n_repeat_words"),
-        clean.alias("clean_text"),
+        passing_lines(text).alias("clean_text"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     left = F.coalesce(F.regexp_count("clean_text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
@@ -133,9 +153,9 @@ def cleaned_documents(docs: DataFrame, **options) -> DataFrame:
 
 _SQL_WORD = r"[^\x20\x09-\x0D]+"
 _SQL_END = r"""[.!?…。！？:;]["''”’»)\]*_]*[\x20\x09-\x0D]*$"""
-_SQL_PASS = f"""(NOT regexp_matches(line, '{_SQL_WORD}') OR (regexp_matches(line, '{_SQL_END}')
+_SQL_PASS = f"""(NOT regexp_matches(line, '{_SQL_WORD}') OR regexp_matches(right(line, {TAIL}), '{_SQL_END}'))
       AND NOT regexp_matches(line, '{STREWN}') AND NOT regexp_matches(line, '{SEPARATED}')
-      AND NOT regexp_matches(line, '{BOILERPLATE}')))"""
+      AND NOT regexp_matches(lower(line), '{'|'.join(BOILERPLATE)}')"""
 #: Over a relation ``documents``; also the first stage of the pipeline.
 RULES_CTE = rf"""
 rule_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS ord
