@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rules", "curriculum", "secrets")
+MODULES = ("rules", "packing", "curriculum", "secrets")
 
 
 def load_catalog():
