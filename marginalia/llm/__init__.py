@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("rules", "packing", "curriculum", "secrets")
+MODULES = ("topk", "rules", "packing", "curriculum", "secrets")
 
 
 def load_catalog():
