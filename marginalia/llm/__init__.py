@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "topk", "rules", "packing", "curriculum", "secrets")
+MODULES = ("quality", "topk", "rules", "packing", "curriculum", "secrets", "toxicity")
 
 
 def load_catalog():
