@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's terms are its distinct words, hashed. Beside a weight per term the machine learns a short vector per
+A text's terms are its distinct words and their stems, hashed. Beside a weight per term the machine learns a short vector per
 term; the inner product of two terms' vectors is the weight of their meeting in one text, so an
 insult weighs more beside a mention of a group than the two do apart."""
 
@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.registry import query, table
-from marginalia.llm.textbytes import chunks, flat, lower, prefix, stretch_digests, words
+from marginalia.llm.textbytes import chunks, flat, lower, mixed, prefix, stretch_digests, words
 
 SLOTS = 1 << 22
 SAMPLE_TOXIC, SAMPLE_OTHER = 4_000, 8_000
 TERMS = 4_096  # hashed terms that take part, those that tell the labels apart best
 FACTORS = 8
+STEM_BYTES = 5
 EPOCHS = 60
 SEED = 7
 
@@ -29,13 +30,16 @@ _BETWEEN = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
 def hashed_terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashed terms of every text, ascending, and where each text's begin (n + 1 places)."""
+    """The distinct hashed terms of every text (words, and the first bytes of longer ones as a stem), ascending, and where each text's begin (n + 1 places)."""
     data, offsets = flat(column)
     data = lower(data)
     starts, ends, cut = words(data, offsets, _BETWEEN)
-    slot = (stretch_digests(prefix(data), starts, ends) % np.uint64(SLOTS)).astype(np.int64)
+    sums, stems = prefix(data), starts + STEM_BYTES
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(cut))
-    both = np.unique(row * SLOTS + slot)
+    whole, long = stretch_digests(sums, starts, ends), stems < ends
+    stem = mixed(stretch_digests(sums, starts[long], stems[long]))
+    slot = (np.concatenate([whole, stem]) % np.uint64(SLOTS)).astype(np.int64)
+    both = np.unique(np.concatenate([row, row[long]]) * SLOTS + slot)
     return both % SLOTS, np.searchsorted(both // SLOTS, np.arange(len(offsets)))
 
 
