@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "topk", "rules", "jaccard", "packing", "curriculum", "secrets", "toxicity")
+MODULES = ("quality", "topk", "suffixes", "rules", "jaccard", "packing", "curriculum", "secrets", "toxicity")
 
 
 def load_catalog():
