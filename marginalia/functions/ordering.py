@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.session import cut_lineage, hot_group_rows
+from marginalia.session import cut_lineage
 
 ColumnLike = str | Column
 
@@ -31,31 +31,15 @@ def top_k(
     return out if rank else out.drop(name)
 
 
-def has_hot_group(df: DataFrame, by: Sequence[str], limit: int | None = None) -> bool:
-    """Whether any group is too large for one task: one partial aggregation
-    over the key columns alone."""
-    limit = hot_group_rows(df.sparkSession) if limit is None else limit
-    sizes = df.groupBy(*by).count().filter(F.col("count") > limit)
-    return not sizes.isEmpty()
-
-
 def rank_within(
-    df: DataFrame,
-    by: Sequence[str],
-    order: Sequence[ColumnLike],
-    name: str = "rank",
-    limit: int | None = None,
+    df: DataFrame, by: Sequence[str], order: Sequence[ColumnLike], name: str = "rank"
 ) -> DataFrame:
-    """row_number of every row in its group.
+    """row_number of every row in its group, for groups of any size.
 
-    Groups that fit one task use a window. If some group does not, the rows
-    are range-partitioned by (group, order); each range is numbered alone and
-    shifted by the group's rows in earlier ranges. A boundary can cut only one
-    group, so the shift table has fewer rows than there are ranges."""
+    The rows are range-partitioned by (group, order); each range is numbered
+    alone and shifted by the group's rows in earlier ranges. A boundary can cut
+    only one group, so the shift table has fewer rows than there are ranges."""
     by_cols, order_cols = _cols(by), _cols(order)
-    if by and not has_hot_group(df, by, limit):
-        window = Window.partitionBy(*by_cols).orderBy(*order_cols)
-        return df.withColumn(name, F.row_number().over(window).cast("bigint"))
     part = ordered_ranges(df, [*by_cols, *order_cols])
     shifts = range_shifts(part.groupBy("_range", *by).agg(F.count("*").alias("_n")), by, "_n")
     local = part.withColumn(
@@ -73,10 +57,6 @@ def running_sum(
     """Sum of ``value`` over the rows before and including each row, computed
     over ranges as in ``rank_within``; ``order`` must be a total order."""
     by_cols, order_cols = _cols(by), _cols(order)
-    if by and not has_hot_group(df, by):
-        window = Window.partitionBy(*by_cols).orderBy(*order_cols)
-        rows = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(name, F.sum(value).over(rows))
     part = ordered_ranges(df, [*by_cols, *order_cols])
     shifts = range_shifts(part.groupBy("_range", *by).agg(F.sum(value).alias("_n")), by, "_n")
     window = Window.partitionBy("_range", *by).orderBy(*order_cols)

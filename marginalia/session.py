@@ -8,10 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A group larger than this many rows is split over several tasks.
-HOT_GROUP_KEY = "marginalia.hotGroupRows"
-HOT_GROUP_ROWS = 1_000_000
-
 
 def build_session(app: str = "marginalia", cpus: str = "*", **conf: str) -> SparkSession:
     """A session with the settings every job here assumes. On a cluster the
@@ -33,18 +29,17 @@ def build_session(app: str = "marginalia", cpus: str = "*", **conf: str) -> Spar
     return spark
 
 
-def hot_group_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get(HOT_GROUP_KEY, str(HOT_GROUP_ROWS)))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables: the cluster's
     ``spark.checkpoint.dir`` if it names one, else the context's checkpoint
-    folder; a local folder is set only when neither exists."""
+    folder. Where neither exists, a local session gets a temporary folder; on a
+    cluster no machine's own folder would do, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if named is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             named = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         context.setCheckpointDir(named)
     return named or context.getCheckpointDir()

@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.ordering import rank_within, running_sum
@@ -19,14 +20,17 @@ def hot_rows(n=400, seed=1):
 
 def test_rank_within_split_equals_window(spark):
     df = spark.createDataFrame(hot_rows(), "g string, id long, v int")
-    plain = {(r.id, r.n) for r in rank_within(df, ["g"], ["v", "id"], "n").collect()}
-    split = {(r.id, r.n) for r in rank_within(df, ["g"], ["v", "id"], "n", limit=5).collect()}
+    plain = {
+        (r.id, r.n)
+        for r in df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("v", "id"))).collect()
+    }
+    split = {(r.id, r.n) for r in rank_within(df, ["g"], ["v", "id"], "n").collect()}
     assert plain == split and len(plain) == 400
 
 
 def test_rank_within_null_group_and_global(spark):
     df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2)], "g string, v int")
-    got = {(r.g, r.v, r.n) for r in rank_within(df, ["g"], ["v"], "n", limit=1).collect()}
+    got = {(r.g, r.v, r.n) for r in rank_within(df, ["g"], ["v"], "n").collect()}
     assert got == {(None, 1, 1), (None, 3, 2), ("a", 2, 1)}
     assert sorted((r.v, r.n) for r in rank_within(df, [], ["v"], "n").collect()) == [(1, 1), (2, 2), (3, 3)]
 
