@@ -24,8 +24,8 @@ from marginalia.session import cut_lineage
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 400_000
-SEARCH_NODES = 200_000
+CACHE_WORDS = 600_000  # of either generation
+SEARCH_NODES = 20_000
 FILLINGS = 24
 
 _encoders: dict[str, _Encoder] = {}
@@ -33,7 +33,8 @@ _encoders: dict[str, _Encoder] = {}
 
 class _Encoder:
     """Token ids of texts as little-endian bytes, by words: the tokenizer drops white space, so a text's ids are those of
-    its blank-separated words in turn. A bounded store keeps the ids of words met before."""
+    its blank-separated words in turn. A Latin word with one sign behind it is that word in lower case and that sign, for
+    the tokenizer lower-cases and cuts there itself. Two generations of a bounded store keep the ids of words met before."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -41,21 +42,55 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.signs = {c: self._one(c) for c in ".,;:!?"}
+
+    def _one(self, word: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_latin(self, stems: list[str]) -> None:
+        """Words of letters alone are one run of tokens each, so many are encoded in one go and cut behind the last tokens."""
+        groups = [stems[k : k + 200] for k in range(0, len(stems), 200)]
+        for some, found in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(found.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):
+                raw, at = ids.tobytes(), 0
+                for word, end in zip(some, (4 * ends).tolist(), strict=True):
+                    self.known[word] = raw[at:end]
+                    at = end
+            else:
+                self.known.update((word, self._one(word)) for word in some)
+
+    def _learn(self, new: set[str]) -> None:
         if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            for word, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[word] = np.asarray(found.ids, "<u4").tobytes()
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        back = new & old.keys()
+        known.update(zip(back, map(old.__getitem__, back), strict=True))
+        words = list(new - back)
+        signs = self.signs
+        stems = [w[:-1] if w[-1:] in signs else w for w in words]
+        latin = [s.isalpha() and (s.isascii() or max(s) < "\u0130") for s in stems]
+        stems = [s.lower() if ok else s for s, ok in zip(stems, latin, strict=True)]
+        missing = {s for s, ok in zip(stems, latin, strict=True) if ok} - known.keys()
+        back = missing & old.keys()
+        known.update(zip(back, map(old.__getitem__, back), strict=True))
+        self._learn_latin(list(missing - back))
+        known.update(
+            (w, known[s] + signs[w[-1]] if w[-1] in signs else known[s]) for w, s, ok in zip(words, stems, latin, strict=True) if ok
+        )
+        rest = [w for w, ok in zip(words, latin, strict=True) if not ok]
+        for word, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            known[word] = np.asarray(found.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         asked = set().union(*split)
-        if len(asked - self.known.keys()) + len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        self._learn([w for w in asked if w not in self.known])
+        self._learn(asked if len(asked) + len(self.known) > CACHE_WORDS else asked - self.known.keys())
         ids = self.known.__getitem__
         for parts in split:
             yield b"".join(map(ids, parts))
