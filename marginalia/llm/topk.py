@@ -18,7 +18,7 @@ from marginalia.llm.registry import query, table
 from marginalia.session import cut_lineage
 
 K = 20
-PIVOTS = 24
+PIVOTS = 16
 PIVOT_SAMPLE = 4096
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
@@ -76,29 +76,44 @@ def search_block(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """The best k of one block for every query: query ids, ids, scores, and how many scores were worked out.
 
-    Whole numbers in doubles are exact below 2**53; a slack of one covers the rounding of the roots."""
-    q_table, x_table = _distances(queries, pivots), _distances(vectors, pivots)
+    Whole numbers in doubles are exact below 2**53. The rounding of the distances, in proportion to
+    them, is taken off the bounds."""
+    q_table = _distances(queries, pivots).astype(np.float32)
+    x_table = np.ascontiguousarray(_distances(vectors, pivots).T, np.float32)
     q_square, x_square = (queries**2).sum(1), (vectors**2).sum(1)
+    if len(queries) and len(vectors) and q_square.max() * x_square.max() < 2.0**48:
+        queries, vectors = queries.astype(np.float32), vectors.astype(np.float32)  # sums stay below 2**24: exact
     out, scored = [], 0
     for a, q in enumerate(queries):
-        apart = np.zeros(len(vectors))
-        for p in range(x_table.shape[1]):
-            np.maximum(apart, np.abs(x_table[:, p] - q_table[a, p]), out=apart)
-        bound = (q_square[a] + x_square - np.maximum(apart - 1e-6, 0) ** 2) / 2 + 1
-        order = np.argsort(-bound)
-        best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
-        at, step = 0, max(STEP, 2 * k)
-        while at < len(order) and not (len(best_s) >= k and bound[order[at]] < best_s[-1]):
-            some = order[at : at + step]
-            some = some[ids[some] != qids[a]]
-            scores = vectors[some] @ q
+        apart = np.abs(x_table - q_table[a][:, None]).max(0) if len(x_table) else np.zeros(len(vectors))
+        slack = 1e-6 * (apart + q_table[a].max(initial=0)) + 1e-3
+        apart = np.maximum(apart - slack, 0)
+        bound = (q_square[a] + x_square - apart * apart) / 2 + 1
+        bound[ids == qids[a]] = -np.inf
+        best_s, best_i = np.zeros(0, vectors.dtype), np.zeros(0, np.int64)
+        left, step = np.ones(len(vectors), bool), max(STEP, 2 * k)
+        while True:
+            # Of what is left only bounds that reach the k-th score count, and of these the highest come first.
+            least = best_s[-1] if len(best_s) >= k else -np.inf
+            some = np.flatnonzero(left & (bound >= least) & (bound > -np.inf))
+            if not len(some):
+                break
+            if len(some) > step:
+                some = some[np.argpartition(-bound[some], step - 1)[:step]]
+            left[some] = False
+            # A product with the whole block is cheaper than one with most of its rows picked out.
+            scores = (vectors @ q)[some] if 4 * len(some) > len(vectors) else vectors[some] @ q
             scored += len(some)
-            best_s, best_i = np.concatenate([best_s, scores]), np.concatenate([best_i, ids[some]])
+            good = scores >= least
+            best_s, best_i = np.concatenate([best_s, scores[good]]), np.concatenate([best_i, ids[some[good]]])
+            if len(best_s) > k:
+                top = best_s >= np.partition(best_s, len(best_s) - k)[len(best_s) - k]
+                best_s, best_i = best_s[top], best_i[top]
             keep = np.lexsort((best_i, -best_s))[:k]
             best_s, best_i = best_s[keep], best_i[keep]
-            at, step = at + step, step * 2
+            step *= 16
         out.append((np.full(len(best_i), qids[a]), best_i, best_s.astype(np.int64)))
-    parts = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 3
+    parts = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
     return *parts, scored
 
 
