@@ -4,8 +4,9 @@ import pytest
 from compare import compare
 
 import __spark_entry__ as entry
+from marginalia.plans import load_catalog
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load_catalog()
 SF = "/root/testdata/sf0.001"
 # In the smallest tables some lines tie on every ordering column.
 TIED = {"attach_rights": "/root/testdata/sf0.01"}

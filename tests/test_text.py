@@ -158,3 +158,75 @@ def test_prose_links_cap_and_jargon(spark):
     df = spark.createDataFrame([(1, 1, '<a href="/wiki/OCLC">o</a>' + html)], "page_id long, section_ord long, html string")
     rows = X.prose_links(df).orderBy("ord").collect()
     assert [r.title for r in rows] == [f"T {i}" for i in range(24)]
+
+
+# --- nesting of any depth, markup left open ------------------------------------------
+
+
+def _cites(spark, wikitext):
+    from marginalia.operators.extract import citations
+
+    df = spark.createDataFrame([(1, 1, wikitext)], "page_id long, section_ord long, wikitext string")
+    return [(r.ord, r.kind, r.title, r.isbn) for r in citations(df).orderBy("ord").collect()]
+
+
+def test_citations_at_any_depth_and_with_open_links(spark):
+    deep = "{{a|" * 10 + "x" + "}}" * 10
+    assert _cites(spark, f"<ref>{{{{cite book|title={deep}|isbn=1234567890}}}}</ref>")[0][3] == "1234567890"
+    kept = _cites(spark, "<ref>{{cite book|title=[[A|isbn=1234567890}}</ref>")
+    assert len(kept) == 1 and kept[0][3] is None
+    assert _cites(spark, "<ref>{{note {{cite book|title=B}}</ref>") == []
+    assert _cites(spark, "<ref>{{cite web|title=A\u0001\u0002B}}</ref><ref>open {{cite web|title=C}}") == [(1, "web", "AB", None)]
+
+
+def test_bibliography_reads_nested_entries(spark):
+    from marginalia.operators.extract import bibliography
+
+    text = "{{refbegin|{{cite book|last=Roe|year=1999|isbn=9780306406157|title={{a|{{b|{{c|{{d|{{e|x}}}}}}}}}} }}}} {{cite book|last=Open|year=2001"
+    df = spark.createDataFrame([(1, 2, text)], "page_id long, section_ord long, wikitext string")
+    assert [r.isbn for r in bibliography(df).collect()] == ["9780306406157"]
+
+
+def test_infobox_at_any_depth(spark):
+    from marginalia.operators.extract import infobox_links, infobox_rows
+
+    inner = "<table><tr><th>no</th><td>x</td></tr>" * 7 + "</table>" * 7
+    shown = '<span style="display: none">' + "<span>h</span>" * 6 + "</span>"
+    html = (
+        f'<table class="infobox"><tr><th>Born</th><td>1900{shown}</td></tr>{inner}<tr><th>Place</th>'
+        '<td><a href="/wiki/Rome">Rome</a></td></tr></table><a href="/wiki/Out">out</a>'
+    )
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert [(r.label, r.value) for r in infobox_rows(df).orderBy("ord").collect()] == [("Born", "1900"), ("Place", "Rome")]
+    assert [r.title for r in infobox_links(df).collect()] == ["Rome"]
+
+
+def test_blocks_with_markup_left_open(spark):
+    from marginalia.operators.extract import prose_links, text_blocks
+
+    html = (
+        "<p>One <table>gone</table> two.</p><table>cut <table> deep</table><h3>Head</h3><div class=\"x hatnote\">off</div>"
+        '<p>See <a href="/wiki/A">A</a><sup>1</sup></p><p>open <a href="/wiki/B">B</a><table><p'
+    )
+    df = spark.createDataFrame([(1, 1, html)], "page_id long, section_ord long, html string")
+    blocks, _ = text_blocks(df)
+    assert [(r.kind, r.text) for r in blocks.orderBy("ord").collect()] == [("p", "One two."), ("h", "Head"), ("p", "See A")]
+    assert [r.title for r in prose_links(df).orderBy("ord").collect()] == ["A", "B"]
+
+
+def test_open_markup_costs_linear_time(spark):
+    import time
+
+    from marginalia.operators.extract import citations, infobox_rows, prose_links, text_blocks
+
+    def took(n, unit):
+        df = spark.createDataFrame(
+            [(1, 1, unit * n, unit * n)], "page_id long, section_ord long, html string, wikitext string"
+        )
+        began = time.perf_counter()
+        text_blocks(df)[0].count(), prose_links(df).count(), infobox_rows(df).count(), citations(df).count()
+        return time.perf_counter() - began
+
+    for unit in ('<div class="hatnote">', "<table ", '<span class="geo" ', "<p>", "<ref>{{cite book|"):
+        took(100, unit)
+        assert took(16_000, unit) < 8 * took(4_000, unit) + 2
