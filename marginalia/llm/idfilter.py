@@ -4,39 +4,50 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLOTS = 1 << 25  # bits: 4 MB, whatever the number of ids
+SLOTS = 1 << 26  # bits: 8 MB, whatever the number of ids
 _BUCKET = 1 << 15
 
 
-def _slot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(SLOTS))
+def _slot(key: Column, digest: bool) -> Column:
+    return F.pmod(key if digest else F.xxhash64(key), F.lit(SLOTS))
 
 
-def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """One bit per slot that some id of the table falls in. More ids than slots fill it: then it keeps all rows."""
-    slots = ids.select(_slot(F.col(column)).alias("s"))
+def id_bitmap(ids: DataFrame, column: str, digest: bool = False) -> np.ndarray:
+    """One bit per slot that some id of the table falls in. More ids than slots fill it: then it keeps all rows.
+    ``digest``: the ids are evenly spread numbers themselves."""
+    slots = ids.select(_slot(F.col(column), digest).alias("s"))
     rows = (
         slots.groupBy((F.col("s") / _BUCKET).cast("int").alias("k"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("s"))).alias("bits"))
-        .collect()
+        .toLocalIterator()
     )
-    # Places within a bucket count from the slot after a multiple of its size; bits are read with the same function below.
     out = np.zeros(SLOTS // 8, np.uint8)
     for r in rows:
         out[r["k"] * (_BUCKET // 8) : (r["k"] + 1) * (_BUCKET // 8)] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def _bits(bitmap: np.ndarray, k: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return ((bitmap[k * (_BUCKET // 8) + p // 8] >> (p % 8).astype(np.uint8)) & 1) == 1
+
+
+def digests_in(bitmap: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """For a bitmap over digests: False only for those that are not in the table behind it."""
+    slot = (digests.view(np.uint64) & np.uint64(SLOTS - 1)).astype(np.int64)
+    # The column function counts places within a bucket from one.
+    return _bits(bitmap, slot // _BUCKET, np.where(slot > 0, (slot - 1) % _BUCKET, 0))
+
+
 def maybe_in(bitmap: np.ndarray, key: Column) -> Column:
     """False only for keys that are not in the table behind the bitmap. Only the key goes through Python."""
+    held = SparkSession.active().sparkContext.broadcast(bitmap)
 
     @F.pandas_udf("boolean")
     def hit(bucket: pd.Series, position: pd.Series) -> pd.Series:
-        k, p = bucket.to_numpy(np.int64), position.to_numpy(np.int64)
-        return pd.Series(((bitmap[k * (_BUCKET // 8) + p // 8] >> (p % 8).astype(np.uint8)) & 1) == 1)
+        return pd.Series(_bits(held.value, bucket.to_numpy(np.int64), position.to_numpy(np.int64)))
 
-    slot = _slot(key)
+    slot = _slot(key, False)
     return hit((slot / _BUCKET).cast("int"), F.bitmap_bit_position(slot))

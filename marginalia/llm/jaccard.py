@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.ordering import top_k
 from marginalia.llm.components import components
-from marginalia.llm.idfilter import id_bitmap, maybe_in
+from marginalia.llm.idfilter import digests_in, id_bitmap, maybe_in
 from marginalia.llm.registry import query, table
 from marginalia.llm.textbytes import chunks, flat, lower, mixed, prefix, stretch_digests, words
 from marginalia.session import cut_lineage
@@ -27,9 +27,11 @@ from marginalia.session import cut_lineage
 WIDTH = 3
 PERCENT = 90
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
+SKETCH_BITS = 2048  # of the signatures that go to every part a set shares
+SKETCHED_SETS = 256  # sets in a part that are compared by signature before they are grouped
 PIVOTS = 8
 FAN_OUT = 4
-_GROWTH = 1.35
+_GROWTH = 1.6
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -69,9 +71,12 @@ class Parts:
     """Digests of the parts of sets, such that two sets that link have one in common.
 
     If the smaller set of a linked pair has a shingles, the two differ in a · (100 - percent) / percent at most. Sizes are dealt into
-    classes; a class splits the digest space into one part more than its sets may differ in. A set stands in its own class and in
-    those below that a smaller partner may be in. A part that is empty in both says little: its sets then agree in a part of a
-    second split of all their shingles, and stand under that."""
+    classes; a class splits the digest space into more parts than its sets may differ in. A set stands in its own class and in
+    those below that a smaller partner may be in.
+
+    A part that is empty in both says little. A class has some parts to spare, so that sets with no more holes than
+    that agree in a part that is none. A set with more holes also stands under each hole with the parts of a second split of all its
+    shingles: sets that agree in a hole agree in one of these."""
 
     def __init__(self, percent: int = PERCENT):
         self.percent = percent
@@ -82,18 +87,23 @@ class Parts:
             self.lows.append(max(self.lows[-1] + 1, int(self.lows[-1] * _GROWTH)))
         return int(np.searchsorted(self.lows, size, "right")) - 1
 
-    def count(self, number: int) -> int:
-        """Parts of a class: the most its sets may differ in, and one."""
-        return (self.lows[number + 1] - 1) * (100 - self.percent) // self.percent + 1
+    def count(self, number: int) -> tuple[int, int]:
+        """Parts of a class and how many of them are to spare; no parts if the class links equal sets alone."""
+        apart = (self.lows[number + 1] - 1) * (100 - self.percent) // self.percent
+        if not apart:
+            return 0, 0
+        holes = (apart + 1) * (1 - 1 / (apart + 1)) ** self.lows[number]
+        spare = int(np.ceil(holes + 2 * np.sqrt(holes))) if holes > 0.05 else 0
+        return apart + 1 + spare, spare
 
     def keys(self, held: np.ndarray) -> np.ndarray:
         size = len(held)
         top = self._class(size)
         out = []
         for number in range(self._class(-(-size * self.percent // 100)), top + 1):
-            parts = self.count(number)
-            if parts > 1:  # else the class links equal sets alone
-                out.append(self._split(held, number, parts))
+            parts, spare = self.count(number)
+            if parts:
+                out.append(self._split(held, number, parts, spare))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
     def _contents(self, held: np.ndarray, parts: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,17 +116,17 @@ class Parts:
         ends = np.cumsum(count)
         return sums[ends] - sums[ends - count], count
 
-    def _split(self, held: np.ndarray, number: int, parts: int) -> np.ndarray:
+    def _split(self, held: np.ndarray, number: int, parts: int, spare: int) -> np.ndarray:
         sums, count = self._contents(held, parts, 0x51F15EED)
         label = np.uint64(number) << np.uint64(40)
         at = np.arange(parts, dtype=np.uint64)
         key = mixed(sums + mixed(label + at))
-        if count.all():
-            return key
-        again, _ = self._contents(held, parts, 0x2C0FFEE)
+        holes = np.flatnonzero(count == 0)
         out = [key[count > 0]]
-        for hole in np.flatnonzero(count == 0):
-            out.append(mixed(again + mixed(label + at + (np.uint64(hole + 1) << np.uint64(20)))))
+        if len(holes) > spare:
+            again, _ = self._contents(held, parts, 0x2C0FFEE)
+            for hole in holes:
+                out.append(mixed(again + mixed(mixed(label + at) + np.uint64(hole + 1))))
         return np.concatenate(out)
 
 
@@ -124,17 +134,10 @@ class Tree:
     """Levels of nodes over sets, leaves first; every level's arrays hold OR-combined signatures, least and largest size,
     and the most shingles that a member's signature hides behind others."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        sizes = np.array([len(s) for s in sets], np.int64)
-        least = np.array([s[0] for s in sets], np.uint64)
-        self.order = np.lexsort((sizes, least))  # sets that share their least digest are likely near
-        self.sets = [sets[i] for i in self.order]
-        sizes = sizes[self.order]
-        flags = np.zeros((len(sets), bits), bool)
-        flags[np.repeat(np.arange(len(sets)), sizes), (np.concatenate(self.sets) & np.uint64(bits - 1)).astype(np.int64)] = True
-        signs = np.packbits(flags, axis=1).view(np.uint64)
-        hidden = sizes - np.bitwise_count(signs).sum(1)
-        self.levels = [(signs, sizes, sizes, hidden)]
+    def __init__(self, signs: np.ndarray, sizes: np.ndarray, near: np.ndarray):
+        self.order = np.lexsort((sizes, near))
+        signs, sizes = signs[self.order], sizes[self.order]
+        self.levels = [(signs, sizes, sizes, sizes - np.bitwise_count(signs).sum(1))]
         while len(self.levels[-1][0]) > 1:
             signs, low, high, hidden = self.levels[-1]
             at = np.arange(0, len(signs), FAN_OUT)
@@ -143,6 +146,13 @@ class Tree:
             )
 
 
+def signatures(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """A bitmap per set: the low bits of its digests, as rows of 64-bit words."""
+    flags = np.zeros((len(sets), bits), bool)
+    flags[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), (np.concatenate(sets) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags, axis=1).view(np.uint64)
+
+
 def _needed(sizes: np.ndarray, percent: int) -> np.ndarray:
     """The overlap that two sets of that many shingles together need to link."""
     return -(-percent * sizes // (100 + percent))
@@ -246,7 +256,10 @@ def link_block(sets: list[np.ndarray], labels: np.ndarray, side: np.ndarray | No
     places = [np.arange(len(sets))] if side is None else [np.flatnonzero(side == 0), np.flatnonzero(side == 1)]
     if any(not len(p) for p in places):
         return links.all()
-    trees = [Tree([sets[i] for i in p], bits) for p in places]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    least = np.array([s[0] for s in sets], np.uint64)  # sets that share their least digest are likely near
+    signs = signatures(sets, bits)
+    trees = [Tree(signs[p], sizes[p], least[p]) for p in places]
     ids = [p[t.order] for p, t in zip(places, trees, strict=True)]
 
     def join(x: int, y: int) -> None:
@@ -264,28 +277,50 @@ def link_block(sets: list[np.ndarray], labels: np.ndarray, side: np.ndarray | No
     return links.all()
 
 
-def _set_table(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """doc_id, n_shingles, node (a digest of the set; null: empty), keys (digests of its parts)."""
+def _set_table(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n_shingles, node (a digest of the set; null: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(percent)
         for whole in batches:
             for batch in chunks(whole):
                 digests, cuts = shingle_sets(batch.column("text"), width)
-                nodes, keys = [], []
-                for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
-                    held = digests[a:b]
-                    nodes.append(int(node_of(held)) if b > a else None)
-                    keys.append(parts.keys(held).view(np.int64) if b > a else np.zeros(0, np.int64))
-                ends = np.cumsum([0, *[len(k) for k in keys]]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
+                nodes = [int(node_of(digests[a:b])) if b > a else None for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(np.diff(cuts).astype(np.int64)), pa.array(nodes, pa.int64()), lists],
-                    ["doc_id", "n_shingles", "node", "keys"],
+                    [batch.column("doc_id"), pa.array(np.diff(cuts).astype(np.int64)), pa.array(nodes, pa.int64())],
+                    ["doc_id", "n_shingles", "node"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint")
+
+
+def _part_rows(docs: DataFrame, percent: int, width: int, asked: np.ndarray | None = None) -> DataFrame:
+    """key, node: the parts of every set, once per batch for equal sets. ``asked``: a bitmap over the keys that matter."""
+    held_asked = docs.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, wanted = Parts(percent), held_asked.value
+        for whole in batches:
+            seen: set[int] = set()
+            for batch in chunks(whole):
+                digests, cuts = shingle_sets(batch.column("text"), width)
+                nodes, keys = [], []
+                for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                    node = int(node_of(digests[a:b])) if b > a else None
+                    if node is None or node in seen:
+                        continue
+                    seen.add(node)
+                    nodes.append(node)
+                    keys.append(parts.keys(digests[a:b]))
+                if not keys:
+                    continue
+                key, node = np.concatenate(keys).view(np.int64), np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])
+                if wanted is not None:
+                    some = digests_in(wanted, key)
+                    key, node = key[some], node[some]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
+
+    return docs.select("text").mapInArrow(run, "key bigint, node bigint")
 
 
 def node_of(held: np.ndarray) -> np.int64:
@@ -308,23 +343,32 @@ def _sets_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node bigint, held binary")
 
 
-def _link_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between sets of one component of a block. ``rows``: block (a digest), node, label, side (null: all pairs), held."""
+def _sketches_of(docs: DataFrame, width: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole):
+                digests, cuts = shingle_sets(batch.column("text"), width)
+                held = [digests[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False) if b > a]
+                if held:
+                    signs = signatures(held, SKETCH_BITS)
+                    columns = [[int(node_of(h)) for h in held], [x.tobytes() for x in signs], [len(h) for h in held]]
+                    types = (pa.int64(), pa.binary(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["node", "sketch", "size"])
 
-    def finish(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(parts).to_pydict()
-        once = {node: k for k, node in enumerate(rows["node"])}
-        at = sorted(once.values())
-        nodes = np.array([rows["node"][k] for k in at], np.int64)
-        sets = [np.frombuffer(rows["held"][k], np.uint64) for k in at]
-        sides = [rows["side"][k] for k in at]
-        side = None if sides[0] is None else np.array(sides)
-        root = link_block(sets, np.array([rows["label"][k] for k in at], np.int64), side, percent)
-        moved = root != np.arange(len(root))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["a", "b"])
+    return docs.select("text").mapInArrow(run, "node bigint, sketch binary, size bigint")
+
+
+def _by_block(finish, columns: list[str]):
+    """Runs ``finish`` over the rows of each block; rows come sorted by block, and a block may reach over batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
+
+        def out() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).to_pydict()
+            at = sorted({node: k for k, node in enumerate(rows["node"])}.values())
+            return finish({c: [rows[c][k] for k in at] for c in columns})
+
         for batch in batches:
             block = batch.column("block").to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
@@ -332,15 +376,72 @@ def _link_blocks(rows: DataFrame, percent: int) -> DataFrame:
                 if a == b:
                     continue
                 if current is not None and block[a] != current:
-                    yield finish(held)
+                    yield out()
                     held = []
                 current = block[a]
                 held.append(batch.slice(a, b - a))
         if held:
-            yield finish(held)
+            yield out()
+
+    return run
+
+
+def _forest(nodes: list[int], root: np.ndarray) -> pa.RecordBatch:
+    ids, moved = np.array(nodes, np.int64), root != np.arange(len(root))
+    return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["a", "b"])
+
+
+def _sketch_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that join the sets of a block which may link as far as their signatures tell. ``rows``: block, node, sketch, size."""
+
+    def finish(c: dict) -> pa.RecordBatch:
+        signs = np.frombuffer(b"".join(c["sketch"]), np.uint64).reshape(len(c["node"]), -1)
+        tree = Tree(signs, np.array(c["size"], np.int64), signs[:, 0])
+        links = Links(np.arange(len(signs)))
+        i, j = dual_walk(tree, tree, np.arange(len(signs)), np.arange(len(signs)), percent)
+        for x, y in zip(tree.order[i].tolist(), tree.order[j].tolist(), strict=True):
+            a, b = links.root(x), links.root(y)
+            links.up[max(a, b)] = min(a, b)
+        return _forest(c["node"], links.all())
+
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_by_block(finish, ["node", "sketch", "size"]), "a bigint, b bigint")
+
+
+def _link_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between sets of one component of a block. ``rows``: block (a digest), node, label, side (null: all pairs), held."""
+
+    def finish(c: dict) -> pa.RecordBatch:
+        sets = [np.frombuffer(x, np.uint64) for x in c["held"]]
+        side = None if c["side"][0] is None else np.array(c["side"])
+        return _forest(c["node"], link_block(sets, np.array(c["label"], np.int64), side, percent))
 
     spread = rows.repartition("block").sortWithinPartitions("block")
-    return spread.mapInArrow(run, "a bigint, b bigint")
+    return spread.mapInArrow(_by_block(finish, ["node", "held", "label", "side"]), "a bigint, b bigint")
+
+
+def candidate_edges(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Edges (a, b) between digests of sets, such that sets that link are in one component.
+
+    Equal parts gather sets. Parts with the same sets count once; their sets are joined where their signatures, walked as a
+    tree, let them link. In parts of very many sets all are joined to the least."""
+    shared = cut_lineage(
+        _part_rows(docs, percent, width).groupBy("key")
+        .agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("n"), F.bit_xor("node").alias("x"))
+        .filter("leader < last").groupBy("leader", "last", "n", "x").agg(F.min("key").alias("key"))
+    )
+    # Two sets of a part are known by now. Parts with more are few: only their rows are dealt out once more.
+    two = shared.filter("n = 2").select(F.col("key").alias("block"), F.explode(F.array("leader", "last")).alias("node"))
+    more = shared.filter("n > 2").select("key", "leader", "n")
+    rows = cut_lineage(_part_rows(docs, percent, width, id_bitmap(more, "key", digest=True)).join(more, "key"))
+    small = two.unionAll(rows.filter(F.col("n") <= SKETCHED_SETS).select(F.col("key").alias("block"), "node")).distinct()
+    nodes = small.select("node").distinct()
+    # Texts are read again for the sets that share a part; their rows alone are dealt out.
+    sketches = _sketches_of(docs, width).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    edges = _sketch_blocks(small.join(sketches, "node"), percent)
+    star = rows.filter(F.col("n") > SKETCHED_SETS).select("leader", "node").distinct()
+    low = star.groupBy("node").agg(F.min("leader").alias("low"))
+    to_low = star.join(low, "node").select(F.col("leader").alias("a"), F.col("low").alias("b")).distinct()
+    return edges.unionAll(low.select(F.col("node").alias("a"), F.col("low").alias("b"))).unionAll(to_low).distinct()
 
 
 def link_similar(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, block_sets: int = BLOCK_SETS) -> DataFrame:
@@ -353,16 +454,13 @@ def link_similar(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bl
     Equal sets are one node from the start. A large group of near sets is dealt into blocks with some pivots (the sets that
     agree in most parts) in each, so well linked groups are joined by work in proportion to their size; what is then in more than one
     component is walked, block of the smaller components by block of all, so no link is lost."""
-    sets = cut_lineage(_set_table(docs, percent, width))
-    parts = sets.filter("node is not null").select("node", F.explode("keys").alias("key"))
-    shared = parts.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_last"), F.count("*").alias("n")).filter("leader < _last")
-    met = parts.join(shared.select("key", "leader", "n"), "key").groupBy("node", "leader").agg(F.sum("n").alias("met"))
-    met = cut_lineage(met)
-    groups = components(met.select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    sets = cut_lineage(_set_table(docs, width))
+    near_edges = cut_lineage(candidate_edges(docs, percent, width))
+    groups = components(near_edges)
 
     # The sets of all nodes in groups: one document of each node is read again.
     found = sets.join(groups, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.first("label").alias("group"))
-    popular = met.groupBy("node").agg(F.sum("met").alias("met"))
+    popular = near_edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("met"))
     found = cut_lineage(found.join(popular, "node"))
     near = docs.select("doc_id", "text").filter(maybe_in(id_bitmap(found, "doc_id"), F.col("doc_id")))
     held = _sets_of(near, width).join(found, "node").dropDuplicates(["node"])
