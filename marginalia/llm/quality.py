@@ -205,7 +205,8 @@ def rank_quality(
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = features.mapInArrow(run, f"doc_id {kind}, score double")
-    cut = scored.agg(F.percentile_approx("score", 1 - share, 10_000).alias("cut")).first()["cut"] if share < 1 else 0.0
+    # The least of the scores that make up the share from above.
+    cut = scored.agg((-F.percentile_approx(-F.col("score"), share, 10_000)).alias("cut")).first()["cut"] if share < 1 else 0.0
     return scored.withColumn("selected", F.col("score") >= F.lit(cut if cut is not None else 0.0))
 
 

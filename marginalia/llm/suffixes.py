@@ -10,7 +10,6 @@ suffixes that are still alike there."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -387,28 +386,6 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: i
     return touched.unionAll(whole)
 
 
-def brute_force(texts: list[bytes], span: int = SPAN) -> list[tuple[int, int, bytes]]:
-    """For tests: bytes removed, runs and what is kept of every text, by counting all strings."""
-    times: dict[bytes, int] = {}
-    for t in texts:
-        for p in range(len(t) - span + 1):
-            digest = hashlib.blake2b(t[p : p + span], digest_size=16).digest()
-            times[digest] = times.get(digest, 0) + 1
-    out = []
-    for t in texts:
-        found = [
-            {"start": p, "end": p + span}
-            for p in range(len(t) - span + 1)
-            if times[hashlib.blake2b(t[p : p + span], digest_size=16).digest()] > 1
-        ]
-        runs, at, kept = merged(found), 0, []
-        for s, e in runs:
-            kept.append(t[at:s])
-            at = e
-        out.append((sum(e - s for s, e in runs), len(runs), b"".join([*kept, t[at:]])))
-    return out
-
-
 @query("op4_remove_repeats")
 def op4_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
