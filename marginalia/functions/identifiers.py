@@ -83,10 +83,6 @@ def clean_query(url: Column) -> Column:
     ).otherwise(path)
 
 
-def citation_href(url: Column, doi: Column, archive_url: Column) -> Column:
-    return F.coalesce(url, F.concat(F.lit("https://doi.org/"), doi), archive_url)
-
-
 def entity_id(uri: Column) -> Column:
     """The entity id at the end of an entity URI, else null."""
     found = F.regexp_extract(trim(uri), r"(Q\d+)$", 1)

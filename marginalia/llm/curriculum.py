@@ -114,7 +114,7 @@ def mix_curriculum(
     sized = cut_lineage(
         docs.select(
             "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("digest"),
-            F.md5(F.col("doc_id").cast("string")).alias("_order"),
+            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_order"),
         )
     )
     targets = source_targets(sized.select("source", "size"), weights, max_epochs)

@@ -92,9 +92,14 @@ class Parts:
         apart = (self.lows[number + 1] - 1) * (100 - self.percent) // self.percent
         if not apart:
             return 0, 0
-        holes = (apart + 1) * (1 - 1 / (apart + 1)) ** self.lows[number]
-        spare = int(np.ceil(holes + 2 * np.sqrt(holes))) if holes > 0.05 else 0
-        return apart + 1 + spare, spare
+        spare = 0
+        while True:  # more parts have more holes: as many to spare as the smallest sets of the class will hardly exceed
+            parts = apart + 1 + spare
+            holes = parts * (1 - 1 / parts) ** self.lows[number]
+            more = int(np.ceil(holes + 2.5 * np.sqrt(holes))) if holes > 0.05 else 0
+            if more <= spare:
+                return parts, spare
+            spare = more
 
     def keys(self, held: np.ndarray) -> np.ndarray:
         size = len(held)

@@ -15,21 +15,29 @@ def class_closure(edges: DataFrame, classes: DataFrame, hops: int = 4) -> DataFr
 
     ``edges``: child, parent; ``classes``: class."""
     steps = cut_lineage(edges.select("child", "parent").distinct())
-    found = cut_lineage(
+    frontier = cut_lineage(
         classes.select("class").filter("class IS NOT NULL").distinct().withColumn("super", F.col("class"))
     )
-    frontier = found
+    found = frontier
     while True:
+        # Paths that meet are one from there on, so each level is made distinct.
         level, reached = frontier, None
-        for _ in range(hops):
-            level = level.join(steps, level["super"] == steps["child"]).select(
-                "class", F.col("parent").alias("super")
+        for hop in range(1, hops + 1):
+            level = (
+                level.join(steps, level["super"] == steps["child"])
+                .select("class", F.col("parent").alias("super"))
+                .distinct()
             )
-            reached = level if reached is None else reached.unionByName(level)
-        frontier = cut_lineage(reached.distinct().join(found, ["class", "super"], "left_anti"))
-        if frontier.isEmpty():
+            tagged = level.withColumn("hop", F.lit(hop))
+            reached = tagged if reached is None else reached.unionByName(tagged)
+        new = cut_lineage(
+            reached.groupBy("class", "super").agg(F.min("hop").alias("hop")).join(found, ["class", "super"], "left_anti")
+        )
+        if new.isEmpty():
             return found
-        found = cut_lineage(found.unionByName(frontier))
+        found = found.unionByName(new.drop("hop"))
+        # Only the deepest level has not been walked on from.
+        frontier = new.filter(F.col("hop") == hops).drop("hop")
 
 
 def undirected_edges(edges: DataFrame) -> DataFrame:
@@ -96,6 +104,7 @@ def place_items(items: DataFrame, links: DataFrame, edges: DataFrame, seeds: Dat
     ``items``: page_id, item_id, qid; ``links``: page_id, section_ord, ord, qid
     (section 1 is the lede); ``edges``: page_id, src, dst, type, linked_via;
     ``seeds``: page_id, item_id, placed in the lede as the article's subject."""
+    items = cut_lineage(items.select("page_id", "item_id", "qid"))
     by_qid = items.filter("qid IS NOT NULL").groupBy("page_id", "qid").agg(F.min("item_id").alias("item_id"))
     in_lede = (F.col("section_ord") == 1).alias("_lede")
     linked = (
@@ -118,8 +127,8 @@ def place_items(items: DataFrame, links: DataFrame, edges: DataFrame, seeds: Dat
     geographic = (F.size("linked_via") > 0) & (
         F.size(F.array_except("linked_via", F.array(*[F.lit(g) for g in GEOGRAPHIC]))) == 0
     )
-    judged = edges.select(
-        "page_id", "src", "dst", geographic.alias("_geo"), (F.col("type") == "location").alias("_loc")
+    judged = cut_lineage(
+        edges.select("page_id", "src", "dst", geographic.alias("_geo"), (F.col("type") == "location").alias("_loc"))
     )
     both_ways = F.array(
         F.struct(F.col("src").alias("item_id"), F.col("dst").alias("other")),

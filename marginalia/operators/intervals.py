@@ -2,14 +2,16 @@
 one itself; rows inside an interval are held back.
 
 The state runs through all rows of a key in time order. To split a busy key,
-all rows are range-partitioned by (key, time). Every range is passed through
-once with the state its predecessor ended in; since that is not known at
-first, the pass is repeated until no range's closing state changes. An
-interval reaches only a little way into the next range, so two passes are
-usual. What travels to the driver is one state per range."""
+all rows are range-partitioned by (key, time). What a range makes of the state
+its predecessor ends in is a step function: an interval that reaches into it
+ends before some first row that may start one, and from there on all is
+settled. Every range works out its steps once, the driver puts them together
+in order, and a second pass flags the rows. An interval reaches no further
+than the longest there is, so a range sends the steps within that time alone."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,19 +32,9 @@ def interval_chain(rows: DataFrame) -> DataFrame:
     ranged = ordered_ranges(rows, [F.col("key"), F.col("at"), F.col("id")]).sortWithinPartitions(
         "key", "at", "id"
     )
-    carry: dict[int, tuple[str, int]] = {}
-    while True:
-        ends = ranged.mapInPandas(
-            _closing(carry), "range int, first string, last string, until bigint"
-        ).collect()
-        ends.sort(key=lambda r: r["range"])
-        new: dict[int, tuple[str, int]] = {}
-        for before, after in zip(ends, ends[1:]):
-            if before["last"] == after["first"] and before["until"] != _NONE:
-                new[after["range"]] = (before["last"], before["until"])
-        if new == carry:
-            break
-        carry = new
+    longest = ranged.agg(F.max("length")).first()[0]
+    ends = ranged.mapInPandas(_steps(int(longest or 0)), STEPS).collect()
+    carry = _carried(sorted(ends, key=lambda r: r["range"]))
     return ranged.mapInPandas(
         _flags(carry), "key string, at bigint, id bigint, length bigint, held boolean, until bigint"
     )
@@ -78,21 +70,79 @@ def _walk(pdf: pd.DataFrame, key: str | None, until: int):
     return held, ends, key, until
 
 
-def _closing(carry: dict[int, tuple[str, int]]):
-    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = first = key = None
-        until = _NONE
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if number is None:
-                number, first = int(pdf["_range"].iloc[0]), pdf["key"].iloc[0]
-                key, until = carry.get(number, (None, _NONE))
-            _, _, key, until = _walk(pdf, key, until)
-        if number is not None:
-            yield pd.DataFrame({"range": [number], "first": [first], "last": [key], "until": [until]})
+STEPS = "range int, first string, last string, whole boolean, upto array<bigint>, ends array<bigint>, own bigint"
+
 
-    return close
+def _chain_ends(at: np.ndarray, until: np.ndarray) -> np.ndarray:
+    """For every row that may start an interval, where the last interval ends
+    if the first free row is this one: each leads to the first row not inside
+    it, and following these by doubling comes to the last."""
+    n = len(at)
+    after = np.maximum(np.searchsorted(at, until, "left"), np.arange(1, n + 1))
+    last = np.where(after < n, after, np.arange(n))
+    while True:
+        further = last[last]
+        if (further == last).all():
+            return until[last]
+        last = further
+
+
+def _steps(longest: int):
+    """What a range makes of an interval that reaches into it: one that ends by
+    ``upto[i]`` and not before becomes one that ends at ``ends[i]``; one that ends
+    later than all stays. ``whole``: the range holds one key. If not, ``own`` is
+    the end of its last key's last interval."""
+
+    def summary(number: int, keys: np.ndarray, at: np.ndarray, length: np.ndarray) -> pd.DataFrame:
+        changes = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        first_end, last_start = (changes[0], changes[-1]) if len(changes) else (len(keys), 0)
+
+        def starters(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+            some = lo + np.flatnonzero(~np.isnan(length[lo:hi]))
+            return at[some], at[some] + length[some].astype(np.int64)
+
+        begin, until = starters(0, first_end)
+        ends = _chain_ends(begin, until)
+        reach = int(np.searchsorted(begin, at[0] + longest, "right")) + 1
+        begin, ends = begin[:reach], ends[:reach]
+        stays = np.append(ends[1:] != ends[:-1], True)[: len(ends)]
+        own = _NONE
+        if len(changes):
+            b, u = starters(last_start, len(keys))
+            own = int(_chain_ends(b, u)[0]) if len(b) else _NONE
+        return pd.DataFrame(
+            {"range": [number], "first": [keys[0]], "last": [keys[-1]], "whole": [not len(changes)],
+             "upto": [begin[stays]], "ends": [ends[stays]], "own": [own]}
+        )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if not b.empty]
+        if parts:
+            rows = pd.concat(parts)
+            yield summary(
+                int(rows["_range"].iloc[0]), rows["key"].to_numpy(), rows["at"].to_numpy(np.int64),
+                rows["length"].to_numpy(np.float64, na_value=np.nan),
+            )
+
+    return run
+
+
+def _carried(ends: list) -> dict[int, tuple[str, int]]:
+    """For each range that an interval of its first key reaches: that key and
+    the interval's end."""
+    carry: dict[int, tuple[str, int]] = {}
+    key, until = None, _NONE
+    for r in ends:
+        entry = until if r["first"] == key else _NONE
+        if entry != _NONE:
+            carry[r["range"]] = (r["first"], entry)
+        if r["whole"]:
+            k = bisect_left(r["upto"], entry) if entry != _NONE else 0
+            until = r["ends"][k] if k < len(r["upto"]) else entry
+        else:
+            until = r["own"]
+        key = r["last"]
+    return carry
 
 
 def _flags(carry: dict[int, tuple[str, int]]):

@@ -76,7 +76,7 @@ def mappable(statements: DataFrame) -> DataFrame:
     )
 
 
-def split_broad(hits: DataFrame, above: int = 300) -> tuple[DataFrame, DataFrame]:
+def split_broad(hits: DataFrame, above: int) -> tuple[DataFrame, DataFrame]:
     """Shelves and notes: a heading with too many hits becomes a note, unless
     it is the article's own subject."""
     broad = (F.col("total") > above) & ~F.coalesce("is_subject", F.lit(False))
@@ -461,10 +461,11 @@ def inventory_match(statements: DataFrame, records: DataFrame, registry: DataFra
     )
 
 
-HEAD_PARTS = r"(?i)\b(cranium|skull|mandible|jaw|teeth|tooth|dentition)\b"
+# Scanned parts that belong to the head.
+OF_THE_HEAD = ("cranium", "skull", "mandible", "jaw", "teeth", "tooth", "dentition")
 
 
-def taxon_match(taxa: DataFrame, records: DataFrame, cap: int = 3) -> DataFrame:
+def taxon_match(taxa: DataFrame, records: DataFrame, cap: int) -> DataFrame:
     """Scanned specimens of a species: exact folded scientific name and at
     least one model. The whole animal before parts of the head before other
     parts, then source order. ``taxa``: qid, name; ``records``: record_id, ord,
@@ -476,7 +477,7 @@ def taxon_match(taxa: DataFrame, records: DataFrame, cap: int = 3) -> DataFrame:
     part = F.trim(F.get(F.split("scan_subject", ":"), F.lit(1)))
     rank = (
         F.when(F.col("scan_subject").isNull() | (F.instr("scan_subject", ":") == 0), 0)
-        .when(part.rlike(HEAD_PARTS), 1)
+        .when(F.arrays_overlap(F.split(F.lower(part), r"\W+"), F.array(*[F.lit(w) for w in OF_THE_HEAD])), 1)
         .otherwise(2)
     )
     scanned = records.filter(F.col("models") > 0)

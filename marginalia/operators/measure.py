@@ -299,7 +299,7 @@ def open_tier_crosstab(works: DataFrame, licences: Sequence[str]) -> DataFrame:
     )
 
 
-def missing_image_census(entries: DataFrame, keep: int = 10) -> DataFrame:
+def missing_image_census(entries: DataFrame, keep: int) -> DataFrame:
     """Entries without an image by landing host, the long tail folded into
     one row; shares are of all entries without one."""
     by_host = entries.groupBy("host").agg(

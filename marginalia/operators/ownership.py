@@ -1,28 +1,21 @@
 """Page-wide ownership: units in order take what no earlier unit took.
 
-A page of ordinary size is folded in one pass over its ordered candidates. A
-page too large for that is solved by rounds of joins. Both give the same
-result: taking turns in order is the stable assignment in which every key
-prefers the earliest unit and every unit its own order, and that assignment is
-unique. In a round each unit names its first ``cap`` open keys; each key keeps
+Taking turns in order is the stable assignment in which every key prefers the
+earliest unit and every unit its own order, and that assignment is unique; so
+it is found by rounds of joins, whatever the size of a page. In a round each unit names its first ``cap`` open keys; each key keeps
 to the earliest unit that names it, and later units lose it for good. When a
 round takes nothing away, what is named is what is owned."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.ordering import top_k
 from marginalia.session import cut_lineage
 
-# A fold copies what it has kept so far at every step, so it is meant for
-# pages of ordinary length.
-FOLD_ROWS = 2_000
-
-
 def claim_anchors(
-    cands: DataFrame, per_unit: int = 2, seeds: DataFrame | None = None, fold_rows: int = FOLD_ROWS
+    cands: DataFrame, per_unit: int, seeds: DataFrame | None = None
 ) -> DataFrame:
     """Sections in order take up to ``per_unit`` candidates that no earlier
     section owns. Repeats within a section collapse before the cap. A seeded
@@ -37,10 +30,10 @@ def claim_anchors(
             .drop("owner")
         )
     once = rows.groupBy("page_id", "section_ord", "cand").agg(F.min("ord").alias("ord"))
-    return _claim(once, "cand", per_unit, fold_rows)
+    return _claim(once, "cand", per_unit)
 
 
-def claim_citations(cites: DataFrame, cap: int | None, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def claim_citations(cites: DataFrame, cap: int | None) -> DataFrame:
     """The same for cited works (``cite_key``): one without a key is always
     shown while the section has room, and owns nothing. Without a cap every
     work is shown where it is first cited."""
@@ -51,50 +44,11 @@ def claim_citations(cites: DataFrame, cap: int | None, fold_rows: int = FOLD_ROW
         return first.unionByName(keyless).select("page_id", "section_ord", "ord", "cite_key")
     once = keyed.groupBy("page_id", "section_ord", "cite_key").agg(F.min("ord").alias("ord"))
     rows = once.unionByName(keyless.select(*once.columns))
-    return _claim(rows, "cite_key", cap, fold_rows)
-
-
-def _claim(rows: DataFrame, key: str, cap: int, fold_rows: int) -> DataFrame:
-    columns = ["page_id", "section_ord", "ord", key]
-    rows = rows.select(*columns)
-    sizes = rows.groupBy("page_id").count()
-    large = sizes.filter(F.col("count") > fold_rows).select("page_id")
-    if large.isEmpty():
-        return _fold(rows, key, cap).select(*columns)
-    small = _fold(rows.join(large, "page_id", "left_anti"), key, cap)
-    big = _rounds(rows.join(large, "page_id", "left_semi"), key, cap)
-    return small.select(*columns).unionByName(big.select(*columns))
-
-
-def _fold(rows: DataFrame, key: str, cap: int) -> DataFrame:
-    types = dict(rows.dtypes)
-    item = f"struct<section_ord:{types['section_ord']},ord:{types['ord']},key:{types[key]}>"
-    pages = rows.groupBy("page_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct("section_ord", "ord", F.col(key).alias("key")))
-        ).alias("items")
-    )
-    start = F.struct(
-        F.lit(None).cast(types["section_ord"]).alias("unit"),
-        F.lit(0).alias("taken"),
-        F.array().cast(f"array<{item}>").alias("out"),
-    )
-
-    def step(state: Column, x: Column) -> Column:
-        taken = F.when(state["unit"] == x["section_ord"], state["taken"]).otherwise(0)
-        owned = F.coalesce(F.exists(state["out"], lambda o: o["key"] == x["key"]), F.lit(False))
-        takes = (taken < cap) & ~owned
-        return F.struct(
-            x["section_ord"].alias("unit"),
-            (taken + F.when(takes, 1).otherwise(0)).alias("taken"),
-            F.when(takes, F.array_append(state["out"], x)).otherwise(state["out"]).alias("out"),
-        )
-
-    kept = F.aggregate("items", start, step, lambda s: s["out"])
-    return pages.select("page_id", F.inline(kept)).withColumnRenamed("key", key)
+    return _claim(rows, "cite_key", cap)
 
 
-def _rounds(rows: DataFrame, key: str, cap: int) -> DataFrame:
+def _claim(rows: DataFrame, key: str, cap: int) -> DataFrame:
+    rows = rows.select("page_id", "section_ord", "ord", key)
     live = cut_lineage(rows)
     left = live.count()
     while True:

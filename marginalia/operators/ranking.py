@@ -107,7 +107,7 @@ def prefer_open(papers: DataFrame) -> DataFrame:
     return ranked.unionByName(retracted, allowMissingColumns=True)
 
 
-def rank_citations(cites: DataFrame, kind_rank: Column, cap: int = 3) -> DataFrame:
+def rank_citations(cites: DataFrame, kind_rank: Column, cap: int) -> DataFrame:
     """At most ``cap`` citations per section by kind, then article order."""
     return top_k(cites.withColumn("kind_rank", kind_rank), [*SECTION], ["kind_rank", "ord"], cap, "place")
 
@@ -117,7 +117,7 @@ def book_archive_rest() -> Column:
     return F.when(F.col("isbn").isNotNull(), 0).when(F.col("archive_url").isNotNull(), 1).otherwise(2)
 
 
-def card_budgets(cards: DataFrame, most: int = 4, maps: int = 1) -> DataFrame:
+def card_budgets(cards: DataFrame, most: int, maps: int) -> DataFrame:
     """At most ``most`` cards per section, of them ``maps`` maps, spent in
     anchor order. A map beyond its budget takes no card, so the maps are cut
     first and the cards after."""
@@ -154,7 +154,7 @@ def pick_hero(
     return hero, rest
 
 
-def rank_shelf(entries: DataFrame, by: Sequence[str], cap: int = 4) -> DataFrame:
+def rank_shelf(entries: DataFrame, by: Sequence[str], cap: int) -> DataFrame:
     """Best ``cap`` entries of a shelf: two points per distinct title token
     shared with heading or anchor, one for a picture; one entry per folded
     title."""
@@ -211,7 +211,7 @@ def dedupe_shards(works: DataFrame, cap: int) -> DataFrame:
     return top_k(best, ["author"], [F.desc("has_image"), "ord"], cap, "place").drop("_key")
 
 
-def author_open_works(works: DataFrame, cap: int = 6) -> DataFrame:
+def author_open_works(works: DataFrame, cap: int) -> DataFrame:
     """An author's open works by citations, with the count of all their works."""
     totals = works.groupBy("author").agg(F.count("*").alias("total"))
     is_open = F.col("is_oa") & F.col("oa_url").isNotNull()

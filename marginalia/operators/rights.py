@@ -9,7 +9,7 @@ from marginalia.functions.licences import (
     code_from_label,
     code_from_slug,
     code_from_uri,
-    jurisdiction_phrase,
+    jurisdiction_code,
     licence_marks,
     licence_rank,
     status_struct,
@@ -101,7 +101,7 @@ def rights_summary(rights: DataFrame) -> DataFrame:
 
     def places(of: str) -> Column:
         named = F.array_distinct(
-            F.filter(F.transform(of, lambda w: jurisdiction_phrase(w["jurisdiction"])), lambda p: p.isNotNull())
+            F.filter(F.transform(of, lambda w: jurisdiction_code(w["jurisdiction"])), lambda p: p.isNotNull())
         )
         short_first = F.array_sort(F.transform(named, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))
         return F.array_join(F.transform(short_first, lambda s: s["p"]), "; ")

@@ -331,7 +331,7 @@ SELECT DISTINCT p_brand AS qid, record_id, CAST(scan_rank AS BIGINT) AS scan_ran
 )
 def taxon_match(spark, sf):
     records = sql_over(spark, sf, SPECIMENS).withColumn("names", F.array(F.initcap("name"), F.lit("other name")))
-    return J.taxon_match(sql_over(spark, sf, TAXA), records)
+    return J.taxon_match(sql_over(spark, sf, TAXA), records, 3)
 
 
 OBJECTS = """SELECT concat('200', lpad(CAST(o_orderkey AS STRING), 6, '0')) AS object_id,

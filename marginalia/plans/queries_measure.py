@@ -275,7 +275,7 @@ def missing_image_census(spark, sf):
     entries = view(spark, sf, "v_pages").select(
         host_of(F.col("url")).alias("host"), F.when(F.length("html") >= 3000, F.col("url")).alias("image_url")
     )
-    return M.missing_image_census(entries)
+    return M.missing_image_census(entries, 10)
 
 
 @query(
@@ -393,8 +393,7 @@ def rights_record(spark, sf):
     )
 
 
-PHRASE = """CASE jurisdiction WHEN 'United States' THEN 'the United States'
-  WHEN 'countries with 70 years pma or shorter' THEN 'countries where copyright lasts 70 years after the author’s death or less' ELSE jurisdiction END"""
+PHRASE = "CASE jurisdiction WHEN 'countries with 70 years pma or shorter' THEN 'PMA-70-OR-LESS' ELSE jurisdiction END"
 
 
 @query(

@@ -159,7 +159,7 @@ def rank_citations(spark, sf):
     cites = view(spark, sf, "v_cites").select(
         "page_id", "section_ord", "ord", "isbn", F.when(F.col("has_url"), F.lit("archived")).alias("archive_url")
     )
-    return K.rank_citations(cites, K.book_archive_rest()).drop("isbn", "archive_url")
+    return K.rank_citations(cites, K.book_archive_rest(), 3).drop("isbn", "archive_url")
 
 
 @query(
@@ -175,7 +175,7 @@ def card_budgets(spark, sf):
         "page_id", "section_ord", "ord", F.col("ord").alias("anchor_ord"),
         F.coalesce(F.col("volume") == "full", F.lit(False)).alias("is_map"),
     )
-    return K.card_budgets(cards).drop("anchor_ord")
+    return K.card_budgets(cards, 4, 1).drop("anchor_ord")
 
 
 STANDING = """CASE WHEN volume = 'full' THEN 'subject-document' WHEN volume = 'borrow' THEN 'subject-record'
@@ -222,7 +222,7 @@ def rank_shelf(spark, sf):
         "partner", "id", F.col("id").alias("ord"), "title", "image_url",
         F.lit(HEADING).alias("heading"), F.lit("").alias("anchor_label"),
     )
-    return K.rank_shelf(entries, ["partner"]).select("partner", "id", "title", "score", "place")
+    return K.rank_shelf(entries, ["partner"], 4).select("partner", "id", "title", "score", "place")
 
 
 WORKS = """SELECT value_id AS subject, qid AS work, property AS museum, CAST(substr(property, 2) AS INT) AS museum_ord,
@@ -280,7 +280,7 @@ def author_open_works(spark, sf):
         F.struct("section_ord", F.col("ord").alias("o")).alias("ord"),
         F.col("has_url").alias("is_oa"), F.when(F.col("licensed"), F.lit("url")).alias("oa_url"),
     )
-    return K.author_open_works(works).select("author", "page_id", "section_ord", F.col("ord.o").alias("ord"), "total", "place")
+    return K.author_open_works(works, 6).select("author", "page_id", "section_ord", F.col("ord.o").alias("ord"), "total", "place")
 
 
 @query(

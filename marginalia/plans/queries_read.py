@@ -181,7 +181,7 @@ SELECT page_id, title, ord FROM r WHERE ord <= 24""",
 )
 def prose_links(spark, sf):
     pages = table(spark, sf, "pages").withColumn("section_ord", F.lit(1))
-    return X.prose_links(pages, prefix="/").drop("section_ord")
+    return X.prose_links(pages, 24, prefix="/").drop("section_ord")
 
 
 @query(
@@ -191,7 +191,7 @@ def prose_links(spark, sf):
 SELECT page_id, section_ord, title, row_number() OVER (PARTITION BY page_id, section_ord ORDER BY o) AS ord FROM t""",
 )
 def section_links(spark, sf):
-    return X.prose_links(X.section_html(C.articles(spark, sf), stop_at=2)).filter("title <> 'Sources'")
+    return X.prose_links(X.section_html(C.articles(spark, sf), stop_at=2), 24).filter("title <> 'Sources'")
 
 
 @query(

@@ -14,7 +14,8 @@ VIEWS: dict[str, str] = {
     "v_claims": """
 SELECT l_orderkey AS qid, concat('P', CAST(l_linenumber AS STRING)) AS property, l_partkey AS value_id,
   CASE l_returnflag WHEN 'A' THEN 'preferred' WHEN 'N' THEN 'normal' ELSE 'deprecated' END AS rank,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ord
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus,
+    l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax) AS ord
 FROM lineitem""",
     "v_sections": """
 SELECT o_custkey AS page_id, o_orderkey AS section_id,
@@ -25,7 +26,8 @@ SELECT s.page_id, s.section_ord, c.ord, c.value_id AS cand
 FROM v_sections s JOIN v_claims c ON c.qid = s.section_id""",
     "v_cites": """
 SELECT s.page_id, s.section_ord,
-  row_number() OVER (PARTITION BY s.page_id, s.section_ord ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) AS ord,
+  row_number() OVER (PARTITION BY s.page_id, s.section_ord ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey,
+    l.l_returnflag, l.l_linestatus, l.l_shipdate, l.l_quantity, l.l_extendedprice, l.l_discount, l.l_tax) AS ord,
   CASE WHEN l.l_linenumber = 7 THEN NULL ELSE l.l_partkey END AS cite_key,
   CASE WHEN l.l_linenumber <> 7 AND l.l_returnflag <> 'R' THEN l.l_partkey END AS isbn,
   CASE WHEN l.l_linenumber <> 7 AND l.l_returnflag = 'R' THEN l.l_partkey END AS doi,

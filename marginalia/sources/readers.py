@@ -565,7 +565,10 @@ def parse_curated_graph(items: DataFrame, connections: DataFrame) -> tuple[DataF
         "d.id", "d.source", "d.title", "d.url", "d.thumbnail",
         F.try_element_at("d.identifiers", F.lit("wikidata")).alias("qid"),
         F.try_element_at("d.potential", F.lit("total")).alias("potential"),
-    ).dropDuplicates(["id"])
+    )
+    # Of items that share an id, the least row stands.
+    rest = [c for c in nodes.columns if c != "id"]
+    nodes = nodes.groupBy("id").agg(F.min(F.struct(*rest)).alias("_n")).select("id", "_n.*")
     edge = "array<struct<targetId:string,type:string,label:string,linkedVia:array<string>>>"
     edges = (
         connections.select(F.explode(F.from_json("raw", f"map<string,{edge}>")).alias("src", "out"))

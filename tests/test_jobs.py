@@ -69,7 +69,7 @@ def test_place_items(spark):
 
 def test_card_budgets_map_does_not_take_a_card(spark):
     cards = spark.createDataFrame([(1, 1, i, i, i in (2, 3)) for i in range(1, 8)], "page_id int, section_ord int, anchor_ord int, ord int, is_map boolean")
-    assert sorted(r.ord for r in K.card_budgets(cards).collect()) == [1, 2, 4, 5]
+    assert sorted(r.ord for r in K.card_budgets(cards, 4, 1).collect()) == [1, 2, 4, 5]
 
 
 def test_hero_needs_something_to_show(spark):

@@ -68,15 +68,14 @@ def _random_claims(seed, nulls):
     return rows
 
 
-def test_claims_by_fold_and_by_rounds(spark):
+def test_claims_against_a_loop(spark):
     for seed in (1, 2):
         for nulls, fn, key in ((False, claim_anchors, "cand"), (True, claim_citations, "cite_key")):
             rows = _random_claims(seed, nulls)
             df = spark.createDataFrame(rows, f"page_id long, section_ord long, ord long, {key} long")
             want = _claim(rows, 3)
-            for fold_rows in (10_000, 40, 0):
-                got = sorted((tuple(r) for r in fn(df, 3, fold_rows=fold_rows).collect()), key=str)
-                assert got == want, (seed, fn.__name__, fold_rows)
+            got = sorted((tuple(r) for r in fn(df, 3).collect()), key=str)
+            assert got == want, (seed, fn.__name__)
 
 
 def test_claim_anchors_seed_is_open_to_its_owner_alone(spark):
@@ -142,6 +141,23 @@ def test_interval_chain_across_ranges(spark):
         assert got == _chain(rows), seed
 
 
+def test_even_beat_needs_two_passes_for_any_number_of_ranges(spark, monkeypatch):
+    """A request every 7 s with a length of 61 s: the chain never falls back into step."""
+    rows = [("a", 7 * i, i, 61) for i in range(900)]
+    df = spark.createDataFrame(rows, "key string, at long, id long, length long")
+    before, passes = spark.conf.get("spark.sql.shuffle.partitions"), []
+    plain = type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, *a, **b: passes.append(1) or plain(self, *a, **b))
+    try:
+        for ranges in (4, 16, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+            passes.clear()
+            got = {r.id: (r.held, r.until) for r in interval_chain(df).collect()}
+            assert got == _chain(rows) and len(passes) == 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_interval_longer_than_a_range(spark):
     rows = [("a", i, i, 10_000 if i == 0 else 3) for i in range(500)]
     df = spark.createDataFrame(rows, "key string, at long, id long, length long")
@@ -166,11 +182,7 @@ def test_request_load_hot_host(spark):
     df = spark.createDataFrame(rows, "host string, t long, d int").select(
         "host", F.timestamp_seconds("t").alias("ts"), F.col("d").cast("double").alias("duration_s")
     )
-    spark.conf.set("marginalia.hotGroupRows", "10")
-    try:
-        got = {r.host: (r.requests, r.peak) for r in request_load(df).collect()}
-    finally:
-        spark.conf.unset("marginalia.hotGroupRows")
+    got = {r.host: (r.requests, r.peak) for r in request_load(df).collect()}
     for host in ("hot", "cold"):
         mine = [(t, t + d) for h, t, d in rows if h == host]
         peak = max(sum(a <= t < b for a, b in mine) for t in range(400))
