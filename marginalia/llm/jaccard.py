@@ -371,7 +371,8 @@ def _by_block(finish, columns: list[str]):
 
         def out() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).to_pydict()
-            at = sorted({node: k for k, node in enumerate(rows["node"])}.values())
+            sides = rows.get("side") or [None] * len(rows["node"])  # a set may stand on both, once on each
+            at = sorted({key: k for k, key in enumerate(zip(rows["node"], sides, strict=True))}.values())
             return finish({c: [rows[c][k] for k in at] for c in columns})
 
         for batch in batches:

@@ -89,6 +89,34 @@ def test_links_against_all_pairs(spark, percent, width, block):
     assert got == loop_components(pairs, percent, width)
 
 
+def test_a_set_on_both_sides_of_a_block_stays_on_both(spark):
+    """Blocks of two linked sets of which one stands on both sides, in either order of its rows."""
+    a = np.sort(np.random.default_rng(8).integers(0, 2**62, 40).astype(np.uint64))
+    near = a[:-1]
+    rows = []
+    for block, (x, y), sides in ((1, (10, 11), (0, 1)), (2, (20, 21), (1, 0))):
+        rows += [(block, x, x, side, bytearray(a.tobytes())) for side in sides]
+        rows.append((block, y, y, 1, bytearray(near.tobytes())))
+    df = spark.createDataFrame(rows, "block long, node long, label long, side int, held binary").coalesce(1)
+    got = jaccard._link_blocks(df, 90).filter("a <> b").collect()
+    assert {frozenset(r) for r in got} == {frozenset((10, 11)), frozenset((20, 21))}
+
+
+@pytest.mark.parametrize("block", [2, 6])
+def test_links_outside_the_main_component(spark, block):
+    """Pairs that link with one another alone, in a candidate group whose main component is another one, in small blocks."""
+    base = prose(70, 1500)
+    rows = [edited(base, k, 5) for k in range(20)]
+    for k in range(12):
+        other = edited(base, 500 + k, 28)
+        rows += [other, edited(other, 600 + k, 6)]
+    pairs = list(enumerate(rows))
+    want = loop_components(pairs, 90, 3)
+    assert len({c for _, _, c in want}) > 8
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert Counter(tuple(r) for r in jaccard.link_similar(df, 90, 3, block).collect()) == want
+
+
 def test_links_on_odd_rows(odd, odd_rows, none):
     got = Counter(tuple(r) for r in jaccard.link_similar(odd).collect())
     assert got == loop_components([(r[0], r[1]) for r in odd_rows], 90, 3)
