@@ -428,10 +428,10 @@ def _link_blocks(rows: DataFrame, percent: int) -> DataFrame:
 def candidate_edges(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """Edges (a, b) between digests of sets, such that sets that link are in one component.
 
-    Equal parts gather sets. Parts with the same sets count once; their sets are joined where their signatures, walked as a
+    Equal parts gather sets, each once however many texts hold it. Parts with the same sets count once; their sets are joined where their signatures, walked as a
     tree, let them link. In parts of very many sets all are joined to the least."""
     shared = cut_lineage(
-        _part_rows(docs, percent, width).groupBy("key")
+        _part_rows(docs, percent, width).distinct().groupBy("key")
         .agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("n"), F.bit_xor("node").alias("x"))
         .filter("leader < last").groupBy("leader", "last", "n", "x").agg(F.min("key").alias("key"))
     )

@@ -117,6 +117,18 @@ def test_links_outside_the_main_component(spark, block):
     assert Counter(tuple(r) for r in jaccard.link_similar(df, 90, 3, block).collect()) == want
 
 
+def test_parts_of_sets_that_repeat_are_told_apart(spark, monkeypatch):
+    """Two parts of the same least and greatest set, each with its own set between, which comes twice: neither part hides the other."""
+    part_rows = [(1, n) for n in (10, 20, 20, 90)] + [(2, n) for n in (10, 30, 30, 90)]
+    held = spark.createDataFrame(part_rows, "key long, node long").repartition(4)
+    monkeypatch.setattr(jaccard, "_part_rows", lambda *a, **k: held)
+    signs = jaccard.signatures([np.arange(50, dtype=np.uint64)], jaccard.SKETCH_BITS)[0].tobytes()
+    sketches = spark.createDataFrame([(n, bytearray(signs), 50) for n in (10, 20, 30, 90)], "node long, sketch binary, size long")
+    monkeypatch.setattr(jaccard, "_sketches_of", lambda *a: sketches)
+    edges = jaccard.candidate_edges(held, 90, 3)
+    assert {n for r in edges.collect() for n in r} == {10, 20, 30, 90}
+
+
 def test_links_on_odd_rows(odd, odd_rows, none):
     got = Counter(tuple(r) for r in jaccard.link_similar(odd).collect())
     assert got == loop_components([(r[0], r[1]) for r in odd_rows], 90, 3)
