@@ -17,9 +17,8 @@ HEX = r"[0-9a-f]{32,}"
 VALUE_LENGTH = 8
 KINDS = ("assign", "access", "hex", "entropy")
 
-# Candidate strings: runs of key characters. Longer runs are encoded payloads and are allowed.
-CANDIDATE_LENGTH = (20, 512)
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,512}(?![A-Za-z0-9+/_-])"
+# Candidate strings: runs of key characters, of any length.
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 WIDTH = 20
 # Character classes: alphabet and the entropy in bits that a window of 20 characters must exceed.
 CLASSES = {"hex": ("0123456789abcdef", 2.75), "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.55)}
@@ -106,13 +105,28 @@ def window_spread(text: Column, alphabet: str, least_bits: float, width: int = W
 
 
 def entropy_spans(text: Column, known: Column) -> Column:
-    """Spans of kind entropy: in every candidate string that no known span touches and no allowed form covers,
-    the reach of the windows that are too random for the string's class."""
+    """Spans of kind entropy: in all that known spans leave of a candidate string, if no allowed form covers string or
+    piece, the reach of the windows that are too random for the piece's class. ``known`` is sorted by start."""
     low, wide = CLASSES["hex"], CLASSES["base64"]
+    kind = "struct<start:int,end:int,held:string>"
+
+    def left(c: Column) -> Column:
+        zero = F.struct(c["start"].alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+
+        def piece(start: Column, end: Column) -> Column:
+            held = F.substring(c["held"], start - c["start"] + 1, end - start)
+            return F.array(F.struct(start.alias("start"), end.alias("end"), held.alias("held")))
+
+        def step(state: Column, k: Column) -> Column:
+            out = F.concat(state["out"], piece(state["at"], F.greatest(state["at"], k["start"])))
+            return F.struct(F.greatest(state["at"], k["end"]).alias("at"), out.alias("out"))
+
+        touching = F.filter(known, lambda k: (k["start"] < c["end"]) & (k["end"] > c["start"]))
+        last = lambda s: F.concat(s["out"], piece(s["at"], F.greatest(s["at"], c["end"])))
+        return F.aggregate(touching, zero, step, last)
 
     def fresh(c: Column) -> Column:
-        touched = F.exists(known, lambda k: (k["start"] < c["end"]) & (k["end"] > c["start"]))
-        return ~c["held"].rlike(ALLOWED) & ~touched
+        return (F.length(c["held"]) >= WIDTH) & ~c["held"].rlike(ALLOWED)
 
     def scanned(c: Column) -> Column:
         reach = F.when(c["held"].rlike("^[0-9a-f]*$"), window_spread(c["held"], *low)).otherwise(window_spread(c["held"], *wide))
@@ -127,7 +141,8 @@ def entropy_spans(text: Column, known: Column) -> Column:
             F.lit(0),
         )
 
-    found = F.transform(F.filter(spans_of(text, CANDIDATE, 3), fresh), scanned)
+    pieces = F.flatten(F.transform(F.filter(spans_of(text, CANDIDATE, 3), fresh), left))
+    found = F.transform(F.filter(pieces, fresh), scanned)
     return F.filter(found, lambda s: s["start"].isNotNull())
 
 
@@ -148,7 +163,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     sorted by start, then kind. Known forms are kept whatever the entropy says; entropy adds spans where none is.
 
     Null and empty texts have no spans. Columns of those names in ``docs`` are replaced. Rows are judged alone,
-    without a shuffle; a candidate string has at most 512 characters, so the window pass is bounded."""
+    without a shuffle; the window pass takes time in proportion to the length of a candidate string."""
     own = ["n_assign", "n_access", "n_hex", "n_entropy", "base_spans", "secret_spans"]
     text = F.coalesce(F.col("text"), F.lit(""))
     assign = F.filter(spans_of(text, ASSIGN, 0), lambda s: F.length(F.regexp_extract(s["held"], ASSIGN, 2)) >= VALUE_LENGTH)

@@ -323,6 +323,17 @@ def test_secrets_forms_and_entropy(spark):
     assert clean[4] == "see [secret] here" and clean[0] == "[secret] and more" and clean[8] is None and clean[1] == "[secret]'"
 
 
+def test_secrets_in_long_runs_and_beside_known_ones(spark):
+    rng = np.random.default_rng(3)
+    key = "".join(rng.choice(list(secrets.CLASSES["base64"][0][:62]), 700))
+    path, tail = "/".join(["folder"] * 90), key[:40]
+    rows = [(1, f"key {key} end"), (2, f"see {path}/{tail} end"), (3, f"id {'0123456789abcdef' * 2}/{tail} end"), (4, f"see {path} end")]
+    clean = {r.doc_id: r.text for r in secrets.redacted_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[4] == rows[3][1]
+    for k in (1, 2, 3):
+        assert tail[4:] not in clean[k] and clean[k].endswith(" end")
+
+
 def test_secrets_on_odd_rows(odd, odd_rows, none):
     assert secrets.scan_secrets(odd).count() == len(odd_rows)
     assert secrets.redacted_documents(odd).columns == odd.columns
