@@ -101,12 +101,13 @@ def mix_curriculum(
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source; other columns are ignored), sorted by position:
     doc_id, source, digest (of the text), size, source_size, target, taken, epochs (array of taken words per
-    pass), position.
+    pass), position, positions (array of positions per pass).
 
     A source's documents are lined up by the digest of their id, and its target is cut from that line,
     which starts again when it ends: pass r takes what is left of the target at the document, between
     nothing and the whole. A source thus takes its target to the word, and one document of a source at most is
-    taken in part. ``position`` is the due time of the document's first word (null: not taken).
+    taken in part. ``positions`` holds for every pass the due time of the document's first word in it (null: not taken);
+    ``position`` is the first of them.
 
     Null text and text without words: size 0, taken 0. A null source is a source of its own. Repeated
     ids are lined up by size and text digest. Empty input gives no rows. Skew: the line of a source is
@@ -131,30 +132,34 @@ def mix_curriculum(
 
     pieces = F.array(*[_segments(k) for k in schedules])
     segments = F.element_at(pieces, (F.col("source_rank") % len(schedules) + 1).cast("int"))
-    share = F.col("_before").cast("double") / F.col("target")
+
+    def due_in(r: int) -> Column:
+        share = (F.col("_before") + F.col("source_size") * r).cast("double") / F.col("target")
+        return F.when(taken_in(r) > 0, F.round(due_time(share, segments), 9))
+
     out = joined.withColumn("epochs", F.array(*[taken_in(r) for r in range(max_epochs)])).withColumn(
         "taken", F.aggregate("epochs", F.lit(0).cast("bigint"), lambda a, x: a + x)
     )
-    out = out.withColumn("position", F.when(F.col("taken") > 0, F.round(due_time(share, segments), 9)))
-    columns = ["doc_id", "source", "digest", "size", "source_size", "target", "taken", "epochs", "position"]
+    out = out.withColumn("positions", F.array(*[due_in(r) for r in range(max_epochs)])).withColumn("position", F.get("positions", F.lit(0)))
+    columns = ["doc_id", "source", "digest", "size", "source_size", "target", "taken", "epochs", "position", "positions"]
     return out.orderBy(F.col("position").asc_nulls_last(), "_order").select(*columns)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself with the columns of ``docs``: a document once per pass that takes any of it, cut
-    behind the last word taken, n_chars following. Untaken documents go."""
+    behind the last word taken, n_chars following, sorted by the pass's position. Untaken documents go."""
     rows = mix_curriculum(docs, **options)
     copies = rows.filter("taken > 0").select(
         F.col("doc_id").alias("_id"), F.col("digest").alias("_digest2"), F.col("source").alias("_source"),
-        F.col("size").alias("_size"), F.explode("epochs").alias("_words"),
-    )
+        F.col("size").alias("_size"), F.explode(F.arrays_zip("epochs", "positions")).alias("_pass"),
+    ).select("_id", "_digest2", "_source", "_size", F.col("_pass.epochs").alias("_words"), F.col("_pass.positions").alias("_position"))
     # Rows alike in id, text and source are as many rows of ``copies`` each: one of them meets all.
     once = docs.withColumn("_digest", F.xxhash64("text")).dropDuplicates(["doc_id", "_digest", "source"])
     same = (
         F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_digest2"))
         & F.col("source").eqNullSafe(F.col("_source"))
     )
-    joined = once.join(copies.filter("_words > 0"), same)
+    joined = once.join(copies.filter("_words > 0"), same).orderBy("_position", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     parts = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
     cut = F.array_join(F.slice(parts, F.lit(1), (F.col("_words") + lead).cast("int")), "")

@@ -302,6 +302,25 @@ def test_mixed_documents_hold_what_was_taken(odd):
     assert sum(len(WORD.findall(r.text)) for r in mixed.collect()) == taken
 
 
+def test_every_pass_has_its_position(spark):
+    """A small source that is taken three times over is spread over the whole run, and the mix is in that order."""
+    rows = [(k, prose(k, 20), "a" if k < 6 else "b") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    level = {"weights": (1,), "schedules": (((0.0, 1.0), (1.0, 1.0)),)}
+    due = []
+    for r in curriculum.mix_curriculum(df, **level).collect():
+        assert [p is not None for p in r.positions] == [w > 0 for w in r.epochs] and r.position == r.positions[0]
+        due += [(p, r.doc_id) for p in r.positions if p is not None]
+        if r.source == "a":
+            assert r.positions[1:] == pytest.approx([r.position + 1 / 3, r.position + 2 / 3], abs=1e-6)
+    mixed = [r.doc_id for r in curriculum.mixed_documents(df, **level).collect()]
+    at = {}
+    for p, k in due:
+        at.setdefault(k, []).append(p)
+    order = [sorted(at[k])[mixed[:i].count(k)] for i, k in enumerate(mixed)]
+    assert len(mixed) == len(due) and order == sorted(order)
+
+
 # ---- secrets
 
 TOKEN = "Zx81kQ9vLm2TfR7dWc5B"
