@@ -26,6 +26,7 @@ from marginalia.session import cut_lineage
 
 WIDTH = 3
 PERCENT = 90
+LEAST_PERCENT = 60
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 SKETCH_BITS = 2048  # of the signatures that go to every part a set shares
 SKETCHED_SETS = 256  # sets in a part that are compared by signature before they are grouped
@@ -79,8 +80,11 @@ class Parts:
     shingles: sets that agree in a hole agree in one of these."""
 
     def __init__(self, percent: int = PERCENT):
+        if percent < LEAST_PERCENT:
+            raise ValueError(f"below {LEAST_PERCENT} % a set would stand under thousands of parts for each of its shingles")
         self.percent = percent
         self.lows = [1]
+        self._counts: dict[int, tuple[int, int]] = {}
 
     def _class(self, size: int) -> int:
         while self.lows[-1] <= size:
@@ -88,18 +92,24 @@ class Parts:
         return int(np.searchsorted(self.lows, size, "right")) - 1
 
     def count(self, number: int) -> tuple[int, int]:
-        """Parts of a class and how many of them are to spare; no parts if the class links equal sets alone."""
+        """Parts of a class and how many of them are to spare; no parts if the class links equal sets alone.
+
+        Small sets leave many parts empty however many there are, so no more are to spare than the sets may differ in: any
+        number is right, for a set with more holes stands under them too."""
         apart = (self.lows[number + 1] - 1) * (100 - self.percent) // self.percent
         if not apart:
             return 0, 0
-        spare = 0
-        while True:  # more parts have more holes: as many to spare as the smallest sets of the class will hardly exceed
-            parts = apart + 1 + spare
-            holes = parts * (1 - 1 / parts) ** self.lows[number]
-            more = int(np.ceil(holes + 2.5 * np.sqrt(holes))) if holes > 0.05 else 0
-            if more <= spare:
-                return parts, spare
-            spare = more
+        if number not in self._counts:
+            spare = 0
+            while True:  # more parts have more holes: as many to spare as the smallest sets of the class will hardly exceed
+                parts = apart + 1 + spare
+                holes = parts * (1 - 1 / parts) ** self.lows[number]
+                more = min(int(np.ceil(holes + 2.5 * np.sqrt(holes))) if holes > 0.05 else 0, apart)
+                if more <= spare:
+                    break
+                spare = more
+            self._counts[number] = parts, spare
+        return self._counts[number]
 
     def keys(self, held: np.ndarray) -> np.ndarray:
         size = len(held)

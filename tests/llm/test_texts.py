@@ -152,6 +152,22 @@ def test_parts_lose_no_pair():
                     assert set(parts.keys(a).tolist()) & set(parts.keys(b).tolist())
 
 
+@pytest.mark.parametrize("percent", [60, 67, 75, 80, 85, 90, 95, 99])
+def test_parts_are_counted_for_every_class(percent):
+    """The count ends for each class of sizes, with more parts than sets may differ in and no more to spare than that."""
+    parts = jaccard.Parts(percent)
+    parts._class(200_000)
+    for number in range(len(parts.lows) - 1):
+        apart = (parts.lows[number + 1] - 1) * (100 - percent) // percent
+        total, spare = parts.count(number)
+        assert total == (apart + 1 + spare if apart else 0) and 0 <= spare <= apart
+
+
+def test_similarity_too_low_for_parts_is_refused():
+    with pytest.raises(ValueError):
+        jaccard.Parts(20)
+
+
 # ---- repeated strings
 
 
