@@ -65,5 +65,5 @@ def _claim(rows: DataFrame, key: str, cap: int) -> DataFrame:
         )
         now = live.count()
         if now == left:
-            return top_k(live, ["page_id", "section_ord"], ["ord"], cap)
+            return top_k(live, ["page_id", "section_ord"], ["ord"], cap).select(*rows.columns)
         left = now

@@ -156,8 +156,10 @@ def test_long_markup_does_not_overflow(spark):
 def test_prose_links_cap_and_jargon(spark):
     html = "".join(f'<a href="/wiki/T_{i}">x</a>' for i in range(30)) + '<a href="/wiki/T_1">again</a><a href="/wiki/100%">bad</a>'
     df = spark.createDataFrame([(1, 1, '<a href="/wiki/OCLC">o</a>' + html)], "page_id long, section_ord long, html string")
-    rows = X.prose_links(df).orderBy("ord").collect()
+    rows = X.prose_links(df, cap=24).orderBy("ord").collect()
     assert [r.title for r in rows] == [f"T {i}" for i in range(24)]
+    rows = X.prose_links(df).orderBy("ord").collect()
+    assert [r.title for r in rows] == [f"T {i}" for i in range(30)]
 
 
 # --- nesting of any depth, markup left open ------------------------------------------
