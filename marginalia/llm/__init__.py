@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "topk", "chat", "suffixes", "rules", "jaccard", "packing", "curriculum", "secrets", "toxicity", "merkle", "trie")
+MODULES = ("quality", "topk", "chat", "suffixes", "rules", "jaccard", "packing", "curriculum", "secrets", "toxicity", "merkle", "trie", "maintext")
 
 
 def load_catalog():
