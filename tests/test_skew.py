@@ -48,7 +48,7 @@ def test_running_sum_over_ranges(spark):
 def _claim(rows, cap):
     """(page, section, ord, key) in order; a key of None never owns."""
     out, owned, taken = [], set(), {}
-    for page, section, ord_, key in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+    for page, section, ord_, key in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])):
         if taken.get((page, section), 0) >= cap or (key is not None and (page, key) in owned):
             continue
         taken[page, section] = taken.get((page, section), 0) + 1
@@ -120,7 +120,7 @@ def test_pick_diverse_against_loop(spark):
 
 def _chain(rows):
     out, until = {}, {}
-    for key, at, i, length in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+    for key, at, i, length in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2])):
         held = at < until.get(key, -1)
         if not held and length is not None:
             until[key] = at + length
@@ -141,23 +141,49 @@ def test_interval_chain_across_ranges(spark):
         assert got == _chain(rows), seed
 
 
-def test_even_beat_needs_two_passes_for_any_number_of_ranges(spark, monkeypatch):
-    """A request every 7 s with a length of 61 s: the chain never falls back into step."""
-    rows = [("a", 7 * i, i, 61) for i in range(900)]
+def _with_ranges(spark, monkeypatch, rows, counts):
+    """The chain over so many ranges equals the loop, and no more than a few rows a range reach the driver."""
     df = spark.createDataFrame(rows, "key string, at long, id long, length long")
-    before, passes = spark.conf.get("spark.sql.shuffle.partitions"), []
-    plain = type(df).mapInPandas
-    monkeypatch.setattr(type(df), "mapInPandas", lambda self, *a, **b: passes.append(1) or plain(self, *a, **b))
+    before, sent = spark.conf.get("spark.sql.shuffle.partitions"), []
+    collect, walk = type(df).collect, type(df).toLocalIterator
+
+    def counted(held):
+        sent.append(len(held))
+        return held
+
     try:
-        for ranges in (4, 16, 64):
+        for ranges in counts:
             spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
-            passes.clear()
-            got = {r.id: (r.held, r.until) for r in interval_chain(df).collect()}
-            assert got == _chain(rows) and len(passes) == 2
+            sent.clear()
+            with monkeypatch.context() as m:
+                m.setattr(type(df), "collect", lambda self: counted(collect(self)))
+                m.setattr(type(df), "toLocalIterator", lambda self, *a: iter(counted(list(walk(self, *a)))))
+                chain = interval_chain(df)
+            assert sum(sent) <= 3 * ranges, sent
+            assert {r.id: (r.held, r.until) for r in chain.collect()} == _chain(rows), ranges
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_even_beat_over_any_number_of_ranges(spark, monkeypatch):
+    """A request every 7 s with a length of 61 s: the chain never falls back into step."""
+    _with_ranges(spark, monkeypatch, [("a", 7 * i, i, 61) for i in range(900)], (4, 16, 64))
+
+
+def test_hot_key_with_intervals_longer_than_ranges(spark, monkeypatch):
+    """Six hours each, over 64 ranges of some twenty minutes; every row may start one."""
+    rng = random.Random(11)
+    rows = [("hot", 60 * i + rng.randint(0, 50), i, 6 * 3600) for i in range(1300)]
+    rows += [(rng.choice(["a", "z", "zz"]), rng.randint(0, 80_000), 2000 + i, rng.choice([None, 600, 6 * 3600])) for i in range(60)]
+    _with_ranges(spark, monkeypatch, rows, (64,))
+
+
+def test_key_that_starts_late_and_one_that_never_does(spark, monkeypatch):
+    rows = [("a", i, i, None if i < 150 or i % 3 else 40) for i in range(400)] + [("b", i, 1000 + i, None) for i in range(100)]
+    rows += [("c", i // 9, 2000 + i, 2) for i in range(200)] + [(None, i, 3000 + i, 7) for i in range(60)]
+    _with_ranges(spark, monkeypatch, rows, (1, 5, 24))
+
+
 def test_interval_longer_than_a_range(spark):
     rows = [("a", i, i, 10_000 if i == 0 else 3) for i in range(500)]
     df = spark.createDataFrame(rows, "key string, at long, id long, length long")
