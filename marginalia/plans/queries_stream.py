@@ -8,7 +8,8 @@ from marginalia.plans.catalog import query
 from marginalia.plans.views import sql_over, table, view, with_views
 from marginalia.session import scratch_path
 from marginalia.streaming import jobs as S
-from marginalia.streaming.runner import file_stream, run_updates
+from marginalia.streaming.keyed import with_keyed_state
+from marginalia.streaming.runner import file_stream, run_updates, start_appends, time_slices
 
 REQ = with_views("v_requests")
 
@@ -23,27 +24,49 @@ def requests(df):
     )
 
 
+STEPS = 4  # files, and so steps, that a registered stream is fed in
+
+
+def _log(spark, name, df, ts, **end):
+    """A table as a stream of files in order of time, ended by a row a year after all others, so that nothing waits: of nulls but
+    for ``end``."""
+    path = time_slices(df, ts, STEPS, scratch_path(spark, name))
+    last = {ts: F.col(ts) + F.expr("INTERVAL 1 YEAR"), **{c: F.lit(v) for c, v in end.items()}}
+    row = [last.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+    df.agg(F.max(ts).alias(ts)).select(*row).coalesce(1).write.mode("append").parquet(path)
+    return file_stream(spark, path, df.schema, files_per_trigger=1)
+
+
 @query(
     "stream_citation_coverage",
-    """SELECT l_orderkey AS page_id, l_linenumber AS section_ord, count(*) AS total,
-  count(*) FILTER (WHERE l_returnflag <> 'R' AND p_size % 4 < 2) AS open, count(*) FILTER (WHERE l_returnflag <> 'R' AND p_size % 4 = 2) AS cataloged,
-  count(*) FILTER (WHERE (l_returnflag = 'R' OR p_size % 4 = 3) AND NOT l_suppkey % 10 = 0 AND l_linestatus = 'O') AS linked,
-  count(*) FILTER (WHERE l_suppkey % 10 = 0) AS unchecked, true AS searched
-FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2""",
+    """WITH c AS (SELECT *, l_returnflag <> 'R' AS has_isbn, l_suppkey % 10 > 0 AND (l_partkey + l_suppkey) % 10 <= 6 AS answered FROM lineitem)
+SELECT l_orderkey AS page_id, l_linenumber AS section_ord, count(*) AS total,
+  count(*) FILTER (WHERE has_isbn AND answered AND p_size % 4 < 2) AS open, count(*) FILTER (WHERE has_isbn AND answered AND p_size % 4 = 2) AS cataloged,
+  count(*) FILTER (WHERE (NOT has_isbn OR answered AND p_size % 4 = 3) AND l_linestatus = 'O') AS linked,
+  count(*) FILTER (WHERE has_isbn AND NOT answered) AS unchecked, true AS searched
+FROM c JOIN part ON p_partkey = l_partkey GROUP BY 1, 2""",
 )
 def stream_citation_coverage(spark, sf):
-    lines = file_stream(spark, f"{sf}/lineitem.parquet")
+    """Every line is a cite, asked for when it ships; nine in ten lookups are answered, up to nine hours later, in time up to six."""
+    lines = table(spark, sf, "lineitem")
+    request = F.concat_ws("-", *[F.col(c).cast("string") for c in lines.columns])
     cites = lines.select(
-        F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("section_ord"),
-        F.when(F.col("l_returnflag") != "R", F.col("l_partkey")).alias("isbn"),
-        (F.col("l_suppkey") % 10 == 0).alias("unchecked"), (F.col("l_linestatus") == "O").alias("has_link"),
+        request.alias("request"), F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("section_ord"),
+        F.when(F.col("l_returnflag") != "R", F.col("l_partkey")).alias("isbn"), (F.col("l_linestatus") == "O").alias("has_link"),
+        F.col("l_shipdate").cast("timestamp").alias("cited_at"),
     )
+    hours = (F.col("l_partkey") + F.col("l_suppkey")) % 10
     size = F.col("p_size") % 4
-    volumes = table(spark, sf, "part").select(
-        F.col("p_partkey").alias("isbn"),
-        F.when(size == 0, "full").when(size == 1, "borrow").when(size == 2, "catalog").alias("availability"),
+    answers = lines.filter("l_returnflag <> 'R' AND l_suppkey % 10 > 0").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey")).select(
+        request.alias("request"), F.when(size == 0, "full").when(size == 1, "borrow").when(size == 2, "catalog").alias("access"),
+        (F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(hours=hours.cast("int"))).alias("answered_at"),
+    ).dropDuplicates(["request"])
+    # A side whose key is null is left out of the join before its time is looked at.
+    told = _log(spark, "answers", answers, "answered_at", request="end")
+    out = S.stream_citation_coverage(
+        _log(spark, "cites", cites, "cited_at"), told, scratch_path(spark, "settled"), scratch_path(spark, "settled-state")
     )
-    return run_updates(S.stream_citation_coverage(cites, volumes), ["page_id", "section_ord"], "coverage")
+    return out.filter("page_id IS NOT NULL")
 
 
 def _chain(armers: str, length: str) -> str:
@@ -89,6 +112,19 @@ def ttl_first_seen(spark, sf):
     return S.ttl_first_seen(answers, 6 * 3600)
 
 
+@query(
+    "stream_ttl_first_seen",
+    f"""{REQ.replace('WITH', 'WITH RECURSIVE', 1)}, {_chain('true', '21600000000')}
+SELECT event_id, CAST(host AS VARCHAR) AS key, event_id NOT IN (SELECT event_id FROM ch) AS hit, false AS late FROM v_requests""",
+)
+def stream_ttl_first_seen(spark, sf):
+    answers = view(spark, sf, "v_requests").select("event_id", F.col("host").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    out, checkpoint = scratch_path(spark, "seen"), scratch_path(spark, "seen-state")
+    stream = S.stream_ttl_first_seen(_log(spark, "answers", answers, "ts"), 6 * 3600)
+    with_keyed_state(spark, lambda: start_appends(stream, out, checkpoint).awaitTermination())
+    return spark.read.schema(stream.schema).parquet(out).filter("event_id IS NOT NULL").drop("step")
+
+
 RENDERS = """SELECT user_id AS title, CASE WHEN event_type = 'signup' THEN 'old' ELSE 'new' END AS build, ts, event_type <> 'error' AS complete, event_id AS render FROM events"""
 
 
@@ -97,12 +133,18 @@ RENDERS = """SELECT user_id AS title, CASE WHEN event_type = 'signup' THEN 'old'
     f"""WITH r AS ({RENDERS}) SELECT title, arg_max(complete, (ts, complete, render)) AS complete, arg_max(render, (ts, complete, render)) AS render FROM r WHERE build = 'new' GROUP BY title""",
 )
 def latest_render(spark, sf):
-    events = file_stream(spark, f"{sf}/events.parquet")
+    """Through the stream: closed days are written and leave the state; the table merged from them shows every title."""
+    events = table(spark, sf, "events")
     renders = events.select(
         F.col("user_id").alias("title"), F.when(F.col("event_type") == "signup", "old").otherwise("new").alias("build"),
-        "ts", (F.col("event_type") != "error").alias("complete"), F.col("event_id").alias("render"),
+        F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("complete"), F.col("event_id").alias("render"),
     )
-    return run_updates(S.latest_render(renders, "new"), ["title"], "renders").drop("ts")
+    log = _log(spark, "renders", renders, "ts").withColumn("build", F.coalesce("build", F.lit("new")))
+    out = scratch_path(spark, "closed")
+    stream = S.settled_renders(log, "new")
+    start_appends(stream, out, scratch_path(spark, "closed-state")).awaitTermination()
+    closed = spark.read.schema(stream.schema).parquet(out).filter("title IS NOT NULL")
+    return S.latest_render(closed, "new").drop("ts")
 
 
 @query(

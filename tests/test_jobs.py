@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -189,3 +190,100 @@ def test_due_for_refresh_waits_for_quiet(spark):
     hosts = spark.createDataFrame([("h",)], "host string")
     assert S.due_for_refresh(current, hosts).count() == 0
     assert [r.title for r in S.due_for_refresh(current, hosts.limit(0)).collect()] == ["b"]
+
+
+def _ttl_loop(rows, ttl):
+    """(hit, late) by id; steps in order, the rows of a step by time."""
+    out, until, seen = {}, {}, {}
+    for step in rows:
+        for event, key, t in sorted(step, key=lambda r: (r[2], r[0])):
+            if key in seen and until[key] > seen[key] and t < seen[key]:
+                out[event] = (None, True)
+                continue
+            seen[key] = t
+            hit = t < until.get(key, -1)
+            if not hit:
+                until[key] = t + ttl
+            out[event] = (hit, False)
+    return out
+
+
+def test_keyed_times_to_live_over_steps_with_a_restart(spark, tmp_path):
+    """Late rows, a busy key, and a query that ends and goes on from its checkpoint; closed intervals leave the state."""
+    from marginalia.streaming.keyed import with_keyed_state
+    from marginalia.streaming.runner import start_appends
+
+    rng, day = random.Random(6), 1_704_100_000
+    steps, event = [], 0
+    for k in range(3):
+        rows = []
+        for _ in range(40):
+            event += 1
+            rows.append((event, rng.choice(["hot", "hot", "a", "b", f"once{event}"]), day + 3000 * k + rng.randint(-300, 2999)))
+        steps.append(rows)
+    path, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+    for rows in steps:  # one file and one run each: what is open is handed over by the state alone
+        df = spark.createDataFrame(rows, "event_id long, key string, t long").select("event_id", "key", F.timestamp_seconds("t").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(path)
+        stream = S.stream_ttl_first_seen(file_stream(spark, path), 1200)
+        with_keyed_state(spark, lambda s=stream: start_appends(s, out, checkpoint).awaitTermination())
+    read = spark.read.schema(stream.schema).parquet(out)
+    assert {r.event_id: (r.hit, r.late) for r in read.collect()} == _ttl_loop(steps, 1200)
+    held = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
+    newest = max(t for rows in steps for _, _, t in rows)
+    with_keyed_state(spark, lambda: None)
+    ends = [r["value"]["until"] for r in held.collect()]
+    assert 0 < len(ends) < 60 and min(ends) > (newest - 3600 - 3000 - 1200) * 1_000_000
+    keys = {key for rows in steps for _, key, _ in rows}
+    assert len(ends) < len(keys)
+
+
+def test_cites_settle_by_answer_or_by_time(spark, tmp_path):
+    from marginalia.streaming.runner import start_appends
+
+    noon = 1_704_110_400
+
+    def put(name, rows, columns, at):
+        df = spark.createDataFrame(rows, columns).withColumn(at, F.timestamp_seconds("t")).drop("t")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    cite, answer = "request long, page_id long, section_ord long, isbn string, has_link boolean, t long", "request long, access string, t long"
+    steps = [
+        ([(1, 7, 1, "i1", True, noon), (2, 7, 1, "i2", True, noon + 60), (3, 7, 1, None, True, noon)], [(1, "full", noon + 10)]),
+        ([(4, 7, 2, "i4", False, noon + 3600)], [(2, "catalog", noon + 60 + 3 * 3600)]),  # an answer three hours late
+        ([(None, None, None, None, None, noon + 10 * 86400)], [(4, "full", noon + 3600 + 7 * 3600), (-1, None, noon + 10 * 86400)]),
+    ]
+    seen = []
+    for cites, answers in steps:
+        put("cites", cites, cite, "cited_at")
+        put("answers", answers, answer, "answered_at")
+        streams = [file_stream(spark, str(tmp_path / n)) for n in ("cites", "answers")]
+        stream = S.settled_cites(*streams)
+        start_appends(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+        rows = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).filter("page_id IS NOT NULL").collect()
+        seen.append({(r.section_ord, r.isbn): (r.access, r.unchecked) for r in rows})
+    assert seen[0] == {(1, "i1"): ("full", False)}
+    assert seen[1] == {(1, "i1"): ("full", False), (1, "i2"): ("catalog", False)}
+    assert seen[2] == {**seen[1], (1, None): (None, False), (2, "i4"): (None, True)}
+
+
+def test_closed_days_leave_the_state_and_stay_in_the_table(spark, tmp_path):
+    from marginalia.streaming.runner import start_appends
+
+    noon = 1_704_110_400
+    steps = [
+        [("a", noon, True, 1), ("b", noon + 5, False, 2), ("a", noon, True, 1)],
+        [("c", noon + 2 * 86400, True, 3), ("b", noon - 5 * 86400, True, 9)],
+        [("c", noon + 2 * 86400 + 9, False, 4), ("d", noon + 6 * 86400, True, 5)],
+    ]
+    for rows in steps:
+        df = spark.createDataFrame(rows, "title string, t long, complete boolean, render long")
+        df.select("title", F.lit("new").alias("build"), F.timestamp_seconds("t").alias("ts"), "complete", "render").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = S.settled_renders(file_stream(spark, str(tmp_path / "in")), "new")
+        query = start_appends(stream, str(tmp_path / "out"), str(tmp_path / "check"))
+        query.awaitTermination()
+    written = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+    assert {(r.title, r.render, r.writes) for r in written.collect()} == {("a", 1, 1), ("b", 2, 1), ("c", 4, 2)}
+    assert {(r.title, r.render) for r in S.latest_render(written, "new").collect()} == {("a", 1), ("b", 2), ("c", 4)}
+    state = spark.read.format("statestore").option("operatorId", 0).load(str(tmp_path / "check"))
+    assert {r["key"]["title"] for r in state.collect()} == {"d"}
