@@ -40,6 +40,29 @@ def class_closure(edges: DataFrame, classes: DataFrame, hops: int = 4) -> DataFr
         frontier = new.filter(F.col("hop") == hops).drop("hop")
 
 
+def descendants(edges: DataFrame, roots: DataFrame, hops: int = 4) -> DataFrame:
+    """Every class at or below a root, once per mark, with the mark: the few roots are followed down and every class is reached
+    once, however many ways lead there, so the work is that of the edges below the roots and no pairs of classes are kept.
+
+    ``edges``: child, parent; ``roots``: class, mark. A cycle ends like a leaf does; a null class is no root."""
+    steps = cut_lineage(edges.select("child", "parent").distinct())
+    frontier = cut_lineage(roots.select("class", "mark").filter("class IS NOT NULL").distinct())
+    found = frontier
+    while True:
+        level, reached = frontier, None
+        for hop in range(1, hops + 1):
+            level = level.join(steps, level["class"] == steps["parent"]).select(F.col("child").alias("class"), "mark").distinct()
+            tagged = level.withColumn("hop", F.lit(hop))
+            reached = tagged if reached is None else reached.unionByName(tagged)
+        new = cut_lineage(
+            reached.groupBy("class", "mark").agg(F.min("hop").alias("hop")).join(found, ["class", "mark"], "left_anti")
+        )
+        if new.isEmpty():
+            return found
+        found = found.unionByName(new.drop("hop"))
+        frontier = new.filter(F.col("hop") == hops).drop("hop")
+
+
 def undirected_edges(edges: DataFrame) -> DataFrame:
     """Every edge both ways."""
     swapped = edges.withColumns({"src": F.col("dst"), "dst": F.col("src")})

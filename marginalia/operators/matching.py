@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from marginalia.functions.identifiers import (
     norm_doi,
 )
 from marginalia.functions.markup import let
-from marginalia.functions.ordering import top_k
+from marginalia.functions.ordering import ordered_ranges, top_k
 from marginalia.functions.places import earth_point, map_feature, tile
 from marginalia.functions.text import (
     canonical_title,
@@ -26,6 +27,7 @@ from marginalia.functions.text import (
     title_tokens,
     year_of,
 )
+from marginalia.operators.graph import descendants
 from marginalia.operators.ranking import best_rank_values
 
 
@@ -436,29 +438,83 @@ def alnum(text: Column) -> Column:
 
 def inventory_match(statements: DataFrame, records: DataFrame, registry: DataFrame) -> DataFrame:
     """The first record whose normal url ends with the entity's inventory
-    number; the stated museum must be registered. A suffix join as an
-    equi-join: only suffixes as long as some inventory number are compared."""
+    number; the stated museum must be registered. A suffix join: see ``prefix_first``."""
     asked = (
         statements.join(registry.select("museum").distinct(), "museum", "left_semi")
-        .withColumn("suffix", alnum(F.col("inventory")))
-        .filter("suffix <> ''")
-    )
-    # One small integer per distinct length; lengths are bounded by the
-    # longest inventory number.
-    lengths = sorted(r[0] for r in asked.select(F.length("suffix")).distinct().collect())
-    if not lengths:
-        lengths = [0]
-    url = alnum(F.col("url"))
-    suffixes = (
-        records.withColumn("_url", url)
-        .select("record_id", "ord", "_url", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n"))
-        .filter(F.length("_url") >= F.col("n"))
-        .groupBy(F.expr("right(_url, n)").alias("suffix"))
-        .agg(F.min(F.struct("ord", "record_id")).alias("r"))
-    )
-    return asked.join(suffixes, "suffix").select(
-        "qid", "inventory", F.col("r.record_id").alias("record_id")
-    )
+        .withColumn("_text", F.reverse(alnum(F.col("inventory"))))
+        .filter("_text <> ''")
+    )
+    held = records.select(F.reverse(alnum(F.col("url"))).alias("text"), F.struct("ord", "record_id").alias("value"))
+    found = prefix_first(asked.select(F.col("_text").alias("text")), held)
+    return asked.join(found, asked["_text"] == found["text"]).select("qid", "inventory", F.col("value.record_id").alias("record_id"))
+
+
+def prefix_first(prefixes: DataFrame, texts: DataFrame) -> DataFrame:
+    """For every distinct prefix (``text``) the least ``value`` of the ``texts`` (text, value: a struct) that begin with it;
+    prefixes that begin none are left out.
+
+    Prefixes and texts are sorted together, so the texts that begin with a prefix follow it without a gap. Each text is one row of
+    one sorted range; a range keeps only the prefixes that are open where it reads, each within the one before. A
+    prefix that is open where a range begins is one of that range's first text, so these few are found by a join."""
+    kind = texts.schema["value"].dataType.simpleString()
+    rows = prefixes.select("text", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("value")).distinct().unionByName(
+        texts.filter("text <> ''").select("text", F.lit(1).alias("kind"), "value")
+    )
+    ranged = ordered_ranges(rows, [F.col("text"), F.col("kind")]).sortWithinPartitions("text", "kind")
+    first = ranged.groupBy("_range").agg(F.min("text").alias("first"))
+    begins = first.select("_range", F.explode(F.transform(F.sequence(F.lit(1), F.length("first")), lambda n: F.substring("first", F.lit(1), n))).alias("text"))
+    # At most as many rows as ranges times the longest prefix that is asked for.
+    known = ranged.filter("kind = 0").select("text")
+    opened: dict[int, list[str]] = {}
+    for r in begins.join(known, "text").select("_range", "text").toLocalIterator():
+        opened.setdefault(r["_range"], []).append(r["text"])
+    parts = ranged.select("_range", "text", "kind", "value").mapInArrow(_open_prefixes(opened), f"text string, value {kind}")
+    return parts.groupBy("text").agg(F.min("value").alias("value"))
+
+
+def _open_prefixes(opened: dict[int, list[str]]):
+    def order(value: dict) -> tuple:
+        return tuple((x is not None, x) if x is not None else (False,) for x in value.values())
+
+    def better(stack: list[list], value: dict | None) -> None:
+        if stack and value is not None and (stack[-1][1] is None or order(value) < order(stack[-1][1])):
+            stack[-1][1] = value
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack: list[list] = []
+        begun, kind = False, None
+
+        def close(out: list[list]) -> None:
+            """The innermost open prefix with its least value, which also counts for the one around it."""
+            done = stack.pop()
+            better(stack, done[1])
+            if done[1] is not None:
+                out.append(done)
+
+        def told(out: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], kind)], ["text", "value"])
+
+        for rows in batches:
+            out: list[list] = []
+            kind = rows.schema.field("value").type
+            for number, text, is_text, value in zip(*(rows.column(c).to_pylist() for c in ("_range", "text", "kind", "value")), strict=True):
+                if not begun:
+                    begun = True
+                    stack.extend([p, None] for p in sorted(opened.get(number, []), key=len))
+                while stack and not text.startswith(stack[-1][0]):
+                    close(out)
+                if is_text:
+                    better(stack, value)
+                elif not stack or stack[-1][0] != text:
+                    stack.append([text, None])
+            yield told(out)
+        out = []
+        while stack:
+            close(out)
+        if begun:
+            yield told(out)
+
+    return run
 
 
 # Scanned parts that belong to the head.
@@ -759,21 +815,19 @@ def holder_census(
 
 def subclass_control(
     claims: DataFrame,
-    closure: DataFrame,
+    edges: DataFrame,
     classes: DataFrame,
     registry: DataFrame,
     sitelinks: DataFrame,
     class_property: str = "P31",
 ) -> DataFrame:
     """How many items with an article and a museum's id are works only through
-    a subclass. ``closure``: class, super (strict or reflexive)."""
+    a subclass. ``edges``: child, parent; what lies below a class is found from above, without the closure."""
     best = best_rank_values(claims.filter(F.col("value_id").isNotNull()))
     of_class = best.filter(F.col("property") == class_property).select("qid", F.col("value_id").alias("class"))
     known = classes.select("class").distinct()
     direct = of_class.join(known, "class", "left_semi").select("qid")
-    below = closure.filter("class <> super").join(
-        known.withColumnRenamed("class", "super"), "super", "left_semi"
-    ).select("class").distinct()
+    below = descendants(edges, known.withColumn("mark", F.lit("work"))).select("class")
     held = best.join(registry.select("property"), "property", "left_semi").select("qid")
     return (
         of_class.join(below, "class", "left_semi")

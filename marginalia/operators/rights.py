@@ -14,6 +14,7 @@ from marginalia.functions.licences import (
     licence_rank,
     status_struct,
 )
+from marginalia.operators.graph import descendants
 
 
 def classify_licenses(df: DataFrame, uri: Column, slug: Column, label: Column) -> DataFrame:
@@ -175,23 +176,18 @@ def attach_rights(entries: DataFrame, rights: DataFrame) -> DataFrame:
 
 
 def class_verdicts(
-    closure: DataFrame,
+    edges: DataFrame,
     item_classes: DataFrame,
     ended: DataFrame,
     locatable: DataFrame,
     historical: DataFrame,
 ) -> DataFrame:
     """Per item: is it a place, is it defunct. A class is judged once, by its
-    ancestors; an item by any of its classes or by a stated end. An item
-    without a class is neither. ``closure``: class, super (reflexive)."""
-    marks = closure.join(
-        locatable.select(F.col("class").alias("super"), F.lit(True).alias("_place")), "super", "left"
-    ).join(
-        historical.select(F.col("class").alias("super"), F.lit(True).alias("_past")), "super", "left"
-    )
-    verdicts = marks.groupBy("class").agg(
-        F.bool_or(F.coalesce("_place", F.lit(False))).alias("_place"),
-        F.bool_or(F.coalesce("_past", F.lit(False))).alias("_past"),
+    ancestors, whose marks come down the ``edges`` (child, parent); an item by any of its classes or by a stated end. An item
+    without a class is neither."""
+    roots = locatable.select("class", F.lit("place").alias("mark")).unionByName(historical.select("class", F.lit("past").alias("mark")))
+    verdicts = descendants(edges, roots).groupBy("class").agg(
+        F.bool_or(F.col("mark") == "place").alias("_place"), F.bool_or(F.col("mark") == "past").alias("_past")
     )
     judged = item_classes.join(verdicts, "class", "left").groupBy("item").agg(
         F.count("class").alias("_classes"),

@@ -28,15 +28,10 @@ def undirected_edges(spark, sf):
 
 @query(
     "hop_distances",
-    """WITH pe AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem),
-p1 AS (SELECT p FROM pe WHERE s = (SELECT min(s_suppkey) FROM supplier)),
-s2 AS (SELECT DISTINCT s FROM pe WHERE p IN (SELECT p FROM p1) AND s <> (SELECT min(s_suppkey) FROM supplier)),
-p3 AS (SELECT DISTINCT p FROM pe WHERE s IN (SELECT s FROM s2) AND p NOT IN (SELECT p FROM p1)),
-s4 AS (SELECT DISTINCT s FROM pe WHERE p IN (SELECT p FROM p3) AND s NOT IN (SELECT s FROM s2) AND s <> (SELECT min(s_suppkey) FROM supplier)),
-p5 AS (SELECT DISTINCT p FROM pe WHERE s IN (SELECT s FROM s4) AND p NOT IN (SELECT p FROM p1 UNION SELECT p FROM p3)),
-s6 AS (SELECT DISTINCT s FROM pe WHERE p IN (SELECT p FROM p5) AND s NOT IN (SELECT s FROM s2 UNION SELECT s FROM s4) AND s <> (SELECT min(s_suppkey) FROM supplier))
-SELECT 's' || min(s_suppkey) AS id, 0::BIGINT AS dist FROM supplier UNION ALL SELECT 'p' || p, 1 FROM p1 UNION ALL SELECT 's' || s, 2 FROM s2
-UNION ALL SELECT 'p' || p, 3 FROM p3 UNION ALL SELECT 's' || s, 4 FROM s4 UNION ALL SELECT 'p' || p, 5 FROM p5 UNION ALL SELECT 's' || s, 6 FROM s6""",
+    """WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+d(id, dist) USING KEY (id) AS (SELECT 's' || min(s_suppkey), 0::BIGINT FROM supplier
+  UNION SELECT ways.b, d.dist + 1 FROM d JOIN ways ON ways.a = d.id LEFT JOIN recurring.d AS r ON r.id = ways.b WHERE r.id IS NULL)
+SELECT id, dist FROM d""",
 )
 def hop_distances(spark, sf):
     seed = table(spark, sf, "supplier").agg(F.concat(F.lit("s"), F.min("s_suppkey").cast("string")).alias("id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marginalia.operators import graph as G
+from marginalia.functions.identifiers import host_of
 from marginalia.operators import matching as J
 from marginalia.operators import measure as M
 from marginalia.operators import rights as R
@@ -22,14 +22,18 @@ CITES = with_views("v_cites")
   CASE WHEN institution IS NULL THEN CASE WHEN editions > 40 AND partner = 'Brand#7' THEN 'several-institutions' ELSE 'no-institution' END
     WHEN NOT public_domain THEN 'non-pd-rights' WHEN image_url IS NULL THEN 'no-image' WHEN href IS NULL THEN 'no-object-page' END AS reason FROM v_holdings)
 SELECT partner, host, reason, count(*) AS n, CAST(grouping(partner) * 4 + grouping(host) * 2 + grouping(reason) AS BIGINT) AS "grouping"
-FROM g GROUP BY ROLLUP (partner, host, reason)""",
+FROM g GROUP BY ROLLUP (partner, host, reason)
+UNION ALL SELECT partner, host, reason, count(*), -1 FROM g WHERE reason IS NULL GROUP BY ALL""",
 )
 def gate_failures(spark, sf):
     holdings = view(spark, sf, "v_holdings").withColumn(
         "providers", F.when(F.col("editions") > 40, 2).otherwise(1)
     ).withColumn("partner", F.when(F.col("partner") == "Brand#7", "iiif").otherwise(F.col("partner")))
-    _, counts = J.gate_failures(holdings)
-    return counts.withColumn("partner", F.when(F.col("partner") == "iiif", "Brand#7").otherwise(F.col("partner")))
+    judged, counts = J.gate_failures(holdings)
+    passing = judged.filter("reason IS NULL").groupBy("partner", host_of(F.col("href")).alias("host"), "reason").agg(
+        F.count("*").alias("n"), F.lit(-1).cast("bigint").alias("grouping")
+    )
+    return counts.unionByName(passing).withColumn("partner", F.when(F.col("partner") == "iiif", "Brand#7").otherwise(F.col("partner")))
 
 
 GEO = """SELECT qid, CASE WHEN c_acctbal < 0 THEN '<http://globe.example/Q405> ' ELSE '' END AS globe, lon, lat,
@@ -550,10 +554,8 @@ def subclass_control(spark, sf):
     claims = sql_over(spark, sf, HOLDER_CLAIMS, "v_claims").withColumn(
         "property", F.when(F.col("property") == "P6", "P31").otherwise(F.col("property"))
     )
-    asked = claims.filter("property = 'P31'").select(F.col("value_id").alias("class"))
-    closure = G.class_closure(view(spark, sf, "v_class"), asked)
     return J.subclass_control(
-        claims, closure, sql_over(spark, sf, CONTROL_CLASSES), registry(spark), sql_over(spark, sf, SITELINKS)
+        claims, view(spark, sf, "v_class"), sql_over(spark, sf, CONTROL_CLASSES), registry(spark), sql_over(spark, sf, SITELINKS)
     )
 
 
@@ -571,9 +573,8 @@ SELECT qid AS item, bool_or(place) AS place, bool_or(past) OR qid IN (SELECT ite
 )
 def class_verdicts(spark, sf):
     item_classes = view(spark, sf, "v_claims").select(F.col("qid").alias("item"), F.col("value_id").alias("class"))
-    closure = G.class_closure(view(spark, sf, "v_class"), item_classes)
     return R.class_verdicts(
-        closure, item_classes, sql_over(spark, sf, ENDED), sql_over(spark, sf, LOCATABLE), sql_over(spark, sf, HISTORICAL)
+        view(spark, sf, "v_class"), item_classes, sql_over(spark, sf, ENDED), sql_over(spark, sf, LOCATABLE), sql_over(spark, sf, HISTORICAL)
     )
 
 

@@ -90,11 +90,16 @@ HOSTS = """SELECT DISTINCT p_brand AS slug, CASE CAST(substr(p_brand, 7) AS INT)
   WHEN 0 THEN 'example.com' WHEN 1 THEN 'example.net' WHEN 2 THEN 'example.org' ELSE 'elsewhere.test' END AS base
 FROM part"""
 
+# Hosts that one page's cards alone point at: the partner's own, that of the page, or one the page does not link.
+CARD_HOSTS = """SELECT page_id, concat('Brand#', CAST(page_id % 25 + 1 AS STRING)) AS slug,
+  CASE WHEN page_id % 3 = 0 THEN 'not-linked.test' ELSE replace(replace(lower(host), 'www.', ''), 'm.', '') END AS base FROM v_pages WHERE page_id % 5 < 3"""
+
 VISIBILITY_SQL = f"""tally AS ({TALLY_SQL}), hosts AS ({HOSTS}),
 reach AS (SELECT page_id, regexp_replace(lower(host), '^www\\.', '') AS host,
   page_id % 2 = 0 AS kartographer, page_id % 3 = 0 AS identifier_bar FROM v_pages),
 linked AS (SELECT DISTINCT page_id, slug FROM reach JOIN hosts
-  ON reach.host = hosts.base OR ends_with(reach.host, concat('.', hosts.base))),
+  ON reach.host = hosts.base OR ends_with(reach.host, concat('.', hosts.base))
+  UNION SELECT page_id, slug FROM reach JOIN (SELECT page_id, slug, base FROM ({CARD_HOSTS})) USING (page_id) WHERE reach.host = base OR ends_with(reach.host, concat('.', base))),
 rows AS (SELECT t.page_id, t.slug, t.cards, t.notes,
   CASE WHEN t.slug = 'Brand#4' AND r.kartographer THEN 'shown'
     WHEN l.slug IS NOT NULL THEN 'link' ELSE 'invisible' END AS tier, r.identifier_bar
@@ -115,7 +120,8 @@ def visibility(spark, sf):
         (F.col("page_id") % 2 == 0).alias("kartographer"),
         (F.col("page_id") % 3 == 0).alias("identifier_bar"),
     )
-    hosts = sql_over(spark, sf, HOSTS).withColumn("page_id", F.lit(None).cast("bigint"))
+    general = sql_over(spark, sf, HOSTS).withColumn("page_id", F.lit(None).cast("bigint"))
+    hosts = general.unionByName(sql_over(spark, sf, CARD_HOSTS, "v_pages"))
     return M.visibility_report(
         tally(spark, sf), pages, hosts,
         map_partner="Brand#4", bar_partners=("Brand#5", "Brand#9"), doi_partner="Brand#1",
@@ -442,19 +448,28 @@ def attach_rights(spark, sf):
     return R.attach_rights(entries, rights).drop("copy_code", "loan_code", "trusts_creator")
 
 
-# Licence lines of documents, read as a slug, a label or a URI.
-DOC_TOKENS = """SELECT source, regexp_extract(text, 'icensed under (CC BY[A-Z-]*)', 1) AS cc,
-  text LIKE '%MIT License%' AS mit FROM documents"""
+# Every licence line of every document, read as a URI, a slug or a label in turn; a document without one counts as such.
+DOC_CODES = ("CC BY", "CC BY-SA", "CC BY-NC", "CC BY-ND", "CC BY-NC-SA", "CC BY-NC-ND")
+DOC_LINES = r"icensed under (CC BY[A-Z-]*)|(MIT License)"
 
 
 @query(
     "classify_licenses",
-    f"""WITH d AS ({DOC_TOKENS})
-SELECT source, CASE WHEN cc IN ('CC BY', 'CC BY-SA', 'CC BY-NC', 'CC BY-ND', 'CC BY-NC-SA', 'CC BY-NC-ND') THEN cc END AS licence, count(*) AS n
-FROM d GROUP BY 1, 2""",
+    f"""WITH d AS (SELECT source, unnest(CASE WHEN regexp_matches(text, '{DOC_LINES}') THEN list_concat(regexp_extract_all(text, 'icensed under (CC BY[A-Z-]*)', 1),
+  list_transform(regexp_extract_all(text, 'MIT License'), lambda x: 'MIT')) ELSE [NULL] END) AS line FROM documents)
+SELECT source, CASE WHEN line IN {DOC_CODES} THEN line END AS licence, count(*) AS n FROM d GROUP BY 1, 2""",
 )
 def classify_licenses(spark, sf):
-    docs = sql_over(spark, sf, DOC_TOKENS)
-    slug = F.when(F.col("cc") != "", F.lower(F.replace("cc", F.lit(" "), F.lit("-")))).when(F.col("mit"), "mit")
-    none = F.lit(None).cast("string")
-    return R.license_census(R.classify_licenses(docs, uri=none, slug=slug, label=none))
+    docs = table(spark, sf, "documents")
+    line = F.concat(
+        F.regexp_extract_all("text", F.lit("icensed under (CC BY[A-Z-]*)"), F.lit(1)), F.regexp_extract_all("text", F.lit("MIT License"), F.lit(0))
+    )
+    lines = docs.select("doc_id", "source", F.posexplode_outer(line).alias("k", "line"))
+    slug = F.lower(F.replace("line", F.lit(" "), F.lit("-")))
+    uri = F.concat(F.lit("https://creativecommons.org/licenses/"), F.replace(slug, F.lit("cc-"), F.lit("")), F.lit("/4.0/"))
+    label = F.replace(F.replace("line", F.lit("CC BY"), F.lit("Creative Commons Attribution")), F.lit("-NC"), F.lit("-NonCommercial"))
+    label = F.replace(F.replace(label, F.lit("-ND"), F.lit("-NoDerivs 4.0 International")), F.lit("-SA"), F.lit("-Share Alike 3.0"))
+    turn = (F.coalesce("doc_id", F.lit(0)) + F.coalesce("k", F.lit(0))) % 3
+    cc = F.col("line").startswith("CC")
+    read = R.classify_licenses(lines, uri=F.when(cc & (turn == 0), uri), slug=F.when((turn == 1) | ~cc, slug), label=F.when(cc & (turn == 2), label))
+    return R.license_census(read)

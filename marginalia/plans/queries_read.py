@@ -9,6 +9,7 @@ from marginalia.operators import matching as J
 from marginalia.operators import quality as Q
 from marginalia.plans import corpus as C
 from marginalia.plans.catalog import query
+from marginalia.plans.queries_match import CENSUS_SQL, CONTROL_CLASSES, census, subclass_control
 from marginalia.plans.views import sql_over, table, view, with_views
 from marginalia.session import cut_lineage, scratch_path
 from marginalia.sources import readers as RD
@@ -196,7 +197,7 @@ def section_links(spark, sf):
 
 @query(
     "resolve_titles",
-    f"""{LINES}, t AS (SELECT DISTINCT upper(title[1]) || title[2:] AS title FROM x WHERE section_ord = 1),
+    f"""{LINES}, t AS (SELECT DISTINCT upper(title[1]) || title[2:] AS title FROM x),
 red AS (SELECT DISTINCT p_name AS f, split_part(p_name, ' ', 1) || ' plate' AS t FROM part WHERE p_name LIKE '% ring'),
 props AS (SELECT p_name AS title, 'Q' || min(p_partkey) AS qid FROM part WHERE p_name NOT LIKE '% bolt' GROUP BY 1)
 SELECT t.title, qid FROM t LEFT JOIN red ON upper(f[1]) || f[2:] = t.title
@@ -204,7 +205,7 @@ LEFT JOIN props ON upper(props.title[1]) || props.title[2:] = coalesce(upper(red
 )
 def resolve_titles(spark, sf):
     part = table(spark, sf, "part").select("p_name", "p_partkey")
-    titles = C.lines(spark, sf).filter("section_ord = 1").select(F.replace("title", F.lit(" "), F.lit("_")).alias("title"))
+    titles = C.lines(spark, sf).select(F.replace("title", F.lit(" "), F.lit("_")).alias("title"))
     redirects = part.filter("p_name LIKE '% ring'").select(
         F.col("p_name").alias("from"), F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("_plate")).alias("to")
     )
@@ -256,7 +257,9 @@ FROM m LEFT JOIN acc ON acc.page_id = m.page_id AND acc.section_ord = m.section_
 )
 def footnotes(spark, sf):
     pages = cut_lineage(C.articles(spark, sf))
-    blocks, _ = X.text_blocks(X.section_html(pages, stop_at=2), keep_markers=True)
+    # Lines whose key ends in 5 have lost their marker.
+    bare = F.regexp_replace("html", r'<sup class="reference"><a href="#cite_note-k\d*5">[^<]*</a></sup>', "")
+    blocks, _ = X.text_blocks(X.section_html(pages.withColumn("html", bare), stop_at=2), keep_markers=True)
     notes = J.footnotes(X.note_markers(blocks), X.reference_notes(pages), sql_over(spark, sf, ACCESS, "v_cites"))
     return notes.select("page_id", "section_ord", "name", F.col("ord.block").alias("block"), "num", "isbn", "access")
 
@@ -272,15 +275,30 @@ def article_reach(spark, sf):
     return flags.drop("templates").join(hosts, "page_id", "left")
 
 
+URLS = """SELECT CASE p_size % 6 WHEN 0 THEN 'https://archive.org/details/' || split_part(p_name, ' ', 1) || p_partkey || '?view=x'
+  WHEN 1 THEN 'https://en.wikipedia.org/wiki/' || replace(p_name, ' ', '_') || '#Top' WHEN 2 THEN 'http://www.wikidata.org/entity/Q' || p_partkey
+  WHEN 3 THEN 'https://upload.wikimedia.org/wikipedia/commons/thumb/a/ab/' || replace(p_name, ' ', '%20') || '.jpg/220px-x.jpg'
+  WHEN 4 THEN 'https://archive.org/search?q=' || p_partkey ELSE 'https://en.wikipedia.org/w/index.php?title=' || p_partkey END AS url FROM part
+UNION ALL SELECT url FROM pages"""
+
+
 @query(
     "url_identifiers",
-    f"""{with_views('v_pages')}, r AS (SELECT regexp_replace(lower(host), '^www\\.', '') AS host, regexp_extract(url, '/(en|fr|de|es)/([0-9]+)', 1) AS kind FROM v_pages),
-c AS (SELECT host, kind, count(*) AS urls FROM r GROUP BY 1, 2)
-SELECT * FROM (SELECT host, kind, urls, CAST(urls AS DOUBLE) / CAST(sum(urls) OVER (PARTITION BY host) AS DOUBLE) AS share FROM c) WHERE kind <> ''""",
+    f"""WITH u AS ({URLS}), k AS (SELECT *, CASE WHEN url LIKE 'https://archive.org/details/%' THEN 'archive' WHEN url LIKE 'https://en.wikipedia.org/wiki/%' THEN 'article'
+    WHEN url LIKE '%wikidata.org/entity/Q%' THEN 'entity' WHEN url LIKE 'https://upload.wikimedia.org/%' THEN 'file' END AS kind,
+  regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '') AS host FROM u),
+s AS (SELECT host, kind, count(*) AS urls, CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER (PARTITION BY host) AS DOUBLE) AS share FROM k GROUP BY 1, 2),
+i AS (SELECT *, CASE kind WHEN 'archive' THEN regexp_extract(url, 'details/([a-z0-9]+)', 1) WHEN 'entity' THEN regexp_extract(url, 'Q[0-9]+')
+  WHEN 'article' THEN replace(regexp_extract(url, 'wiki/([^#]+)', 1), '_', ' ') ELSE replace(regexp_extract(url, 'ab/([^/]+)/', 1), '%20', ' ') END AS name FROM k WHERE kind IS NOT NULL)
+SELECT i.host, i.kind, name AS id, count(*) AS n, any_value(urls) AS urls, any_value(share) AS share
+FROM i JOIN s ON s.host = i.host AND s.kind = i.kind GROUP BY 1, 2, 3""",
 )
 def url_identifiers(spark, sf):
-    rules = {lang: rf"/{lang}/([0-9]+)" for lang in ("en", "fr", "de", "es")}
-    return X.url_identifiers(view(spark, sf, "v_pages").select("url"), "url", rules)[1]
+    """The real rules over addresses of all kinds, and the given pages, which none of them knows."""
+    urls = sql_over(spark, sf, URLS.replace("FROM pages", "FROM v_pages"), "v_pages")
+    found, shares = X.url_identifiers(urls, "url")
+    counted = found.groupBy("host", "kind", "id").agg(F.count("*").alias("n"))
+    return counted.join(shares, ["host", "kind"])
 
 
 REPORTED = """SELECT qid, property, ord, CASE WHEN value_id % 3 = 0 THEN CAST(value_id AS STRING) || ' U.S. ' || CAST(ord AS STRING)
@@ -303,14 +321,16 @@ def reporter_cites(spark, sf):
   count(*) FILTER (WHERE ln = 2 AND rf <> 'A') AS undated_web, count(*) FILTER (WHERE ln = 7) AS without_id,
   count(*) FILTER (WHERE ln = 2 AND brand = 'Brand#9') AS circular,
   (count(*) FILTER (WHERE ln IN (1, 2, 3, 7)) > 0)::INT + (count(*) FILTER (WHERE ln = 5) > 0)::INT + (count(*) FILTER (WHERE ln = 6) > 0)::INT > 1 AS mixed_styles FROM x GROUP BY page_id)
-SELECT *, 0::BIGINT AS uncited_paragraphs FROM r""",
+SELECT r.*, n AS uncited_paragraphs FROM r JOIN (SELECT page_id, count(*) FILTER (WHERE key % 10 = 5) AS n FROM x GROUP BY page_id) USING (page_id)""",
 )
 def citation_audit(spark, sf):
     pages = cut_lineage(C.articles(spark, sf))
     refs = X.ref_styles(X.slice_sections(pages, stop_at=2)).withColumn(
         "url", F.when(F.col("url").contains("brand-9."), F.lit("https://en.wikipedia.org/wiki/X")).otherwise(F.col("url"))
     )
-    blocks, _ = X.text_blocks(X.section_html(pages, stop_at=2), keep_markers=True)
+    # Lines whose key ends in 5 have lost their marker.
+    bare = F.regexp_replace("html", r'<sup class="reference"><a href="#cite_note-k\d*5">[^<]*</a></sup>', "")
+    blocks, _ = X.text_blocks(X.section_html(pages.withColumn("html", bare), stop_at=2), keep_markers=True)
     marked = blocks.withColumn("has_marker", F.contains("html", F.lit('href="#cite_note-')))
     return Q.citation_audit(refs, marked)
 
@@ -471,19 +491,31 @@ def write_bands(spark, sf):
     bands = coverage(spark, sf).select("page_id", "section_ord", F.col("total").alias("entries"), "open")
     path = scratch_path(spark, "bands")
     SK.write_bands(bands, path)
-    return spark.read.schema(bands.schema).parquet(path)
+    return SK.read_committed(spark, path)["bands"]
 
 
 @query(
     "write_census",
-    f"""WITH r AS (SELECT p_partkey AS qid, p_brand AS property FROM part)
-SELECT count(DISTINCT qid) AS items, count(*) AS rows, (SELECT count(DISTINCT p_brand) FROM part) AS subclass_only, '2026-08-17' AS queried FROM r""",
+    f"""{with_views('v_claims', 'v_class').replace('WITH', 'WITH RECURSIVE', 1)}, {CENSUS_SQL}, ctl AS ({CONTROL_CLASSES}),
+up AS (SELECT child AS class, parent AS super FROM v_class UNION SELECT up.class, v.parent FROM up JOIN v_class v ON v.child = up.super),
+kind AS (SELECT qid, value_id AS class FROM best WHERE property = 'P6'),
+only_sub AS (SELECT count(DISTINCT qid) AS n FROM kind WHERE class IN (SELECT class FROM up WHERE super IN (SELECT class FROM ctl) AND super <> class)
+  AND qid NOT IN (SELECT qid FROM kind WHERE class IN (SELECT class FROM ctl)) AND qid IN (SELECT qid FROM sl)
+  AND qid IN (SELECT qid FROM best JOIN reg ON reg.property = best.property))
+SELECT 'rows' AS part, qid, property AS name, CAST(id AS VARCHAR) AS id, title, (SELECT count(DISTINCT value_id) FROM best c WHERE c.qid = rows.qid AND c.property = 'P4') AS n,
+  NULL::BIGINT AS subclass_only, '2026-08-17' AS queried FROM rows
+UNION ALL SELECT 'holders', NULL, partner, NULL, NULL, count(*), NULL, '2026-08-17' FROM pick WHERE n = 1 AND qid IN (SELECT qid FROM rows) GROUP BY partner
+UNION ALL SELECT 'summary', count(DISTINCT qid), NULL, NULL, NULL, count(*), (SELECT n FROM only_sub), '2026-08-17' FROM rows""",
 )
 def write_census(spark, sf):
-    part = table(spark, sf, "part")
-    rows = part.select(F.col("p_partkey").alias("qid"), F.col("p_brand").alias("property"))
-    holders = rows.groupBy("property").agg(F.count("*").alias("items"))
-    control = rows.agg(F.countDistinct("property").alias("n"))
+    """A census of holders written, and all three tables read back."""
     path = scratch_path(spark, "census")
-    SK.write_census(rows, holders, control, "2026-08-17", path)
-    return spark.read.schema("items bigint, rows bigint, subclass_only bigint, queried string").json(f"{path}/summary")
+    SK.write_census(*census(spark, sf), subclass_control(spark, sf), "2026-08-17", path)
+    held = SK.read_committed(spark, path)
+    day = F.col("queried").cast("string").alias("queried")
+    rows = held["rows"].select(
+        F.lit("rows").alias("part"), "qid", F.col("property").alias("name"), F.col("id").cast("string").alias("id"), "title", F.col("collections").alias("n"), day
+    )
+    holders = held["holders"].select(F.lit("holders").alias("part"), F.col("partner").alias("name"), F.col("items").alias("n"), day)
+    summary = held["summary"].select(F.lit("summary").alias("part"), F.col("items").alias("qid"), F.col("rows").alias("n"), "subclass_only", day)
+    return rows.unionByName(holders, allowMissingColumns=True).unionByName(summary, allowMissingColumns=True)

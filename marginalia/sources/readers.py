@@ -244,17 +244,29 @@ def _rijks(raw: DataFrame) -> DataFrame:
 
 
 def manifest_text(value: Column) -> Column:
-    """Plain text of a manifest value in any of its shapes: text, list,
-    language map, or {"@value": text}."""
-    text = value
-    for _ in range(3):
-        inner = F.coalesce(
-            F.get_json_object(text, "$['@value']"), F.get_json_object(text, "$.en"), F.get_json_object(text, "$.none"),
-            F.get_json_object(text, "$[0]"),
-            F.get(F.map_values(F.from_json(text, "map<string,string>")), F.lit(0)),
-        )
-        text = F.when(F.ltrim(text).rlike(r"^[\[{]"), inner).otherwise(text)
-    return blank_to_null(strip_tags(text))
+    """Plain text of a manifest value in any of its shapes, nested to any depth: text, list,
+    language map, or {"@value": text}. Of a language map the English text, else the one without a language,
+    else that of the least language code. What is not JSON although it begins like it is null."""
+    nested = F.ltrim(value).rlike(r"^[\[{]")
+    depth = F.length(value) - F.length(F.translate(value, "[{", ""))  # no value lies deeper than it has opening brackets
+
+    def inside(v: Column) -> Column:
+        def part(path: str) -> Column:
+            found = F.try_variant_get(v, path, "variant")
+            return F.when(~F.is_variant_null(found), found)
+
+        def first(entries: Column) -> Column:
+            return F.try_element_at(entries, F.try_element_at(F.array_sort(F.map_keys(entries)), F.lit(1)))
+
+        any_ = first(F.try_variant_get(v, "$", "map<string,variant>"))
+        return F.coalesce(part("$['@value']"), part("$.en"), part("$.none"), part("$[0]"), any_)
+
+    def step(v: Column, _: Column) -> Column:
+        return F.when(F.schema_of_variant(v).rlike("^(ARRAY|OBJECT)<"), inside(v)).otherwise(v)
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), F.try_parse_json(value), step)
+    found = F.when(~F.schema_of_variant(walked).rlike("^(ARRAY|OBJECT)<"), F.try_variant_get(walked, "$", "string"))
+    return blank_to_null(strip_tags(F.when(nested, found).otherwise(value)))
 
 
 def _iiif(raw: DataFrame) -> DataFrame:

@@ -287,3 +287,68 @@ def test_closed_days_leave_the_state_and_stay_in_the_table(spark, tmp_path):
     assert {(r.title, r.render) for r in S.latest_render(written, "new").collect()} == {("a", 1), ("b", 2), ("c", 4)}
     state = spark.read.format("statestore").option("operatorId", 0).load(str(tmp_path / "check"))
     assert {r["key"]["title"] for r in state.collect()} == {"d"}
+
+
+def _closure_loop(edges, start):
+    seen, todo = {start}, [start]
+    while todo:
+        x = todo.pop()
+        for child, parent in edges:
+            if child == x and parent not in seen:
+                seen.add(parent)
+                todo.append(parent)
+    return seen
+
+
+def test_marks_come_down_diamonds_and_cycles_without_the_closure(spark, monkeypatch):
+    edges = [(4, 2), (4, 3), (2, 1), (3, 1), (5, 4), (6, 5), (1, 0), (20, 21), (21, 22), (22, 20), (30, 31)] + [(100 + k, 99 + k) for k in range(1, 12)]
+    frame = spark.createDataFrame(edges + edges[:3], "child long, parent long")
+    roots = spark.createDataFrame([(1, "a"), (3, "b"), (21, "b"), (100, "a"), (None, "a"), (77, "a")], "class long, mark string")
+    monkeypatch.setattr(G, "class_closure", None)
+    got = {tuple(r) for r in G.descendants(frame, roots).collect()}
+    nodes = {x for e in edges for x in e} | {77}
+    want = {(n, m) for n in nodes for r, m in [(1, "a"), (3, "b"), (21, "b"), (100, "a"), (77, "a")] if r in _closure_loop(edges, n)}
+    assert got == want
+
+
+def test_census_is_current_only_when_all_of_it_is_written(spark, tmp_path, monkeypatch):
+    from marginalia.sources import sinks as SK
+
+    path = str(tmp_path / "census")
+    rows = spark.createDataFrame([(1, "p", 10), (1, "q", 11), (2, "p", 12)], "qid long, property string, id long")
+    holders, control = rows.groupBy("property").count(), spark.createDataFrame([(5,)], "n long")
+    SK.write_census(rows, holders, control, "2026-01-01", path)
+    failing = holders.withColumn("count", F.raise_error(F.lit("no")).cast("long"))
+    try:
+        SK.write_census(rows.limit(1), failing, control, "2026-01-02", path)
+        raise AssertionError("the run should have failed")
+    except Exception as error:
+        assert "no" in str(error)
+    held = SK.read_committed(spark, path)
+    assert {str(r.queried) for r in held["rows"].collect()} == {"2026-01-01"} and held["rows"].count() == 3
+    assert [(r["items"], r["rows"], r["subclass_only"]) for r in held["summary"].collect()] == [(2, 3, 5)]
+    SK.write_census(rows.limit(1), holders, control, "2026-01-03", path)
+    assert SK.read_committed(spark, path)["rows"].count() == 1
+
+
+def test_prefixes_across_ranges_against_a_loop(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    prefixes = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 7))) for _ in range(60)] + ["", "zz", "a", "a", texts[0] + "x"]
+    values = [(x, (rng.randint(0, 30) if rng.random() > 0.1 else None, i)) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(values, "text string, value struct<ord:int,record_id:int>")
+    asked = spark.createDataFrame([(p,) for p in prefixes if p], "text string")
+    want = {}
+    for p in set(prefixes) - {""}:
+        some = [v for x, v in values if x.startswith(p)]
+        if some:
+            want[p] = min(some, key=lambda v: (v[0] is not None, v[0] or 0, v[1]))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for ranges in (1, 7, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+            got = {r.text: tuple(r.value) for r in J.prefix_first(asked, df).collect()}
+            assert got == want, ranges
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert J.prefix_first(asked, df.limit(0)).count() == 0

@@ -1,5 +1,7 @@
 """Column expressions and extraction on small hand-made cases."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,13 @@ def value(spark, col, text):
     (L.code_from_slug, "other-oa", None),
     (L.code_from_label, "Creative Commons Attribution-NonCommercial 4.0", "CC BY-NC"),
     (L.code_from_label, "CC0", None),
+    (L.code_from_label, "Creative Commons Attribution-Share Alike 3.0 Unported", "CC BY-SA"),
+    (L.code_from_label, "CC attribution, non-commercial, no derivatives", "CC BY-NC-ND"),
+    (L.code_from_label, "creativecommons zero with attribution", "CC0"),
+    (L.code_from_label, "Creative Commons Public Domain Mark 1.0", "PDM"),
+    (L.code_from_label, "Creative Commons NonCommercial", None),
+    (L.code_from_label, "Attribution-ShareAlike", None),
+    (L.code_from_label, "", None),
     (L.jurisdiction_code, "countries with 50 years pma or shorter", "PMA-50-OR-LESS"),
     (L.jurisdiction_code, "countries with 70 years pma", "PMA-70"),
     (L.jurisdiction_code, "Netherlands", "Netherlands"),
@@ -232,3 +241,21 @@ def test_open_markup_costs_linear_time(spark):
     for unit in ('<div class="hatnote">', "<table ", '<span class="geo" ', "<p>", "<ref>{{cite book|"):
         took(100, unit)
         assert took(16_000, unit) < 8 * took(4_000, unit) + 2
+
+
+# --- manifests nested to any depth --------------------------------------------------
+
+
+def test_manifest_text_at_any_depth(spark):
+    from marginalia.sources.readers import manifest_text
+
+    deep = "A title"
+    for k in range(12):
+        deep = [deep, "other"] if k % 3 == 0 else {"@value": deep} if k % 3 == 1 else {"de": "zwei", "en": deep}
+    cases = {
+        json.dumps(deep): "A title", "plain": "plain", '{"none":["x"]}': "x", '{"fr":["y"],"de":["z"]}': "z", '[{"@value":"<b>bold</b> v"}]': "bold v",
+        '{"broken": ': None, "[": None, "{}": None, "[]": None, '{"en": null, "none": "n"}': "n", '["  "]': None, '{"en":[[["n"]]]}': "n", '[3]': "3",
+    }
+    df = spark.createDataFrame(list(cases.items()), "raw string, want string")
+    for r in df.select("raw", "want", manifest_text(df.raw).alias("got")).collect():
+        assert r.got == r.want, r.raw
