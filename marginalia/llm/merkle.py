@@ -54,10 +54,11 @@ def _up(nodes: list[str], fanout: int) -> list[str]:
     return [hashlib.sha256("".join(nodes[k : k + fanout]).encode()).hexdigest() for k in range(0, len(nodes), fanout)]
 
 
-def _own_levels(leaves: list[str], alone: bool, fanout: int, levels: int) -> list[list[str]]:
-    """Nodes of a block by level. The only block of a part ends at its root; any other is as high as a full one."""
+def _own_levels(leaves: list[str], first: bool, fanout: int, levels: int) -> list[list[str]]:
+    """Nodes of a block by level. A first block that is not full is its part's only one and ends at the root; any other is as
+    high as a full one, which ends at one node by itself."""
     out = [leaves]
-    while len(out) <= levels and not (alone and len(out[-1]) == 1):
+    while len(out) <= levels and not (first and len(out[-1]) == 1):
         out.append(_up(out[-1], fanout))
     return out
 
@@ -116,8 +117,8 @@ def _swap(state: DataFrame, stride: int, fanout: int) -> DataFrame:
 def _block_roots(fanout: int, levels: int):
     def run(rows: pa.Table) -> pa.Table:
         rows, first = rows.sort_by("_place"), rows.slice(0, 1)
-        top = _own_levels(rows["_leaf"].to_pylist(), first["_blocks"][0].as_py() == 1, fanout, levels)[-1]
-        return pa.table({"part": first["_part"], "place": first["_block"], "places": first["_blocks"], "digest": pa.array(top, pa.string())})
+        top = _own_levels(rows["_leaf"].to_pylist(), first["_block"][0].as_py() == 0, fanout, levels)[-1]
+        return pa.table({"part": first["_part"], "place": first["_block"], "digest": pa.array(top, pa.string())})
 
     return run
 
@@ -125,7 +126,7 @@ def _block_roots(fanout: int, levels: int):
 def _block_proofs(fanout: int, levels: int):
     def run(rows: pa.Table, upper: pa.Table) -> pa.Table:
         rows, over = rows.sort_by("_place"), upper.slice(0, 1).to_pylist()[0]
-        nodes = _own_levels(rows["_leaf"].to_pylist(), rows["_blocks"][0].as_py() == 1, fanout, levels)
+        nodes = _own_levels(rows["_leaf"].to_pylist(), rows["_block"][0].as_py() == 0, fanout, levels)
         before, after = [], []
         for k in range(len(rows)):
             left, right = [], []
@@ -136,7 +137,7 @@ def _block_proofs(fanout: int, levels: int):
                 k //= fanout
             before.append(left + over["before"])
             after.append(right + over["after"])
-        out = rows.drop_columns(["_part", "_place", "_block", "_blocks", "_leaf"])
+        out = rows.drop_columns(["_part", "_place", "_block", "_leaf"])
         for name in ("subroot", "root"):
             out = out.append_column(name, pa.array([over[name]] * len(rows), pa.string()))
         for name, held in (("before", before), ("after", after)):
@@ -161,14 +162,13 @@ def manifest(rows: DataFrame, part: str, order: str, leaf: str = "leaf", fanout:
     placed = rank_within(kept, ["_part"], ["_order", "_leaf"], "_place").drop("_order").withColumn("_place", F.col("_place") - 1)
     size = fanout**levels
     placed = placed.withColumn("_block", F.expr(f"_place div {size}"))
-    sizes = placed.groupBy("_part").agg((F.expr(f"max(_place) div {size}") + 1).alias("_blocks"))
-    placed = placed.join(sizes, "_part")
     roots = cut_lineage(
-        placed.select("_part", "_place", "_leaf", "_block", "_blocks").groupBy("_part", "_block").applyInArrow(
-            _block_roots(fanout, levels), "part string, place bigint, places bigint, digest string"
+        placed.select("_part", "_place", "_leaf", "_block").groupBy("_part", "_block").applyInArrow(
+            _block_roots(fanout, levels), "part string, place bigint, digest string"
         )
     )
-    upper = butterfly(roots, fanout)
+    sizes = roots.groupBy("part").agg((F.max("place") + 1).alias("places"))
+    upper = butterfly(roots.join(sizes, "part"), fanout)
     parts = upper.filter("place = 0").select(F.lit("all").alias("part"), F.col("part").alias("name"), F.col("root").alias("digest"))
     parts = rank_within(parts, ["part"], ["name"], "place").withColumn("place", F.col("place") - 1)
     names = cut_lineage(parts.crossJoin(F.broadcast(parts.agg(F.count("*").alias("places")))))
