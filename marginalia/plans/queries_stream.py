@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from marginalia.plans.catalog import query
 from marginalia.plans.views import sql_over, table, view, with_views
-from marginalia.session import scratch_path
+from marginalia.session import cut_lineage, scratch_path
 from marginalia.streaming import jobs as S
 from marginalia.streaming.keyed import with_keyed_state
 from marginalia.streaming.runner import file_stream, run_updates, start_appends, time_slices
@@ -147,6 +149,27 @@ def latest_render(spark, sf):
     return S.latest_render(closed, "new").drop("ts")
 
 
+@query(
+    "due_for_refresh",
+    f"""WITH RECURSIVE {REQ.removeprefix('WITH ')}, {_chain('status = 429', REST)}, r AS ({RENDERS}),
+cur AS (SELECT title, arg_max(complete, (ts, complete, render)) AS complete, arg_max(render, (ts, complete, render)) AS render FROM r WHERE build = 'new' GROUP BY title),
+asks AS (SELECT unnest([0, 300, 600, 900]) AS after), last AS (SELECT max(epoch_us(ts)) AS at FROM v_requests)
+SELECT CAST(after AS BIGINT) AS after, title, render FROM asks, cur WHERE NOT complete
+  AND NOT EXISTS (SELECT 1 FROM ch, last WHERE ch.fin > last.at + after * 1000000)""",
+)
+def due_for_refresh(spark, sf):
+    """Which thin renders are due, asked at the end of the log and at some times after it: none while a host still cools."""
+    events = table(spark, sf, "events")
+    renders = events.select(
+        F.col("user_id").alias("title"), F.when(F.col("event_type") == "signup", "old").otherwise("new").alias("build"),
+        F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("complete"), F.col("event_id").alias("render"),
+    )
+    current = cut_lineage(S.latest_render(renders, "new"))
+    open_ = cut_lineage(S.open_intervals(requests(events)))
+    out = [S.due_for_refresh(current, open_.filter(F.col("left_s") > after)).select(F.lit(after).cast("bigint").alias("after"), "title", "render") for after in (0, 300, 600, 900)]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 @query(
     "windowed_request_load",
     f"""{REQ} SELECT epoch(time_bucket(INTERVAL 10 MINUTES, ts))::BIGINT AS window_start, host, count(*) AS requests, count(*) FILTER (WHERE status = 429) AS refusals, max(duration_s) AS slowest
