@@ -9,6 +9,7 @@ from marginalia.operators import measure as M
 from marginalia.operators import rights as R
 from marginalia.plans.catalog import query
 from marginalia.plans.views import sql_over, table, view, with_views
+from marginalia.sources.pages import store_by_page
 
 # Cites with the answer of the volume lookup, as the coverage counts read it.
 ACCESS = """SELECT page_id, section_ord, ord, source, cite_key, title, has_image, licensed,
@@ -29,6 +30,11 @@ def access(spark, sf):
     return sql_over(spark, sf, ACCESS, "v_cites")
 
 
+def with_access(cites):
+    """The same over cites that are at hand."""
+    return cites.sparkSession.sql(ACCESS.replace("v_cites", "{cites}"), cites=cites)
+
+
 def coverage(spark, sf):
     return M.citation_coverage(access(spark, sf))
 
@@ -86,6 +92,28 @@ def tally(spark, sf):
 
 query("partner_tally", f"{with_views('v_cites')} {TALLY_SQL}")(tally)
 
+def page_cites(spark, sf):
+    """The cites of all pages, dealt by page once."""
+    return store_by_page(view(spark, sf, "v_cites"), "cites")
+
+
+@query(
+    "stored_page_profile",
+    f"""{with_views('v_cites')}, t AS ({TALLY_SQL}), c AS ({COVERAGE_SQL})
+SELECT page_id, (SELECT count(*) FROM t WHERE t.page_id = c.page_id) AS partners, sum(total)::BIGINT AS total, sum(open)::BIGINT AS open,
+  (SELECT sum(n)::BIGINT FROM (SELECT count(*) AS n FROM v_cites v WHERE v.page_id = c.page_id AND cite_key IS NOT NULL GROUP BY cite_key HAVING count(*) > 1)) AS repeated
+FROM c GROUP BY page_id""",
+)
+def stored_page_profile(spark, sf):
+    """Per page its partners, its coverage and how many cites repeat a work: three groupings and two joins over one stored table."""
+    cites = page_cites(spark, sf)
+    partners = cites.groupBy("page_id").agg(F.countDistinct("source").alias("partners"))
+    covered = M.citation_coverage(with_access(cites)).groupBy("page_id").agg(F.sum("total").alias("total"), F.sum("open").alias("open"))
+    works = cites.filter("cite_key IS NOT NULL").groupBy("page_id", "cite_key").agg(F.count("*").alias("n")).filter("n > 1")
+    again = works.groupBy("page_id").agg(F.sum("n").alias("repeated"))
+    return covered.join(partners, "page_id").join(again, "page_id", "left").select("page_id", "partners", "total", "open", "repeated")
+
+
 HOSTS = """SELECT DISTINCT p_brand AS slug, CASE CAST(substr(p_brand, 7) AS INT) % 4
   WHEN 0 THEN 'example.com' WHEN 1 THEN 'example.net' WHEN 2 THEN 'example.org' ELSE 'elsewhere.test' END AS base
 FROM part"""

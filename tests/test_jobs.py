@@ -352,3 +352,28 @@ def test_prefixes_across_ranges_against_a_loop(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert J.prefix_first(asked, df.limit(0)).count() == 0
+
+
+def test_stored_pages_are_grouped_and_joined_without_a_shuffle(spark):
+    from marginalia.operators import measure as M
+    from marginalia.sources.pages import drop_stored, store_by_page
+
+    rng = random.Random(2)
+    rows = [(k % 97 if k % 50 else None, rng.randint(1, 4), f"s{rng.randint(0, 3)}", rng.choice(["full", None]), k % 3 == 0) for k in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, section_ord long, source string, access string, has_link boolean").withColumn("unchecked", F.lit(False))
+    stored, other = store_by_page(df, "pages_test", buckets=4), store_by_page(df.select("page_id", "source").distinct(), "pages_test", buckets=4)
+    try:
+        covered = M.citation_coverage(stored).groupBy("page_id").agg(F.sum("total").alias("total"))
+        tally = stored.groupBy("page_id", "source").count().join(other.groupBy("page_id").agg(F.max("source").alias("m")), "page_id").join(covered, "page_id")
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = tally._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, plan
+        plain = df.groupBy("page_id", "source").count().join(df.groupBy("page_id").agg(F.max("source").alias("m")), "page_id")
+        plain = plain.join(M.citation_coverage(df).groupBy("page_id").agg(F.sum("total").alias("total")), "page_id")
+        assert sorted(map(tuple, tally.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        hot = df.withColumn("page_id", F.when(F.rand(1) < 0.4, 1).otherwise(F.col("page_id")))
+        assert store_by_page(hot, "pages_test") is hot
+    finally:
+        assert drop_stored(spark, "pages_test") == 2
