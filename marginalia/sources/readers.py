@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.identifiers import blank_to_null, entity_id
 from marginalia.functions.licences import code_from_slug, code_from_uri, usage_code
 from marginalia.functions.markup import strip_tags
+from marginalia.sources.jsonmap import SPLIT_BYTES, JsonMap
 
 ARTICLE = (
     "page_id bigint, title string, html string, wikitext string, templates array<string>, "
@@ -582,9 +583,12 @@ def parse_curated_graph(items: DataFrame, connections: DataFrame) -> tuple[DataF
     rest = [c for c in nodes.columns if c != "id"]
     nodes = nodes.groupBy("id").agg(F.min(F.struct(*rest)).alias("_n")).select("id", "_n.*")
     edge = "array<struct<targetId:string,type:string,label:string,linkedVia:array<string>>>"
+    if "raw" in connections.columns:  # whole documents
+        lists = connections.select(F.explode(F.from_json("raw", f"map<string,{edge}>")).alias("src", "out"))
+    else:  # entries of one
+        lists = connections.select(F.col("key").alias("src"), F.from_json("value", edge).alias("out"))
     edges = (
-        connections.select(F.explode(F.from_json("raw", f"map<string,{edge}>")).alias("src", "out"))
-        .select("src", F.explode("out").alias("e"))
+        lists.select("src", F.explode("out").alias("e"))
         .select(
             "src", F.col("e.targetId").alias("dst"), "e.type", "e.label",
             F.coalesce("e.linkedVia", F.array().cast("array<string>")).alias("linked_via"),
@@ -593,6 +597,9 @@ def parse_curated_graph(items: DataFrame, connections: DataFrame) -> tuple[DataF
     return nodes, edges
 
 
-def read_curated_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def read_curated_graph(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The graph of a folder. Its one large file, the connections, is read in ranges of ``split_bytes``."""
+    spark.dataSource.register(JsonMap)
     items = raw_files(spark, f"{folder}/items/*.json").unionByName(raw_files(spark, f"{folder}/seed.json"))
-    return parse_curated_graph(items, raw_files(spark, f"{folder}/connections.json"))
+    connections = spark.read.format("json_map").option("splitBytes", split_bytes).load(f"{folder}/connections.json")
+    return parse_curated_graph(items, connections)

@@ -377,3 +377,45 @@ def test_stored_pages_are_grouped_and_joined_without_a_shuffle(spark):
         assert store_by_page(hot, "pages_test") is hot
     finally:
         assert drop_stored(spark, "pages_test") == 2
+
+
+def _odd_map(rng, n):
+    words = ["plain", "a ],", '],\\"x\\": [{', "]", "\u00e4 \U0001f600", "\\\\", "", "{", '"', "],"]
+    out = {}
+    for k in range(n):
+        key = f"{rng.choice(words)} {k}"
+        out[key] = [
+            {"targetId": f"t{j}", "type": rng.choice(words), "label": rng.choice(words) * rng.randint(0, 3), "linkedVia": rng.sample(words, rng.randint(0, 3))}
+            for j in range(rng.randint(0, 4))
+        ]
+    return out
+
+
+def test_json_map_entries_in_any_ranges():
+    from marginalia.sources.jsonmap import entries
+
+    rng = random.Random(5)
+    for indent in (None, 1, 3):
+        for n in (0, 1, 40):
+            held = _odd_map(rng, n)
+            raw = json.dumps(held, indent=indent, ensure_ascii=indent == 3).encode()
+            for width in (1, 7, 64, 500, len(raw)):
+                got = []
+                for at in range(0, len(raw), width):
+                    got += list(entries(lambda a, m, raw=raw: raw[a : a + m], len(raw), at, min(at + width, len(raw))))
+                assert [k for k, _ in got] == list(held) and {k: json.loads(v) for k, v in got} == held, (indent, n, width)
+
+
+def test_connections_are_read_by_several_tasks(spark, tmp_path):
+    rng = random.Random(6)
+    held = _odd_map(rng, 300)
+    (tmp_path / "items").mkdir()
+    (tmp_path / "items" / "a.json").write_text(json.dumps({"id": "a", "title": "A"}))
+    (tmp_path / "seed.json").write_text(json.dumps({"id": "s", "title": "S"}))
+    (tmp_path / "connections.json").write_text(json.dumps(held, indent=2), encoding="utf-8")
+    _, edges = RD.read_curated_graph(spark, str(tmp_path), split_bytes=4000)
+    assert edges.rdd.getNumPartitions() > 5
+    want = sorted((k, e["targetId"], e["type"], e["label"], tuple(e["linkedVia"])) for k, v in held.items() for e in v)
+    assert sorted((r.src, r.dst, r.type, r.label, tuple(r.linked_via)) for r in edges.collect()) == want
+    _, whole = RD.parse_curated_graph(RD.raw_files(spark, str(tmp_path / "seed.json")), RD.raw_files(spark, str(tmp_path / "connections.json")))
+    assert whole.count() == len(want)
