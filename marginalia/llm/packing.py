@@ -24,7 +24,9 @@ from marginalia.session import cut_lineage
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 600_000  # of either generation
+CACHE_WORDS = 1_000_000  # of either generation
+SIGNS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
+LONGEST_SIGNS, CACHE_SIGNS = 8, 10_000
 SEARCH_NODES = 20_000
 FILLINGS = 24
 
@@ -33,7 +35,7 @@ _encoders: dict[str, _Encoder] = {}
 
 class _Encoder:
     """Token ids of texts as little-endian bytes, by words: the tokenizer drops white space, so a text's ids are those of
-    its blank-separated words in turn. A Latin word with one sign behind it is that word in lower case and that sign, for
+    its blank-separated words in turn. A Latin word with signs behind it is that word in lower case and those signs, for
     the tokenizer lower-cases and cuts there itself. Two generations of a bounded store keep the ids of words met before."""
 
     def __init__(self, path: str):
@@ -46,15 +48,21 @@ class _Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.signs = {c: self._one(c) for c in ".,;:!?"}
+        self.signs: dict[str, bytes] = {"": b""}
 
     def _one(self, word: str) -> bytes:
         return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _signs(self, found: set[str]) -> dict[str, bytes]:
+        if len(self.signs) + len(found) > CACHE_SIGNS:
+            self.signs = {"": b""}
+        self.signs.update((x, self._one(x)) for x in found - self.signs.keys())
+        return self.signs
+
     def _learn_latin(self, stems: list[str]) -> None:
         """Words of letters alone are one run of tokens each, so many are encoded in one go and cut behind the last tokens."""
         groups = [stems[k : k + 200] for k in range(0, len(stems), 200)]
-        for some, found in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for some, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.asarray(found.ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(some):
@@ -72,19 +80,18 @@ class _Encoder:
         back = new & old.keys()
         known.update(zip(back, map(old.__getitem__, back), strict=True))
         words = list(new - back)
-        signs = self.signs
-        stems = [w[:-1] if w[-1:] in signs else w for w in words]
-        latin = [s.isalpha() and (s.isascii() or max(s) < "\u0130") for s in stems]
+        stems = [w.rstrip(SIGNS) for w in words]
+        tails = [w[len(s) :] for w, s in zip(words, stems, strict=True)]
+        latin = [s.isalpha() and (s.isascii() or max(s) < "\u0130") and len(t) <= LONGEST_SIGNS for s, t in zip(stems, tails, strict=True)]
+        signs = self._signs({t for t, ok in zip(tails, latin, strict=True) if ok})
         stems = [s.lower() if ok else s for s, ok in zip(stems, latin, strict=True)]
         missing = {s for s, ok in zip(stems, latin, strict=True) if ok} - known.keys()
         back = missing & old.keys()
         known.update(zip(back, map(old.__getitem__, back), strict=True))
         self._learn_latin(list(missing - back))
-        known.update(
-            (w, known[s] + signs[w[-1]] if w[-1] in signs else known[s]) for w, s, ok in zip(words, stems, latin, strict=True) if ok
-        )
+        known.update((w, known[s] + signs[t]) for w, s, t, ok in zip(words, stems, tails, latin, strict=True) if ok)
         rest = [w for w, ok in zip(words, latin, strict=True) if not ok]
-        for word, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[word] = np.asarray(found.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
