@@ -62,8 +62,9 @@ def spans_of(text: Column, pattern: str, kind: int) -> Column:
     return F.when(text.rlike(pattern), out).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
-def window_spread(text: Column, alphabet: str, least_bits: float, width: int = WIDTH) -> Column:
-    """The reach (start, end; null if none) of the windows of ``text`` whose entropy exceeds ``least_bits``.
+def window_stretches(text: Column, alphabet: str, least_bits: float, width: int = WIDTH) -> Column:
+    """The stretches (structs of start, end) of ``text`` that its windows whose entropy exceeds ``least_bits`` cover; windows
+    that touch or overlap make one.
 
     One pass: the state holds the window's count per character and the sum of count·log2(count). A step
     lets one character in and, once the window is full, one out, and changes the sum by these two counts alone.
@@ -74,6 +75,7 @@ def window_spread(text: Column, alphabet: str, least_bits: float, width: int = W
         zero = F.struct(
             F.lit(0).alias("i"), F.array_repeat(F.lit(0), len(alphabet) + 1).alias("counts"), F.lit(0.0).alias("sum"),
             F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"),
+            F.array().cast("array<struct<start:int,end:int>>").alias("done"),
         )
 
         def shifted(counts: Column, at: Column, by: int) -> Column:
@@ -90,15 +92,22 @@ def window_spread(text: Column, alphabet: str, least_bits: float, width: int = W
                 total = state["sum"] + less + _weight(new + 1) - _weight(new)
                 end = state["i"] + 1
                 high = (end >= width) & (total < F.lit(most))
+                apart = high & (state["end"].isNull() | (end - width > state["end"]))
+                past = apart & state["end"].isNotNull()
                 return F.struct(
                     end.alias("i"), shifted(counts, code, 1).alias("counts"), total.alias("sum"),
-                    F.when(high & state["start"].isNull(), end - width).otherwise(state["start"]).alias("start"),
+                    F.when(apart, end - width).otherwise(state["start"]).alias("start"),
                     F.when(high, end).otherwise(state["end"]).alias("end"),
+                    F.when(past, F.array_append(state["done"], F.struct(state["start"].alias("start"), state["end"].alias("end"))))
+                    .otherwise(state["done"]).alias("done"),
                 )
 
             return F.get(F.transform(F.array(out_of), enter), F.lit(0))
 
-        return F.aggregate(codes, zero, step, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        def last(s: Column) -> Column:
+            return F.when(s["end"].isNull(), s["done"]).otherwise(F.array_append(s["done"], F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+        return F.aggregate(codes, zero, step, last)
 
     codes = F.transform(F.split(text, "(?!^)(?!$)"), lambda ch: F.position(ch, F.lit(alphabet)))
     return F.get(F.transform(F.array(codes), walk), F.lit(0))
@@ -106,7 +115,7 @@ def window_spread(text: Column, alphabet: str, least_bits: float, width: int = W
 
 def entropy_spans(text: Column, known: Column) -> Column:
     """Spans of kind entropy: in all that known spans leave of a candidate string, if no allowed form covers string or
-    piece, the reach of the windows that are too random for the piece's class. ``known`` is sorted by start."""
+    piece, every stretch of windows that are too random for the piece's class. ``known`` is sorted by start."""
     low, wide = CLASSES["hex"], CLASSES["base64"]
     kind = "struct<start:int,end:int,held:string>"
 
@@ -129,21 +138,17 @@ def entropy_spans(text: Column, known: Column) -> Column:
         return (F.length(c["held"]) >= WIDTH) & ~c["held"].rlike(ALLOWED)
 
     def scanned(c: Column) -> Column:
-        reach = F.when(c["held"].rlike("^[0-9a-f]*$"), window_spread(c["held"], *low)).otherwise(window_spread(c["held"], *wide))
-        return F.get(
-            F.transform(
-                F.array(reach),
-                lambda r: F.struct(
-                    (c["start"] + r["start"]).alias("start"), F.lit(3).alias("kind"), (c["start"] + r["end"]).alias("end"),
-                    F.substring(c["held"], r["start"] + 1, r["end"] - r["start"]).alias("held"),
-                ),
+        found = F.when(c["held"].rlike("^[0-9a-f]*$"), window_stretches(c["held"], *low)).otherwise(window_stretches(c["held"], *wide))
+        return F.transform(
+            found,
+            lambda r: F.struct(
+                (c["start"] + r["start"]).alias("start"), F.lit(3).alias("kind"), (c["start"] + r["end"]).alias("end"),
+                F.substring(c["held"], r["start"] + 1, r["end"] - r["start"]).alias("held"),
             ),
-            F.lit(0),
         )
 
     pieces = F.flatten(F.transform(F.filter(spans_of(text, CANDIDATE, 3), fresh), left))
-    found = F.transform(F.filter(pieces, fresh), scanned)
-    return F.filter(found, lambda s: s["start"].isNotNull())
+    return F.flatten(F.transform(F.filter(pieces, fresh), scanned))
 
 
 def _joined(spans: Column) -> Column:
@@ -213,22 +218,28 @@ def _sql_spans(name: str, kind: int, pattern: str, keep: str, source: str = "sec
   QUALIFY {keep})"""
 
 
-# DuckDB's patterns have no lookaround: all runs are taken and the long ones dropped after.
 #: Over a relation ``documents``; also a stage of the pipeline.
 SECRETS_CTE = (
     "secret_docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),"
     + _sql_spans("found_assign", 0, ASSIGN, f"length(regexp_extract(held, '{ASSIGN.replace(chr(39), chr(39) * 2)}', 2)) >= 8") + ","
     + _sql_spans("found_access", 1, ACCESS, "length(held) >= 16") + ","
     + _sql_spans("found_hex", 2, "[0-9a-f]{32,}", "true") + ","
-    + _sql_spans("found_run", 3, "[A-Za-z0-9+/_-]{20,}", "length(held) <= 512") + f""",
+    + _sql_spans("found_run", 3, "[A-Za-z0-9+/_-]{20,}", "true") + f""",
 found_base AS (SELECT * FROM found_assign UNION ALL SELECT * FROM found_access UNION ALL SELECT * FROM found_hex),
-fresh_runs AS (SELECT * FROM found_run r WHERE NOT regexp_matches(held, '{ALLOWED}')
-  AND NOT EXISTS (SELECT 1 FROM found_base b WHERE b.doc_id = r.doc_id AND b.s < r.e AND b.e > r.s)),
+fresh_runs AS (SELECT * FROM found_run WHERE NOT regexp_matches(held, '{ALLOWED}')),
+run_cuts AS (SELECT r.doc_id, r.s AS rs, r.held, b.s, b.e FROM fresh_runs r JOIN found_base b ON b.doc_id = r.doc_id AND b.s < r.e AND b.e > r.s
+  UNION ALL SELECT doc_id, s, held, e, e FROM fresh_runs),
+run_gaps AS (SELECT doc_id, rs, held, s AS until, greatest(rs, coalesce(max(e) OVER (PARTITION BY doc_id, rs ORDER BY s, e
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), rs)) AS since FROM run_cuts),
+run_pieces AS (SELECT doc_id, since AS s, substring(held, since - rs + 1, until - since) AS held FROM run_gaps WHERE until - since >= {WIDTH}),
+fresh_pieces AS (SELECT * FROM run_pieces WHERE NOT regexp_matches(held, '{ALLOWED}')),
 run_windows AS (SELECT doc_id, s, i, list_aggregate(string_split(substring(held, i, {WIDTH}), ''), 'entropy') AS bits,
     CASE WHEN regexp_matches(held, '^[0-9a-f]*$') THEN {CLASSES['hex'][1]} ELSE {CLASSES['base64'][1]} END AS least_bits
-  FROM (SELECT *, unnest(range(1, length(held) - {WIDTH - 2})) AS i FROM fresh_runs)),
+  FROM (SELECT *, unnest(range(1, length(held) - {WIDTH - 2})) AS i FROM fresh_pieces)),
+high_windows AS (SELECT *, i - lag(i) OVER (PARTITION BY doc_id, s ORDER BY i) > {WIDTH} AS apart FROM run_windows WHERE bits > least_bits),
+stretches AS (SELECT *, count(*) FILTER (apart) OVER (PARTITION BY doc_id, s ORDER BY i) AS island FROM high_windows),
 found_entropy AS (SELECT doc_id, 3 AS kind, min(s + i - 1)::BIGINT AS s, max(s + i - 1 + {WIDTH})::BIGINT AS e
-  FROM run_windows WHERE bits > least_bits GROUP BY doc_id, run_windows.s),
+  FROM stretches GROUP BY doc_id, stretches.s, island),
 found_all AS (SELECT doc_id, kind, s, e FROM found_base UNION ALL SELECT doc_id, kind, s, e FROM found_entropy),
 found_named AS (SELECT *, CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'entropy' END
     || ':' || s || ':' || e AS shown FROM found_all)"""
