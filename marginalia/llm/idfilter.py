@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,18 @@ def digests_in(bitmap: np.ndarray, digests: np.ndarray) -> np.ndarray:
     return _bits(bitmap, slot // _BUCKET, np.where(slot > 0, (slot - 1) % _BUCKET, 0))
 
 
+def slot_columns(key: Column) -> list[Column]:
+    """What a task needs of a key to look it up itself, as columns ``_bucket`` and ``_position``."""
+    slot = _slot(key, False)
+    return [(slot / _BUCKET).cast("int").alias("_bucket"), F.bitmap_bit_position(slot).alias("_position")]
+
+
+def slots_in(bitmap: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    """For a batch with ``slot_columns``: False only for keys that are not in the table behind the bitmap."""
+    bucket, position = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_bucket", "_position"))
+    return _bits(bitmap, bucket, position)
+
+
 def maybe_in(bitmap: np.ndarray, key: Column) -> Column:
     """False only for keys that are not in the table behind the bitmap. Only the key goes through Python."""
     held = SparkSession.active().sparkContext.broadcast(bitmap)

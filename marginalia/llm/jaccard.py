@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.ordering import top_k
 from marginalia.llm.components import components
-from marginalia.llm.idfilter import digests_in, id_bitmap, maybe_in
+from marginalia.llm.idfilter import digests_in, id_bitmap, maybe_in, slot_columns, slots_in
 from marginalia.llm.registry import query, table
 from marginalia.llm.textbytes import chunks, flat, lower, mixed, prefix, stretch_digests, words
 from marginalia.session import cut_lineage
@@ -30,6 +30,7 @@ LEAST_PERCENT = 60
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 SKETCH_BITS = 2048  # of the signatures that go to every part a set shares
 SKETCHED_SETS = 256  # sets in a part that are compared by signature before they are grouped
+PART_BYTES = 1 << 19  # of text whose parts are worked out at once
 PIVOTS = 8
 FAN_OUT = 4
 _GROWTH = 1.6
@@ -309,15 +310,21 @@ def _set_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint")
 
 
-def _part_rows(docs: DataFrame, percent: int, width: int, asked: np.ndarray | None = None) -> DataFrame:
-    """key, node: the parts of every set, once per batch for equal sets. ``asked``: a bitmap over the keys that matter."""
-    held_asked = docs.sparkSession.sparkContext.broadcast(asked)
+def _part_rows(
+    docs: DataFrame, percent: int, width: int, asked: np.ndarray | None = None, copied: np.ndarray | None = None, of_copies: bool = True
+) -> DataFrame:
+    """key, node: the parts of every set, once per batch for equal sets. ``asked``: a bitmap over the keys that matter.
+    ``copied``: a bitmap over doc_id that says which texts are taken: those in it, or (``of_copies`` false) the others.
+    Tasks look ids up themselves, so that a task has one Python worker."""
+    held = docs.sparkSession.sparkContext.broadcast((asked, copied))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, wanted = Parts(percent), held_asked.value
+        parts, (wanted, ids) = Parts(percent), held.value
         for whole in batches:
             seen: set[int] = set()
-            for batch in chunks(whole):
+            for batch in chunks(whole, most=PART_BYTES):
+                if ids is not None:
+                    batch = batch.filter(pa.array(slots_in(ids, batch) == of_copies))
                 digests, cuts = shingle_sets(batch.column("text"), width)
                 nodes, keys = [], []
                 for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
@@ -335,7 +342,8 @@ def _part_rows(docs: DataFrame, percent: int, width: int, asked: np.ndarray | No
                     key, node = key[some], node[some]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
 
-    return docs.select("text").mapInArrow(run, "key bigint, node bigint")
+    columns = slot_columns(F.col("doc_id")) if copied is not None else []
+    return docs.select("text", *columns).mapInArrow(run, "key bigint, node bigint")
 
 
 def node_of(held: np.ndarray) -> np.int64:
@@ -435,18 +443,24 @@ def _link_blocks(rows: DataFrame, percent: int) -> DataFrame:
     return spread.mapInArrow(_by_block(finish, ["node", "held", "label", "side"]), "a bigint, b bigint")
 
 
-def candidate_edges(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Edges (a, b) between digests of sets, such that sets that link are in one component.
+def candidate_edges(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
+    """Edges (a, b) between digests of sets, such that sets that link are in one component. ``sets``: doc_id, node of all ``docs``.
 
     Equal parts gather sets, each once however many texts hold it. Parts with the same sets count once; their sets are joined where their signatures, walked as a
-    tree, let them link. In parts of very many sets all are joined to the least."""
+    tree, let them link. In parts of very many sets all are joined to the least.
+
+    A set that one text holds has its parts once, and they are counted before they travel. Only the parts of sets with several
+    texts are made distinct first, for a repeat would change the count and cancel in the sum."""
+    copied = sets.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("_n")).filter("_n > 1")
+    ids = id_bitmap(sets.join(copied, "node"), "doc_id")
+    parts = _part_rows(docs, percent, width, None, ids, False).unionAll(_part_rows(docs, percent, width, None, ids, True).distinct())
     shared = cut_lineage(
-        _part_rows(docs, percent, width).distinct().groupBy("key")
-        .agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("n"), F.bit_xor("node").alias("x"))
-        .filter("leader < last").groupBy("leader", "last", "n", "x").agg(F.min("key").alias("key"))
+        parts.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n"), F.bit_xor("node").alias("x"))
+        .filter("n > 1").groupBy("leader", "n", "x").agg(F.min("key").alias("key"))
     )
     # Two sets of a part are known by now. Parts with more are few: only their rows are dealt out once more.
-    two = shared.filter("n = 2").select(F.col("key").alias("block"), F.explode(F.array("leader", "last")).alias("node"))
+    other = F.col("x").bitwiseXOR(F.col("leader"))
+    two = shared.filter("n = 2").select(F.col("key").alias("block"), F.explode(F.array("leader", other)).alias("node"))
     more = shared.filter("n > 2").select("key", "leader", "n")
     rows = cut_lineage(_part_rows(docs, percent, width, id_bitmap(more, "key", digest=True)).join(more, "key"))
     small = two.unionAll(rows.filter(F.col("n") <= SKETCHED_SETS).select(F.col("key").alias("block"), "node")).distinct()
@@ -471,7 +485,7 @@ def link_similar(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bl
     agree in most parts) in each, so well linked groups are joined by work in proportion to their size; what is then in more than one
     component is walked, block of the smaller components by block of all, so no link is lost."""
     sets = cut_lineage(_set_table(docs, width))
-    near_edges = cut_lineage(candidate_edges(docs, percent, width))
+    near_edges = cut_lineage(candidate_edges(docs, sets, percent, width))
     groups = components(near_edges)
 
     # The sets of all nodes in groups: one document of each node is read again.

@@ -40,6 +40,19 @@ def test_rules_keep_prose_and_reject_menus(spark):
     assert {r.text for r in rules.cleaned_documents(df).collect()} == {good}
 
 
+def test_sentences_end_whatever_follows_their_sign(spark):
+    """Any number of closing marks and blanks behind the sign; a sign before the end of words is none."""
+    tails = ["", " " * 14, "\t" * 40 + "\r", "”" + " " * 30, ")" * 25, "\"'] \x0b"]
+    good = [" ".join(["word"] * 6 + ["end" + sign + tail]) for tail in tails for sign in ".!?…。:;"]
+    bad = ["no sign", "sign. and more", "sign ” .” x", ") )", "*", "a ”.b", "only *_*"]
+    blank = ["", "  \t", "\x0c"]
+    lines = [(x, True) for x in good + blank] + [(x, False) for x in bad]
+    df = spark.createDataFrame(lines, "line string, want boolean")
+    assert df.select("line", "want", rules.ends_well(df.line).alias("got")).filter("got <> want").collect() == []
+    padded = "\n".join(prose(40 + k, 14) + " " * 14 for k in range(6))
+    assert [r.kept for r in rules.clean_lines(spark.createDataFrame([(1, padded)], "doc_id long, text string")).collect()] == [True]
+
+
 # ---- near copies
 
 
@@ -119,13 +132,15 @@ def test_links_outside_the_main_component(spark, block):
 
 def test_parts_of_sets_that_repeat_are_told_apart(spark, monkeypatch):
     """Two parts of the same least and greatest set, each with its own set between, which comes twice: neither part hides the other."""
-    part_rows = [(1, n) for n in (10, 20, 20, 90)] + [(2, n) for n in (10, 30, 30, 90)]
-    held = spark.createDataFrame(part_rows, "key long, node long").repartition(4)
-    monkeypatch.setattr(jaccard, "_part_rows", lambda *a, **k: held)
+    docs = spark.createDataFrame([(k, str(n)) for k, n in enumerate((10, 20, 20, 90, 30, 30))], "doc_id long, text string").repartition(4)
+    sets = docs.select("doc_id", docs.text.cast("bigint").alias("node"))
+    parts = spark.createDataFrame([(10, 1), (10, 2), (20, 1), (30, 2), (90, 1), (90, 2)], "node long, key long")
+    monkeypatch.setattr(jaccard, "_part_rows", lambda df, *a: df.filter(df.text.isin("20", "30") == a[-1] if len(a) > 3 else "true").select(
+        df.text.cast("bigint").alias("node")).join(parts, "node").select("key", "node"))
     signs = jaccard.signatures([np.arange(50, dtype=np.uint64)], jaccard.SKETCH_BITS)[0].tobytes()
     sketches = spark.createDataFrame([(n, bytearray(signs), 50) for n in (10, 20, 30, 90)], "node long, sketch binary, size long")
     monkeypatch.setattr(jaccard, "_sketches_of", lambda *a: sketches)
-    edges = jaccard.candidate_edges(held, 90, 3)
+    edges = jaccard.candidate_edges(docs, sets, 90, 3)
     assert {n for r in edges.collect() for n in r} == {10, 20, 30, 90}
 
 
@@ -363,8 +378,10 @@ def test_secrets_in_long_runs_and_beside_known_ones(spark):
     key = "".join(rng.choice(list(secrets.CLASSES["base64"][0][:62]), 700))
     path, tail = "/".join(["folder"] * 90), key[:40]
     rows = [(1, f"key {key} end"), (2, f"see {path}/{tail} end"), (3, f"id {'0123456789abcdef' * 2}/{tail} end"), (4, f"see {path} end")]
+    rows.append((5, f"see {key[:30]}/{'folder/folder/' + path[:350]}/{key[40:70]} end"))
     clean = {r.doc_id: r.text for r in secrets.redacted_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert clean[4] == rows[3][1]
+    assert clean[5].count("/folder/folder") > 20 and clean[5].count("[secret]") == 2 and len(clean[5]) > 300
     for k in (1, 2, 3):
         assert tail[4:] not in clean[k] and clean[k].endswith(" end")
 
@@ -382,13 +399,35 @@ def test_window_reach_against_a_loop(spark):
     rng = random.Random(3)
     rows = ["".join(rng.choice("abcdef0123456789" if k % 2 else "aab1") for _ in range(rng.randint(20, 60))) for k in range(40)]
     df = spark.createDataFrame([(x,) for x in rows], "t string")
-    got = {r.t: tuple(r.w) for r in df.select("t", secrets.window_spread(df.t, *secrets.CLASSES["hex"]).alias("w")).collect()}
-    for text in rows:
-        high = []
-        for i in range(len(text) - 19):
-            times = Counter(text[i : i + 20]).values()
-            if -sum(c / 20 * math.log2(c / 20) for c in times) > secrets.CLASSES["hex"][1]:
-                high.append(i)
-        assert got[text] == ((high[0], high[-1] + 20) if high else (None, None))
-
-
+    rows.append(TOKEN + "/path" * 12 + TOKEN[::-1])
+    df = spark.createDataFrame([(x,) for x in rows], "t string")
+    for kind in ("hex", "base64"):
+        alphabet, least = secrets.CLASSES[kind]
+        got = {r.t: [tuple(x) for x in r.w] for r in df.select("t", secrets.window_stretches(df.t, alphabet, least).alias("w")).collect()}
+        for text in rows:
+            if kind == "hex" and not set(text) <= set(alphabet):
+                continue
+            want = []
+            for i in range(len(text) - 19):
+                times = Counter(text[i : i + 20]).values()
+                if -sum(c / 20 * math.log2(c / 20) for c in times) > least:
+                    if want and i <= want[-1][1]:
+                        want[-1] = (want[-1][0], i + 20)
+                    else:
+                        want.append((i, i + 20))
+            assert got[text] == want
+    assert len(want) == 2
+
+
+def test_secrets_against_their_sql(spark, odd):
+    """Long runs, known spans within runs and several stretches: the SQL takes the same."""
+    import duckdb
+
+    rng = np.random.default_rng(9)
+    key = "".join(rng.choice(list(secrets.CLASSES["base64"][0][:62]), 900))
+    texts = [f"a {key} b", f"{key[:30]}/{'word/' * 120}{key[30:60]}", f"{key[:40]}-{'0a1b2c3d' * 5}-{key[50:99]} token={key[:44]}", "x" * 700, key[:19], ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(odd.filter("doc_id is not null").select("doc_id", "text").dropDuplicates(["doc_id"]).withColumn("doc_id", odd.doc_id + 100))
+    found = secrets.scan_secrets(df)
+    got = {(r.doc_id, r.spans) for r in found.select("doc_id", secrets._joined(found.secret_spans).alias("spans")).collect()}
+    documents = df.toPandas()  # noqa: F841
+    assert got == {(int(r[0]), r[5]) for r in duckdb.sql(secrets.SECRETS_SQL).fetchall()}
