@@ -20,6 +20,8 @@ from marginalia.llm.textbytes import chunks, flat, lower, mixed, prefix, stretch
 SLOTS = 1 << 22
 SAMPLE_TOXIC, SAMPLE_OTHER = 4_000, 8_000
 TERMS = 4_096  # hashed terms that take part, those that tell the labels apart best
+COMMON = 1_024  # most frequent terms whose pairs are looked at, so that terms that tell by meeting alone take part too
+PAIR_ERRORS = 6  # standard errors by which a pair's share must differ between the labels
 FACTORS = 8
 STEM_BYTES = 5
 EPOCHS = 60
@@ -68,6 +70,29 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(terms, cuts), -30, 30)))
 
 
+def meeting_terms(every: np.ndarray, rows: np.ndarray, toxic: np.ndarray, times: np.ndarray, common: int = COMMON) -> np.ndarray:
+    """Of the most frequent terms those that meet one another far more or less often in toxic texts than in others, whatever
+    each tells alone. ``every``: the terms of all texts in turn; ``rows``: their texts; ``times``: texts per term."""
+    n = len(toxic)
+    frequent = np.argsort(-np.where(times < n, times, 0), kind="stable")[:common]
+    frequent = np.sort(frequent[(times[frequent] >= 2) & (times[frequent] < n)])
+    if not len(frequent):
+        return frequent
+    at = np.minimum(np.searchsorted(frequent, every), len(frequent) - 1)
+    held = np.zeros((n, len(frequent)), np.float32)
+    hit = frequent[at] == every
+    held[rows[hit], at[hit]] = 1
+    n1, n0 = toxic.sum(), n - toxic.sum()
+    both1, both0 = held[toxic].T @ held[toxic], held[~toxic].T @ held[~toxic]
+    p = (both1 + both0) / n
+    apart = np.abs(both1 / n1 - both0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+    # A pair tells something of its own where it is further apart than either term alone.
+    alone = np.diag(apart)
+    own = (apart > PAIR_ERRORS) & (apart > 1.5 * np.maximum(alone[:, None], alone[None, :]))
+    np.fill_diagonal(own, False)
+    return frequent[own.any(1)]
+
+
 def fit_machine(
     texts: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, terms: int = TERMS, factors: int = FACTORS,
     epochs: int = EPOCHS, seed: int = SEED,
@@ -87,8 +112,9 @@ def fit_machine(
     p = (with_ + without) / (n1 + n0)
     apart = np.abs(with_ / n1 - without / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
     apart[with_ + without < 2] = 0
-    chosen = np.sort(np.argsort(-apart, kind="stable")[:terms])
-    chosen = chosen[apart[chosen] > 2]
+    chosen = np.argsort(-apart, kind="stable")[:terms]
+    meeting = meeting_terms(every, rows, toxic, with_ + without)
+    chosen = np.union1d(chosen[apart[chosen] > 2], meeting)
     m = len(chosen)
     place[:] = m
     place[chosen] = np.arange(m)

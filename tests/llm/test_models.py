@@ -1,8 +1,11 @@
 """Fitted operators on labelled tables, search and chat, with odd rows."""
 
+import math
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import prose
 
@@ -49,6 +52,75 @@ def test_machine_learns_a_meeting_of_terms():
     assert (guess == np.array(toxic)).mean() > 0.97
 
 
+def test_machine_learns_terms_that_tell_nothing_alone():
+    """Each of two terms stands in half of the texts of either label; toxic when exactly one stands."""
+    rng = np.random.default_rng(2)
+    texts, toxic = [], []
+    for _ in range(800):
+        a, b = (int(x < 0.5) for x in rng.random(2))
+        texts.append(np.array([1] * a + [2] * b + [10 + k for k in range(30) if rng.random() < 0.4], np.int64))
+        toxic.append(bool(a != b))
+    machine = toxicity.fit_machine(texts, np.array(toxic), np.ones(800), epochs=150)
+    assert machine.place[1] < len(machine.weights) - 1 and machine.place[2] < len(machine.weights) - 1
+    guess = machine.score(np.concatenate(texts), np.cumsum([0, *map(len, texts)])) > 0.5
+    assert (guess == np.array(toxic)).mean() > 0.97
+
+
+def test_machine_scores_against_a_loop_over_pairs():
+    rng = np.random.default_rng(3)
+    place = np.full(toxicity.SLOTS, 20, np.int32)
+    place[[5, 7, 9, 11, 13]] = [0, 3, 4, 10, 19]
+    weights, vectors = rng.normal(size=21), rng.normal(size=(21, 4))
+    weights[20], vectors[20] = 0, 0
+    machine = toxicity.Machine(place, 0.3, weights, vectors)
+    texts = [[], [5], [5, 7, 13], [4, 6], [5, 7, 9, 11, 13, 15], [7, 8]]
+    got = machine.raw(np.array([x for t in texts for x in t], np.int64), np.cumsum([0, *map(len, texts)]))
+    for text, value in zip(texts, got, strict=True):
+        held = [place[x] for x in text if place[x] < 20]
+        want = 0.3 + sum(weights[k] for k in held) + sum(vectors[a] @ vectors[b] for i, a in enumerate(held) for b in held[:i])
+        assert abs(value - want) < 1e-9
+
+
+def test_terms_against_a_loop():
+    """Equal words and stems have equal slots in all texts, and a text has as many as it has distinct ones."""
+    texts = ["Hello hello, WORLD world-wide", None, "", "wörld wör", "hello there", "a" * 40 + " " + "a" * 41, "x y x", prose(5, 400)]
+    slots, cuts = toxicity.hashed_terms(pa.array(texts))
+    seen = {}
+    for text, a, b in zip(texts, cuts, cuts[1:], strict=False):
+        words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())
+        words = {w.lower() for w in words}
+        terms = {("word", w) for w in words} | {("stem", w[:5]) for w in words if len(w) > 5}
+        held = slots[a:b].tolist()
+        assert held == sorted(set(held)) and len(held) == len(terms)
+        for term in terms:
+            seen.setdefault(term, set(held)).intersection_update(held)
+    assert all(seen.values())
+
+
+def test_features_against_a_loop():
+    texts = ["The end. Of it, all!\nNext line 42 | x\n", None, "", " \n ", "one", "a a a b a a a b", "ÄÖ ab\tCD$ #1 %", prose(8, 300) + "\n" + prose(8, 60), "w" * 30 + " !!"]
+    got = quality.text_features(pa.array(texts))
+    for text, row in zip(texts, got, strict=True):
+        raw = (text or "").encode()
+        words = re.findall(rb"[^\x20\x09-\x0d]+", raw)
+        n, size = max(len(words), 1), max(len(raw), 1)
+
+        def share(chars, of=n, raw=raw):
+            return sum(c in chars.encode() for c in raw) / of
+
+        upper, lower = sum(65 <= c <= 90 for c in raw), sum(97 <= c <= 122 for c in raw)
+        grams = {w: [tuple(words[i : i + w]) for i in range(len(words) - w + 1)] for w in (3, 8)}
+        lines = raw.split(b"\n")
+        ends = sum(x[-1:] in (b".", b"?", b"!") for x in lines if x)
+        want = [
+            math.log1p(len(words)), sum(map(len, words)) / n, share("#*$%&<>"), share("|"), share("!"), upper / max(upper + lower, 1),
+            share("0123456789", size), share(".?"), share(",;:"), sum(c >= 128 for c in raw) / size, len(set(words)) / n,
+            sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, *(1 - len(set(g)) / len(g) if g else 0 for g in grams.values()),
+            len(lines) / n, ends / len(lines), sum(len(w) > 24 for w in words) / n,
+        ]
+        assert np.allclose(row, want), (text, dict(zip(quality.FEATURES, zip(row, want, strict=True), strict=True)))
+
+
 @pytest.mark.parametrize("labels", [[], [(5, True)], [(5, None)]])
 def test_models_without_both_labels(spark, odd, odd_rows, labels):
     preferred = spark.createDataFrame(labels, "doc_id long, preferred boolean")
