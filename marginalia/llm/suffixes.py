@@ -27,6 +27,8 @@ GRAM = 80
 SHALLOW = 32
 GROUP = 256  # contexts of one gram that are sorted together; larger groups go by their strings' digests
 SORTED_AT_ONCE = 2_000
+SENT_AT_ONCE = 1024  # contexts with their surroundings, in one message
+HASHED_AT_ONCE = 256  # contexts whose strings, up to 200 each, go out in one message
 
 
 # ---- deep-shallow sorting
@@ -228,19 +230,25 @@ def _context_bytes(docs: DataFrame, wanted: DataFrame, span: int, gram: int) ->
     by_row = wanted.groupBy("rid").agg(F.collect_list(F.struct("at", "h", "context", "n", "low", "high")).alias("places"))
     near = docs.select("rid", "text").filter(maybe_in(id_bitmap(by_row, "rid"), F.col("rid"))).dropDuplicates(["rid"])
 
+    names = ["h", "context", "n", "low", "high", "left", "right"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary(), pa.binary())
+
+    def told(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                raw = text.encode()
-                for p in places:
+        out: list[tuple] = []
+        for whole in batches:
+            for k in range(whole.num_rows):  # a text with its places at a time, and no more surroundings than go out at once
+                raw = whole.column("text")[k].as_buffer().to_pybytes()
+                for p in whole.column("places")[k].as_py():
                     a = p["at"]
                     out.append((p["h"], p["context"], p["n"], p["low"], p["high"], raw[max(0, a - (span - gram)) : a], raw[a : a + span]))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 7
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["h", "context", "n", "low", "high", "left", "right"]
-            )
+                    if len(out) == SENT_AT_ONCE:
+                        yield told(out)
+                        out = []
+        if out:
+            yield told(out)
 
     joined = near.join(by_row, "rid").select("text", "places")
     return joined.mapInArrow(run, "h bigint, context bigint, n bigint, low smallint, high smallint, left binary, right binary")
@@ -289,7 +297,7 @@ def _hash_groups(rows: DataFrame, span: int) -> DataFrame:
     """The same for groups too large to sort in one task: a row per string of a context, counted by digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, HASHED_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, HASHED_AT_ONCE)):
             c = batch.to_pydict()
             out = [[], [], [], [], []]
             for k in range(batch.num_rows):
@@ -362,7 +370,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: i
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole)):
             out = []
             for key, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
                 raw, runs, at, kept = text.encode(), merged(found or []), 0, []
