@@ -23,7 +23,7 @@ WINDOW = 8
 MAX_LOST = 0.5  # of a document's words
 
 # Punctuation: a line of text ends like a sentence, and is not strewn with symbols or exclamation marks.
-SENTENCE_END = r"[.!?…。！？:;][\"'”’»)\]*_]*[\x20\x09-\x0D]*$"
+ENDS, CLOSERS = ".!?…。！？:;", "\"'”’»)]*_"
 STREWN = r"(?:[#*$%&|<>]{2}|!{2})[^\n]*?(?:[#*$%&|<>]{2}|!{2})[^\n]*?(?:[#*$%&|<>]{2}|!{2})"
 # Navigation: words set between separators, as in menus, breadcrumbs and tag lists.
 SEPARATED = r"\x20[|>»•·/]\x20[^\n]*?\x20[|>»•·/]\x20[^\n]*?\x20[|>»•·/]\x20"
@@ -35,7 +35,6 @@ BOILERPLATE = (
     "subscribe to our", "sign up for", "read more", "share this", "powered by", "lorem ipsum", "skip to content",
     "skip to main content", "back to top",
 )
-TAIL = 12  # characters at a line's end in which its last sign is looked for
 
 
 def words(text: Column) -> Column:
@@ -96,8 +95,11 @@ def _mentions(text: Column) -> Column:
 
 
 def ends_well(line: Column) -> Column:
-    """Whether a line is blank or ends like a sentence."""
-    return F.right(line, F.lit(TAIL)).rlike(SENTENCE_END) | ~line.rlike(r"[^\x20\x09-\x0D]")
+    """Whether a line is blank or ends like a sentence: with a sign, then closing marks, then blanks, any number of either."""
+    bare = F.rtrim(line, F.lit(BLANKS))
+    return (F.length(bare) == 0) | F.position(F.right(F.rtrim(bare, F.lit(CLOSERS)), F.lit(1)), F.lit(ENDS)).between(1, len(ENDS)) & (
+        F.length(F.rtrim(bare, F.lit(CLOSERS))) > 0
+    )
 
 
 def line_passes(line: Column) -> Column:
@@ -153,7 +155,7 @@ def cleaned_documents(docs: DataFrame, **options) -> DataFrame:
 
 _SQL_WORD = r"[^\x20\x09-\x0D]+"
 _SQL_END = r"""[.!?…。！？:;]["''”’»)\]*_]*[\x20\x09-\x0D]*$"""
-_SQL_PASS = f"""(NOT regexp_matches(line, '{_SQL_WORD}') OR regexp_matches(right(line, {TAIL}), '{_SQL_END}'))
+_SQL_PASS = f"""(NOT regexp_matches(line, '{_SQL_WORD}') OR regexp_matches(line, '{_SQL_END}'))
       AND NOT regexp_matches(line, '{STREWN}') AND NOT regexp_matches(line, '{SEPARATED}')
       AND NOT regexp_matches(lower(line), '{'|'.join(BOILERPLATE)}')"""
 #: Over a relation ``documents``; also the first stage of the pipeline.
