@@ -259,3 +259,14 @@ def test_manifest_text_at_any_depth(spark):
     df = spark.createDataFrame(list(cases.items()), "raw string, want string")
     for r in df.select("raw", "want", manifest_text(df.raw).alias("got")).collect():
         assert r.got == r.want, r.raw
+
+
+def test_footnotes_of_every_marker(spark):
+    """Also of the lines whose key ends in 5."""
+    from compare import compare
+
+    from marginalia.plans import load_catalog
+
+    queries, sql = load_catalog()
+    diff, rows, _ = compare(spark, "footnotes", queries["footnotes"], sql["footnotes"], "/root/testdata/sf0.001")
+    assert diff is None and rows > 0
