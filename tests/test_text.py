@@ -270,3 +270,16 @@ def test_footnotes_of_every_marker(spark):
     queries, sql = load_catalog()
     diff, rows, _ = compare(spark, "footnotes", queries["footnotes"], sql["footnotes"], "/root/testdata/sf0.001")
     assert diff is None and rows > 0
+
+
+@pytest.mark.parametrize("nest", [
+    lambda t: MK.cut_runs(t, "<b", "</b>"), lambda t: MK.up_to_last(t, "</b>"), MK.strip_markup,
+    lambda t: MK.cut_balanced(t, MK.OPEN_T, MK.CLOSE_T), lambda t: MK.first_balanced(t, MK.OPEN_T, MK.CLOSE_T), X.infobox_block,
+])
+def test_nested_expressions_hold_their_text_once(spark, nest):
+    """Six around one another read the column once, not 2 to the 6 times."""
+    text = F.col("t")
+    for _ in range(6):
+        text = nest(text)
+    plan = spark.createDataFrame([("x",)], "t string").select(text.alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("t#") <= 2  # in the expression, and as the input's column
