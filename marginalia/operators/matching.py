@@ -559,15 +559,16 @@ def derived_visual_id(object_id: Column) -> Column:
     )
 
 
-def linked_object_chain(objects: DataFrame, visuals: DataFrame, digitals: DataFrame) -> DataFrame:
+def linked_object_chain(objects: DataFrame, visuals: DataFrame, digitals: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """Object, then its image, then the file; a missing first link is derived
     from the object's number; later hops may be absent. ``objects``: object_id,
     visual_id; ``visuals``: visual_id, digital_id, rights; ``digitals``:
-    digital_id, access_point."""
+    digital_id, access_point. Where numbers are unique in a series only,
+    ``within`` names the columns of objects and visuals that tell it."""
     linked = objects.withColumn(
         "visual_id", F.coalesce("visual_id", derived_visual_id(F.col("object_id")))
     )
-    return linked.join(visuals, "visual_id", "left").join(digitals, "digital_id", "left")
+    return linked.join(visuals, ["visual_id", *within], "left").drop(*within).join(digitals, "digital_id", "left")
 
 
 def select_holder(claims: DataFrame, registry: DataFrame, collection_property: str = "P195") -> DataFrame:

@@ -338,11 +338,14 @@ def taxon_match(spark, sf):
     return J.taxon_match(sql_over(spark, sf, TAXA), records, 3)
 
 
-OBJECTS = """SELECT concat('200', lpad(CAST(o_orderkey AS STRING), 6, '0')) AS object_id,
-  CASE WHEN o_orderstatus = 'F' THEN concat('999', CAST(o_custkey AS STRING)) END AS visual_id FROM orders"""
-VISUALS = """SELECT concat('202', lpad(CAST(o_orderkey AS STRING), 6, '0')) AS visual_id,
-  CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(o_custkey AS STRING) END AS digital_id, o_orderpriority AS rights FROM orders
-UNION ALL SELECT concat('999', CAST(c_custkey AS STRING)), CAST(c_custkey AS STRING), c_mktsegment FROM customer"""
+# Numbers have six places: what a longer key has behind them is its series. Stated links are unique.
+SERIES = "substr(CAST(o_orderkey AS STRING), 7)"
+OBJECTS = f"""SELECT concat('200', lpad(CAST(o_orderkey AS STRING), 6, '0')) AS object_id,
+  CASE WHEN o_orderstatus = 'F' THEN concat('999', CAST(o_custkey AS STRING)) END AS visual_id,
+  CASE WHEN o_orderstatus = 'F' THEN '' ELSE {SERIES} END AS series FROM orders"""
+VISUALS = f"""SELECT concat('202', lpad(CAST(o_orderkey AS STRING), 6, '0')) AS visual_id,
+  CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(o_custkey AS STRING) END AS digital_id, o_orderpriority AS rights, {SERIES} AS series FROM orders
+UNION ALL SELECT concat('999', CAST(c_custkey AS STRING)), CAST(c_custkey AS STRING), c_mktsegment, '' FROM customer"""
 DIGITALS = "SELECT CAST(c_custkey AS STRING) AS digital_id, n_name AS access_point FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal > 0"
 
 
@@ -357,7 +360,7 @@ SELECT concat('200', lpad(CAST(o_orderkey AS VARCHAR), 6, '0')) AS object_id,
 FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN d ON d.digital_id = CAST(o_custkey AS VARCHAR)""",
 )
 def linked_object_chain(spark, sf):
-    return J.linked_object_chain(sql_over(spark, sf, OBJECTS), sql_over(spark, sf, VISUALS), sql_over(spark, sf, DIGITALS))
+    return J.linked_object_chain(sql_over(spark, sf, OBJECTS), sql_over(spark, sf, VISUALS), sql_over(spark, sf, DIGITALS), within=["series"])
 
 
 REGISTRY = [("a", "P1", 1, 0), ("b", "P2", 2, 1), ("c", "P3", 3, 2), ("d", "P5", None, 3)]

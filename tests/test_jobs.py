@@ -419,3 +419,11 @@ def test_connections_are_read_by_several_tasks(spark, tmp_path):
     assert sorted((r.src, r.dst, r.type, r.label, tuple(r.linked_via)) for r in edges.collect()) == want
     _, whole = RD.parse_curated_graph(RD.raw_files(spark, str(tmp_path / "seed.json")), RD.raw_files(spark, str(tmp_path / "connections.json")))
     assert whole.count() == len(want)
+
+
+def test_numbers_of_objects_are_unique_within_their_series(spark):
+    objects = spark.createDataFrame([("200100000", None, ""), ("200100000", None, "1"), ("x", "v", "")], "object_id string, visual_id string, series string")
+    visuals = spark.createDataFrame([("202100000", "d1", "a", ""), ("202100000", "d2", "b", "1"), ("v", "d3", "c", "")], "visual_id string, digital_id string, rights string, series string")
+    digitals = spark.createDataFrame([("d1", "p1"), ("d2", "p2")], "digital_id string, access_point string")
+    rows = J.linked_object_chain(objects, visuals, digitals, within=["series"]).collect()
+    assert sorted((r.object_id, r.rights, r.access_point) for r in rows) == [("200100000", "a", "p1"), ("200100000", "b", "p2"), ("x", "c", None)]
