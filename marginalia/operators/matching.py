@@ -419,12 +419,21 @@ def thesis_holding(claims: DataFrame, docs: DataFrame, persons: DataFrame, label
     fields = corroboration_fields(
         *[F.col(c) for c in ("creator", "date", "institution", "person_name", "year", "claimed")]
     )
-    found = (
-        described.join(blocked, ["_surname", "_year"])
+    # Every wording is judged once: a block pairs distinct descriptions with distinct documents, not all that bear them.
+    wording = ["person_name", "year", "claimed"]
+    firsts = blocked.groupBy("creator", "date", "institution", "_surname", "_year").agg(F.min(F.struct("ord", "identifier")).alias("f"))
+    agreeing = (
+        described.select(*wording, "_surname", "_year").distinct()
+        .join(firsts, ["_surname", "_year"])
         .withColumn("corroborated_by", fields)
         .filter(F.size("corroborated_by") == 3)
+        .groupBy(*wording)
+        .agg(F.min(F.struct("f.ord", "f.identifier", "corroborated_by")).alias("d"))
+    )
+    found = (
+        described.join(agreeing, wording)
         .groupBy("subject", "thesis")
-        .agg(F.min(F.struct("ord", "identifier", "corroborated_by")).alias("d"))
+        .agg(F.min("d").alias("d"))
         .select(
             "subject", "thesis", "d.identifier", F.lit("corroborated").alias("evidence"), "d.corroborated_by"
         )

@@ -427,3 +427,23 @@ def test_numbers_of_objects_are_unique_within_their_series(spark):
     digitals = spark.createDataFrame([("d1", "p1"), ("d2", "p2")], "digital_id string, access_point string")
     rows = J.linked_object_chain(objects, visuals, digitals, within=["series"]).collect()
     assert sorted((r.object_id, r.rights, r.access_point) for r in rows) == [("200100000", "a", "p1"), ("200100000", "b", "p2"), ("x", "c", None)]
+
+
+def test_theses_of_one_wording_are_judged_once(spark):
+    """400 subjects and 400 documents of one name, year and place: the block pairs wordings, one here, not 160,000 rows."""
+    claims = spark.range(400).selectExpr(
+        "stack(3, concat('s', id), 'P1026', 1, concat('t', id), concat('t', id), 'P577', 1, '+1990-00-00T00:00:00Z',"
+        " concat('t', id), 'P4101', 1, 'u') AS (qid, property, ord, value)"
+    )
+    docs = spark.range(400).selectExpr(
+        "concat('d', 400 - id) AS identifier", "id AS ord", "'x' AS title", "'Ring, Red' AS creator", "'1990' AS date", "'Small university' AS institution"
+    )
+    persons = spark.range(400).selectExpr("concat('s', id) AS qid", "'Red Ring' AS name")
+    labels = spark.createDataFrame([("u", "University Small")], "qid string, label string")
+    out = J.thesis_holding(claims, docs, persons, labels)
+    rows = out.collect()
+    assert len(rows) == 400 and {(r.identifier, r.evidence) for r in rows} == {("d400", "corroborated")}
+    # Both sides of the block are brought to their wordings below the join.
+    plan = out._jdf.queryExecution().analyzed().toString()
+    below = plan[plan.index("Join Inner, ((_surname"):]
+    assert "Aggregate [creator" in below and "Deduplicate" in below
