@@ -447,3 +447,17 @@ def test_theses_of_one_wording_are_judged_once(spark):
     plan = out._jdf.queryExecution().analyzed().toString()
     below = plan[plan.index("Join Inner, ((_surname"):]
     assert "Aggregate [creator" in below and "Deduplicate" in below
+
+
+def test_a_log_is_worked_out_once_for_all_its_slices(spark, tmp_path):
+    from marginalia.streaming.runner import time_slices
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(i):
+        calls.add(1)
+        return i
+
+    log = spark.range(40).select(F.udf(seen, "long")("id").cast("timestamp").alias("ts"))
+    path = time_slices(log, "ts", 4, str(tmp_path / "log"))
+    assert spark.read.parquet(path).distinct().count() == 40 and calls.value == 40
