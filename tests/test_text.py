@@ -283,3 +283,28 @@ def test_nested_expressions_hold_their_text_once(spark, nest):
         text = nest(text)
     plan = spark.createDataFrame([("x",)], "t string").select(text.alias("v"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("t#") <= 2  # in the expression, and as the input's column
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_filters_behind_a_parse_do_not_parse_again(spark):
+    wt = "<ref>{{cite journal|doi=10.1/a|title=T|DOI=10.1/b}}</ref><ref>{{cite book|isbn=978-0-306-40615-7|last=L|year=1999|title=[[B|C]] {{x|y}}}}</ref>"
+    df = spark.createDataFrame([(1, 1, wt)], "page_id long, section_ord long, wikitext string")
+    papers, books = X.scholarly_cites(df), X.identified_cites(df)
+    listed = X.bibliography(df.withColumn("wikitext", F.regexp_replace("wikitext", "</?ref>", "")))
+    for found in (papers, books, listed):
+        assert _plan(found).count("map_from_entries(") == 1
+    assert [(r.ord, r.doi, r.title) for r in papers.collect()] == [(1, "10.1/b", "T")]
+    assert [(r.ord, r.isbn) for r in books.collect()] == [(2, "9780306406157")]
+    assert [r.title for r in listed.collect()] == ["C {{x|y}}"]
+
+
+def test_flat_and_nested_templates_are_cut_alike(spark):
+    texts = ["{{a|b=1||c}}", "{{|b=1}}", "{{a}}", "{{a|b={{c|d=2}}|e=[[f|g]]}}", "{{a|}}"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(MK.mark_nesting(F.col("t")).alias("t"))
+    parts = [r[0] for r in df.select(F.transform(MK.template_parts(F.col("t")), MK.unmark_nesting)).collect()]
+    assert parts == [["a", "b=1", "", "c"], [" ", "b=1"], ["a"], ["a", "b={{c|d=2}}", "e=[[f|g]]"], ["a", ""]]
+    last = spark.range(1).select(MK.up_to_last(F.lit("a</REF>b\n</ref>c<ref>"), r"(?i)</ref>"), MK.up_to_last(F.lit("none"), r"(?i)</ref>")).first()
+    assert tuple(last) == ("a</REF>b\n</ref>", "")
