@@ -40,7 +40,6 @@ def rights_record(rows: DataFrame) -> DataFrame:
     read = rows.select(
         "item", "ord", "jurisdiction", "how", "creator",
         status_struct(F.col("status")).alias("work_status"),
-        code_from_label(F.col("licence_label")).alias("licence"),
         status_struct(F.col("creator_status")).alias("creator_status"),
         status_struct(F.col("self_status")).alias("self_status"),
     )
@@ -63,12 +62,16 @@ def rights_record(rows: DataFrame) -> DataFrame:
             ).alias("work")
         )
     )
+    # A label that names nothing is left out when the list is made: a filter on
+    # what was read would have every label read once more before the grouping.
     licences = (
-        read.filter("licence IS NOT NULL")
+        rows.filter("licence_label IS NOT NULL")
+        .select("item", "ord", code_from_label(F.col("licence_label")).alias("licence"))
         .groupBy("item", "licence")
         .agg(F.min("ord").alias("ord"))
         .groupBy("item")
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "licence"))).alias("licences"))
+        .agg(F.array_sort(F.collect_list(F.when(F.col("licence").isNotNull(), F.struct("ord", "licence")))).alias("licences"))
+        .select("item", F.when(F.size("licences") > 0, F.col("licences")).alias("licences"))
     )
     people = read.groupBy("item").agg(
         F.min(

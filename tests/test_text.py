@@ -308,3 +308,16 @@ def test_flat_and_nested_templates_are_cut_alike(spark):
     assert parts == [["a", "b=1", "", "c"], [" ", "b=1"], ["a"], ["a", "b={{c|d=2}}", "e=[[f|g]]"], ["a", ""]]
     last = spark.range(1).select(MK.up_to_last(F.lit("a</REF>b\n</ref>c<ref>"), r"(?i)</ref>"), MK.up_to_last(F.lit("none"), r"(?i)</ref>")).first()
     assert tuple(last) == ("a</REF>b\n</ref>", "")
+
+
+def test_a_licence_name_is_read_once(spark):
+    from marginalia.operators import rights as R
+
+    rows = [("a", 1, "Creative Commons CC0 License"), ("a", 2, "no licence"), ("b", 1, "no licence"), ("c", 1, None)]
+    df = spark.createDataFrame(rows, "item string, ord long, licence_label string").selectExpr(
+        "*", "IF(item = 'b', 'Q19652', NULL) AS status", *[f"CAST(NULL AS STRING) AS {c}" for c in ("jurisdiction", "how", "creator", "creator_status", "self_status")]
+    )
+    out = R.rights_record(df)
+    # Each reading looks its words up among the terms, run by run.
+    assert _plan(out).count("creativecommons") == 1
+    assert {r.item: r.licences and [x.licence for x in r.licences] for r in out.collect()} == {"a": ["CC0"], "b": None}
