@@ -294,7 +294,8 @@ def _sort_groups(rows: DataFrame, span: int) -> DataFrame:
 
 
 def _hash_groups(rows: DataFrame, span: int) -> DataFrame:
-    """The same for groups too large to sort in one task: a row per string of a context, counted by digest."""
+    """The same for groups too large to sort in one task: a row per string of a context, counted by digest. Contexts that occur
+    several times take part in the counts and get no offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, HASHED_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, HASHED_AT_ONCE)):
@@ -312,7 +313,8 @@ def _hash_groups(rows: DataFrame, span: int) -> DataFrame:
 
     windows = rows.mapInArrow(run, "key bigint, d bigint, h bigint, context bigint, n bigint")
     again = windows.groupBy("key").agg(F.sum("n").alias("times")).filter("times > 1").select("key")
-    return windows.join(again, "key").groupBy("h", "context").agg(F.collect_list(F.col("d").cast("int")).alias("offsets"))
+    # A context that occurs twice is repeated throughout: its strings are counted, but nobody asks which of them repeat.
+    return windows.filter("n = 1").join(again, "key", "left_semi").groupBy("h", "context").agg(F.collect_list(F.col("d").cast("int")).alias("offsets"))
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:

@@ -431,3 +431,15 @@ def test_secrets_against_their_sql(spark, odd):
     got = {(r.doc_id, r.spans) for r in found.select("doc_id", secrets._joined(found.secret_spans).alias("spans")).collect()}
     documents = df.toPandas()  # noqa: F841
     assert got == {(int(r[0]), r[5]) for r in duckdb.sql(secrets.SECRETS_SQL).fetchall()}
+
+
+def test_offsets_of_contexts_that_occur_twice_are_not_asked_for(spark):
+    """Their strings still count for others, but no row a string is looked up for them."""
+    import random
+
+    rng = random.Random(5)
+    left, right = (bytes(rng.choices(b"abcdefgh ", k=n)) for n in (120, 200))
+    rows = [(1, 10, 2, 0, 120, left, right), (1, 11, 1, 0, 120, b"#" * 60 + left[60:], right), (1, 12, 1, 0, 120, left[::-1], right[:199] + b"#")]
+    df = spark.createDataFrame(rows, "h long, context long, n long, low short, high short, left binary, right binary")
+    got = {r.context: sorted(r.offsets) for r in suffixes._hash_groups(df, 200).collect()}
+    assert got == {11: list(range(61))}
