@@ -185,18 +185,23 @@ def match_archive_docs(cites: DataFrame, docs: DataFrame, least: float = 0.34) -
 def citation_access(cites: DataFrame, volumes: DataFrame, failed: DataFrame) -> DataFrame:
     """How each cited book can be read: full, borrow, catalog, or nothing
     found; unchecked when its lookup failed and no answer came otherwise."""
-    known = volumes.groupBy("isbn").agg(F.min(F.struct("ord", "availability")).alias("v")).select(
-        "isbn", F.col("v.availability").alias("access")
-    )
-    lost = failed.select("isbn").distinct().withColumn("_failed", F.lit(True))
+    # Cites without an ISBN match nothing; dealt by it alone, all of them would go to one task. A struct, since Spark
+    # takes a constant column out of the keys.
+    spread = F.when(F.col("isbn").isNull(), F.xxhash64(*cites.columns)).otherwise(F.lit(0).cast("bigint"))
+    one = F.struct("isbn", F.lit(0).cast("bigint").alias("spread")).alias("_key")
+    known = volumes.filter("isbn IS NOT NULL").groupBy("isbn").agg(F.min(F.struct("ord", "availability")).alias("v")).select(
+        one, F.col("v.availability").alias("access")
+    )
+    lost = failed.filter("isbn IS NOT NULL").select("isbn").distinct().select(one, F.lit(True).alias("_failed"))
     return (
-        cites.join(known, "isbn", "left")
-        .join(lost, "isbn", "left")
+        cites.withColumn("_key", F.struct("isbn", spread.alias("spread")))
+        .join(known, "_key", "left")
+        .join(lost, "_key", "left")
         .withColumn(
             "unchecked",
             F.col("isbn").isNotNull() & F.col("access").isNull() & F.coalesce("_failed", F.lit(False)),
         )
-        .drop("_failed")
+        .select(*cites.columns, "access", "unchecked")
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.ordering import rank_within, running_sum
 from marginalia.operators.intervals import interval_chain
+from marginalia.operators.matching import citation_access
 from marginalia.operators.measure import request_load
 from marginalia.operators.ownership import claim_anchors, claim_citations
 from marginalia.operators.ranking import even_sample, pick_diverse, running_budget_cut
@@ -213,3 +214,30 @@ def test_request_load_hot_host(spark):
         mine = [(t, t + d) for h, t, d in rows if h == host]
         peak = max(sum(a <= t < b for a, b in mine) for t in range(400))
         assert got[host] == (len(mine), peak)
+
+
+def unmerged(spark, df, by):
+    """Rows of the largest task when nothing is sent whole and no parts are merged."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        return by(df.withColumn("_task", F.spark_partition_id()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_cites_without_isbn_are_spread_in_citation_access(spark):
+    """All of them would meet in one task."""
+    cites = spark.createDataFrame([(k, k % 3 if k < 9 else None) for k in range(1000)], "cite_id int, isbn long")
+    volumes = spark.createDataFrame([(0, 1, "full"), (None, 1, "full")], "isbn long, ord long, availability string")
+    failed = spark.createDataFrame([(1,), (None,)], "isbn long")
+    out = citation_access(cites, volumes, failed)
+    assert out.columns == ["cite_id", "isbn", "access", "unchecked"]
+    got = {r.cite_id: (r.isbn, r.access, r.unchecked) for r in out.collect()}
+    want = {0: (0, "full", False), 1: (1, None, True), 2: (2, None, False)}
+    assert got == {k: want[k % 3] if k < 9 else (None, None, False) for k in range(1000)}
+    tasks = unmerged(spark, out, lambda df: [r._task for r in df.collect()])
+    assert max(tasks.count(t) for t in set(tasks)) < 500
