@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.identifiers import host_of, host_suffixes
 from marginalia.functions.ordering import running_sum, top_k
+from marginalia.session import deal
 
 COVERAGE = ("total", "open", "cataloged", "linked", "unchecked")
 
@@ -65,24 +66,26 @@ def partner_tally(
     footnotes: DataFrame,
     partners: DataFrame,
     left_out: Sequence[str] = ("openalex",),
+    parts: int | None = None,
 ) -> DataFrame:
     """Cards and notes per page and partner. A note counts for the partner
     whose base host its access link lies under; paper catalogues are left out
-    there, since a link to their resolver names somebody else's copy."""
+    there, since a link to their resolver names somebody else's copy. ``parts``:
+    how many parts rows are dealt to by page, if not the session's number."""
     cards = entries.filter(F.col("source").isNotNull()).select(
         "page_id", F.col("source").alias("slug"), F.lit(1).alias("cards"), F.lit(0).alias("notes")
     )
     hosts = footnotes.select("page_id", host_of(F.col("access_url")).alias("host")).filter(
         "host IS NOT NULL"
     )
-    # Notes are counted per page and host, and every host is resolved once.
-    counted = hosts.groupBy("page_id", "host").agg(F.count("*").alias("notes"))
+    # Notes are counted per page and host, and every host is resolved once. Few hosts bear most notes: dealt by host, no more
+    # tasks than hosts would have rows. So the hosts of partners go to the counts.
+    counted = deal(hosts, parts, "page_id", "host").groupBy("page_id", "host").agg(F.count("*").alias("notes"))
     bases = partners.filter(~F.col("slug").isin(*left_out)).select("slug", "base").distinct()
-    notes = counted.join(hosts_under(hosts.select("host").distinct(), bases), "host").select(
-        "page_id", "slug", F.lit(0).alias("cards"), "notes"
-    )
+    resolved = F.broadcast(hosts_under(hosts.select("host").distinct(), bases))
+    notes = counted.join(resolved, "host").select("page_id", "slug", F.lit(0).alias("cards"), "notes")
     return (
-        cards.unionByName(notes)
+        deal(cards.unionByName(notes), parts, "page_id", "slug")
         .groupBy("page_id", "slug")
         .agg(F.sum("cards").alias("cards"), F.sum("notes").alias("notes"))
     )

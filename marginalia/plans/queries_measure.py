@@ -8,7 +8,7 @@ from marginalia.functions.identifiers import host_of
 from marginalia.operators import measure as M
 from marginalia.operators import rights as R
 from marginalia.plans.catalog import query
-from marginalia.plans.views import sql_over, table, view, with_views
+from marginalia.plans.views import parts_of, sql_over, table, view, with_views
 from marginalia.sources.pages import store_by_page
 
 # Cites with the answer of the volume lookup, as the coverage counts read it.
@@ -84,10 +84,11 @@ FROM v_cites GROUP BY page_id, source"""
 
 
 def tally(spark, sf):
-    cites = view(spark, sf, "v_cites")
-    partners = sql_over(spark, sf, PARTNERS)
-    notes = sql_over(spark, sf, NOTES, "v_cites")
-    return M.partner_tally(cites.select("page_id", "source"), notes, partners, left_out=("Brand#3",))
+    parts = parts_of(spark, sf, "lineitem")
+    by_rows = {"dealt": {"orders": "o_orderkey", "part": "p_partkey"}, "parts": parts}
+    cards = sql_over(spark, sf, "SELECT page_id, source FROM v_cites", "v_cites", **by_rows)
+    notes = sql_over(spark, sf, NOTES, "v_cites", **by_rows)
+    return M.partner_tally(cards, notes, sql_over(spark, sf, PARTNERS), left_out=("Brand#3",), parts=parts)
 
 
 query("partner_tally", f"{with_views('v_cites')} {TALLY_SQL}")(tally)

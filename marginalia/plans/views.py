@@ -5,6 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Rows that one task may get of a shuffle. Keys like these shrink so much that the 64 MB up to which Spark merges parts can be GB of rows.
+ROWS_A_PART = 1_000_000
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -85,14 +88,22 @@ def _used(sql: str) -> list[str]:
     return [t for t in TABLES if t in words]
 
 
-def sql_over(spark: SparkSession, sf_dir: str, sql: str, *views: str) -> DataFrame:
-    """A SELECT over the given tables and views, as one Catalyst plan."""
+def parts_of(spark: SparkSession, sf_dir: str, name: str) -> int | None:
+    """How many parts a shuffle of a table's rows needs for ROWS_A_PART in each; None where the session's number is enough."""
+    parts = -(-table(spark, sf_dir, name).count() // ROWS_A_PART)
+    return parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def sql_over(spark: SparkSession, sf_dir: str, sql: str, *views: str, dealt: dict[str, str] | None = None, parts: int | None = None) -> DataFrame:
+    """A SELECT over the given tables and views, as one Catalyst plan. ``dealt``: tables and the column by which each
+    goes to ``parts`` parts, if that is a number; joins on the column then have as many."""
     texts: dict[str, str] = {}
     for name in views:
         for part in (*_NEEDS.get(name, ()), name):
             texts.setdefault(part, VIEWS[part])
     everything = " ".join([sql, *texts.values()])
-    tables = {t: f"SELECT * FROM parquet.`{sf_dir}/{t}.parquet`" for t in _used(everything)}
+    hints = {t: f"/*+ REPARTITION({parts}, {column}) */ " for t, column in (dealt or {}).items() if parts}
+    tables = {t: f"SELECT {hints.get(t, '')}* FROM parquet.`{sf_dir}/{t}.parquet`" for t in _used(everything)}
     ctes = ",\n".join(f"{n} AS ({text})" for n, text in {**tables, **texts}.items())
     return spark.sql(f"WITH {ctes}\n{sql}")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.ordering import rank_within, running_sum
 from marginalia.operators.intervals import interval_chain
 from marginalia.operators.matching import citation_access
-from marginalia.operators.measure import request_load
+from marginalia.operators.measure import partner_tally, request_load
 from marginalia.operators.ownership import claim_anchors, claim_citations
 from marginalia.operators.ranking import even_sample, pick_diverse, running_budget_cut
 
@@ -241,3 +241,17 @@ def test_cites_without_isbn_are_spread_in_citation_access(spark):
     assert got == {k: want[k % 3] if k < 9 else (None, None, False) for k in range(1000)}
     tasks = unmerged(spark, out, lambda df: [r._task for r in df.collect()])
     assert max(tasks.count(t) for t in set(tasks)) < 500
+
+
+def test_notes_are_not_dealt_by_host_in_partner_tally(spark):
+    """Few hosts bear most notes: dealt by host they would meet in as few tasks."""
+    cards = spark.createDataFrame([(k, "a") for k in range(50)], "page_id long, source string")
+    notes = spark.createDataFrame([(k % 50, "https://www.a.org/x") for k in range(500)], "page_id long, access_url string")
+    partners = spark.createDataFrame([("a", "a.org")], "slug string, base string")
+    want = {(k, "a", 1, 10) for k in range(50)}
+    for parts in (None, 3):
+        out = partner_tally(cards, notes, partners, parts=parts)
+        assert {(r.page_id, r.slug, r.cards, r.notes) for r in out.collect()} == want
+    rows, sent = unmerged(spark, out, lambda df: (df.rdd.getNumPartitions(), df._jdf.queryExecution().executedPlan().toString()))
+    assert rows == 3
+    assert any("BroadcastHashJoin [host" in line for line in sent.splitlines())
