@@ -29,6 +29,7 @@ from marginalia.functions.text import (
 )
 from marginalia.operators.graph import descendants
 from marginalia.operators.ranking import best_rank_values
+from marginalia.session import deal
 
 
 def resolve_titles(titles: DataFrame, redirects: DataFrame, page_props: DataFrame) -> DataFrame:
@@ -585,22 +586,22 @@ def linked_object_chain(objects: DataFrame, visuals: DataFrame, digitals: DataFr
     return linked.join(visuals, ["visual_id", *within], "left").drop(*within).join(digitals, "digital_id", "left")
 
 
-def select_holder(claims: DataFrame, registry: DataFrame, collection_property: str = "P195") -> DataFrame:
+def select_holder(claims: DataFrame, registry: DataFrame, collection_property: str = "P195", parts: int | None = None) -> DataFrame:
     """The museum that holds an entity: of the registered partners whose id it
     states, one whose collection it also states, else the first in registry
-    order. ``registry``: partner, property, collection, ord."""
-    best = best_rank_values(claims.filter(F.col("value_id").isNotNull()))
+    order. ``registry``: partner, property, collection, ord. ``parts``: how many
+    parts rows are dealt to, if not the session's number."""
+    best = best_rank_values(claims.filter(F.col("value_id").isNotNull()), parts)
     ids = (
         best.join(registry.withColumnRenamed("ord", "_reg"), "property")
         .groupBy("qid", "partner", "property", "collection", "_reg")
         .agg(F.min(F.struct("ord", "value_id")).alias("v"))
     )
-    stated = best.filter(F.col("property") == collection_property).select(
-        "qid", F.col("value_id").alias("collection")
-    ).distinct().withColumn("_there", F.lit(True))
+    collections = best.filter(F.col("property") == collection_property).select("qid", F.col("value_id").alias("collection"))
+    stated = deal(collections, parts, "qid", "collection").distinct().withColumn("_there", F.lit(True))
     order = F.struct(F.col("_there").isNull().alias("away"), "_reg")
     return (
-        ids.join(stated, ["qid", "collection"], "left")
+        deal(ids.join(stated, ["qid", "collection"], "left"), parts, "qid")
         .groupBy("qid")
         .agg(F.min_by(F.struct("partner", "property", F.col("v.value_id").alias("id")), order).alias("h"))
         .select("qid", "h.*")
@@ -800,21 +801,23 @@ def holder_census(
     registry: DataFrame,
     class_property: str = "P31",
     collection_property: str = "P195",
+    parts: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Works with an article and a museum's id: one row per distinct stated
-    id with the item's number of collections; and items per selected holder."""
-    best = best_rank_values(claims.filter(F.col("value_id").isNotNull()))
+    id with the item's number of collections; and items per selected holder.
+    ``parts``: how many parts rows are dealt to, if not the session's number."""
+    best = best_rank_values(claims.filter(F.col("value_id").isNotNull()), parts)
     kinds = best.filter(F.col("property") == class_property).join(
-        classes.select(F.col("class").alias("value_id")).distinct(), "value_id", "left_semi"
+        deal(classes.select(F.col("class").alias("value_id")), parts, "value_id").distinct(), "value_id", "left_semi"
     ).select("qid")
-    articles = sitelinks.groupBy("qid").agg(F.min("title").alias("title"))
+    articles = deal(sitelinks, parts, "qid").groupBy("qid").agg(F.min("title").alias("title"))
     items = articles.join(kinds, "qid", "left_semi")
     pairs = (
         best.join(registry.select("property"), "property", "left_semi")
         .select("qid", "property", F.col("value_id").alias("id"))
         .distinct()
     )
-    collections = best.filter(F.col("property") == collection_property).groupBy("qid").agg(
+    collections = deal(best.filter(F.col("property") == collection_property), parts, "qid").groupBy("qid").agg(
         F.countDistinct("value_id").alias("collections")
     )
     rows = (
@@ -823,7 +826,7 @@ def holder_census(
         .withColumn("collections", F.coalesce("collections", F.lit(0)))
     )
     picked = select_holder(
-        claims.join(rows.select("qid").distinct(), "qid", "left_semi"), registry, collection_property
+        claims.join(rows.select("qid").distinct(), "qid", "left_semi"), registry, collection_property, parts
     )
     return rows, picked.groupBy("partner").agg(F.count("*").alias("items"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.ordering import rank_within, running_sum, top_k
 from marginalia.functions.text import fold_key, folded_title, score_tokens
+from marginalia.session import deal
 
 SECTION = ("page_id", "section_ord")
 
@@ -27,11 +28,12 @@ ITEM_HOOKS = ("met", "aic", "rijks", "cleveland", "getty", "iiif", "inat", "gbif
 OTHER_HOOKS = ("lc", "eu", "coord", "osmr", "osmw", "osmn")
 
 
-def best_rank_values(claims: DataFrame) -> DataFrame:
+def best_rank_values(claims: DataFrame, parts: int | None = None) -> DataFrame:
     """Preferred statements where there are any, else the normal ones. The
     flag travels as one row per (qid, property), so a property stated a
-    million times is never gathered in one task."""
-    live = claims.filter(F.col("rank").isin("preferred", "normal"))
+    million times is never gathered in one task. ``parts``: how many parts
+    rows are dealt to, if not the session's number."""
+    live = deal(claims.filter(F.col("rank").isin("preferred", "normal")), parts, "qid", "property")
     preferred = (
         live.filter("rank = 'preferred'")
         .select("qid", "property")

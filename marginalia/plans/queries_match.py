@@ -9,7 +9,7 @@ from marginalia.operators import matching as J
 from marginalia.operators import measure as M
 from marginalia.operators import rights as R
 from marginalia.plans.catalog import query
-from marginalia.plans.views import sql_over, table, view, with_views
+from marginalia.plans.views import parts_of, sql_over, table, view, with_views
 from marginalia.sources.batches import lookup_batches
 
 HOLD = with_views("v_holdings")
@@ -382,7 +382,9 @@ def registry(spark):
     f"""{with_views('v_claims')}, {HOLDER_SQL} SELECT qid, partner, property, id FROM pick WHERE n = 1""",
 )
 def select_holder(spark, sf):
-    return J.select_holder(sql_over(spark, sf, HOLDER_CLAIMS, "v_claims"), registry(spark), "P4")
+    parts = parts_of(spark, sf, "lineitem")
+    claims = sql_over(spark, sf, HOLDER_CLAIMS, "v_claims", dealt={"lineitem": "l_orderkey"}, parts=parts)
+    return J.select_holder(claims, registry(spark), "P4", parts)
 
 
 @query(
@@ -515,11 +517,12 @@ rows AS (SELECT DISTINCT b.qid, b.property, b.value_id AS id, sl.title FROM best
 
 
 def census(spark, sf):
-    claims = sql_over(spark, sf, HOLDER_CLAIMS, "v_claims").withColumn(
+    parts = parts_of(spark, sf, "lineitem")
+    claims = sql_over(spark, sf, HOLDER_CLAIMS, "v_claims", dealt={"lineitem": "l_orderkey"}, parts=parts).withColumn(
         "property", F.when(F.col("property") == "P6", "P31").otherwise(F.col("property"))
     )
     return J.holder_census(
-        claims, sql_over(spark, sf, SITELINKS), sql_over(spark, sf, WORK_CLASSES), registry(spark), "P31", "P4"
+        claims, sql_over(spark, sf, SITELINKS), sql_over(spark, sf, WORK_CLASSES), registry(spark), "P31", "P4", parts
     )
 
 

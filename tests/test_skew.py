@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.ordering import rank_within, running_sum
 from marginalia.operators.intervals import interval_chain
-from marginalia.operators.matching import citation_access
+from marginalia.operators.matching import citation_access, select_holder
 from marginalia.operators.measure import partner_tally, request_load
 from marginalia.operators.ownership import claim_anchors, claim_citations
 from marginalia.operators.ranking import even_sample, pick_diverse, running_budget_cut
@@ -255,3 +255,14 @@ def test_notes_are_not_dealt_by_host_in_partner_tally(spark):
     rows, sent = unmerged(spark, out, lambda df: (df.rdd.getNumPartitions(), df._jdf.queryExecution().executedPlan().toString()))
     assert rows == 3
     assert any("BroadcastHashJoin [host" in line for line in sent.splitlines())
+
+
+def test_select_holder_deals_rows_to_the_parts_asked_for(spark):
+    claims = spark.createDataFrame(
+        [(q, p, "normal", k, 7) for q in range(40) for k, p in enumerate(("P1", "P4"))], "qid long, property string, rank string, ord long, value_id long"
+    )
+    registry = spark.createDataFrame([("a", "P1", 8, 1), ("b", "P4", 7, 2)], "partner string, property string, collection long, ord long")
+    for parts in (None, 5):
+        out = select_holder(claims, registry, "P4", parts)
+        assert {(r.qid, r.partner, r.property, r.id) for r in out.collect()} == {(q, "b", "P4", 7) for q in range(40)}
+    assert unmerged(spark, out, lambda df: df.rdd.getNumPartitions()) == 5
