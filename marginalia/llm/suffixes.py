@@ -27,8 +27,8 @@ GRAM = 80
 SHALLOW = 32
 GROUP = 256  # contexts of one gram that are sorted together; larger groups go by their strings' digests
 SORTED_AT_ONCE = 2_000
-SENT_AT_ONCE = 1024  # contexts with their surroundings, in one message
 HASHED_AT_ONCE = 256  # contexts whose strings, up to 200 each, go out in one message
+ANCHOR_BYTES = 1 << 18  # of text whose anchors are found at once: some 25 numbers a byte are held meanwhile
 
 
 # ---- deep-shallow sorting
@@ -214,7 +214,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int =
 def _anchor_table(docs: DataFrame, span: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole):
+            for batch in chunks(whole, most=ANCHOR_BYTES):
                 row, at, h, context, low, high = anchors(*flat(batch.column("text")), span, gram)
                 rid = batch.column("rid").to_numpy(zero_copy_only=False)[row]
                 yield pa.RecordBatch.from_arrays(
@@ -230,28 +230,11 @@ def _context_bytes(docs: DataFrame, wanted: DataFrame, span: int, gram: int) ->
     by_row = wanted.groupBy("rid").agg(F.collect_list(F.struct("at", "h", "context", "n", "low", "high")).alias("places"))
     near = docs.select("rid", "text").filter(maybe_in(id_bitmap(by_row, "rid"), F.col("rid"))).dropDuplicates(["rid"])
 
-    names = ["h", "context", "n", "low", "high", "left", "right"]
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.binary(), pa.binary())
-
-    def told(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for whole in batches:
-            for k in range(whole.num_rows):  # a text with its places at a time, and no more surroundings than go out at once
-                raw = whole.column("text")[k].as_buffer().to_pybytes()
-                for p in whole.column("places")[k].as_py():
-                    a = p["at"]
-                    out.append((p["h"], p["context"], p["n"], p["low"], p["high"], raw[max(0, a - (span - gram)) : a], raw[a : a + span]))
-                    if len(out) == SENT_AT_ONCE:
-                        yield told(out)
-                        out = []
-        if out:
-            yield told(out)
-
-    joined = near.join(by_row, "rid").select("text", "places")
-    return joined.mapInArrow(run, "h bigint, context bigint, n bigint, low smallint, high smallint, left binary, right binary")
+    # Native, for the tasks that hash strings go on from here: they have one Python worker then.
+    at, before = F.col("at"), span - gram
+    left = F.substring("raw", F.greatest(at - before, F.lit(0)) + 1, F.least(at, F.lit(before)))
+    cut = near.join(by_row, "rid").select(F.col("text").cast("binary").alias("raw"), F.inline("places"))
+    return cut.select("h", "context", "n", "low", "high", left.alias("left"), F.substring("raw", at + 1, F.lit(span)).alias("right"))
 
 
 _FOUND = "h bigint, context bigint, offsets array<int>"

@@ -443,3 +443,41 @@ def test_offsets_of_contexts_that_occur_twice_are_not_asked_for(spark):
     df = spark.createDataFrame(rows, "h long, context long, n long, low short, high short, left binary, right binary")
     got = {r.context: sorted(r.offsets) for r in suffixes._hash_groups(df, 200).collect()}
     assert got == {11: list(range(61))}
+
+
+def test_anchors_of_a_large_batch_take_little_memory():
+    """Some 25 numbers of eight bytes are held for a byte of the text at work: that is a slice of the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    texts = [prose(k, 400) for k in range(600)]
+    batch = pa.RecordBatch.from_pydict({"rid": list(range(len(texts))), "text": texts})
+    run = suffixes._anchor_table(Docs(), 200, 80)
+    sum(b.num_rows for b in run(iter([batch])))  # tables of powers, made once
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 10_000 and peak < 60e6
+
+
+def test_tasks_that_hash_contexts_have_one_python_worker(spark, monkeypatch):
+    plans = {}
+
+    def stored(df, name, keep=suffixes._stored):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, name)
+
+    monkeypatch.setattr(suffixes, "_stored", stored)
+    passage = prose(70, 60)
+    check_repeats(spark, [prose(71 + k, 50) + passage[k % 7 :] for k in range(5)], group=2)
+    # one to sort the small groups, two to hash the strings of large ones: to count them, and to look them up
+    assert plans["offsets"].count("MapInArrow") == 3
