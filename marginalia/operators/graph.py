@@ -12,6 +12,7 @@ def class_closure(edges: DataFrame, classes: DataFrame, hops: int = 4) -> DataFr
     """Every class with itself and all its ancestors, asked of distinct
     classes only. Each round walks up to ``hops`` levels, keeps what is new and
     stops when nothing is; a cycle therefore ends it like a root does.
+    No side of a join is broadcast: each of the many joins would send the driver up to the threshold.
 
     ``edges``: child, parent; ``classes``: class."""
     steps = cut_lineage(edges.select("child", "parent").distinct())
@@ -24,14 +25,14 @@ def class_closure(edges: DataFrame, classes: DataFrame, hops: int = 4) -> DataFr
         level, reached = frontier, None
         for hop in range(1, hops + 1):
             level = (
-                level.join(steps, level["super"] == steps["child"])
+                level.join(steps.hint("merge"), level["super"] == steps["child"])
                 .select("class", F.col("parent").alias("super"))
                 .distinct()
             )
             tagged = level.withColumn("hop", F.lit(hop))
             reached = tagged if reached is None else reached.unionByName(tagged)
         new = cut_lineage(
-            reached.groupBy("class", "super").agg(F.min("hop").alias("hop")).join(found, ["class", "super"], "left_anti")
+            reached.groupBy("class", "super").agg(F.min("hop").alias("hop")).join(found.hint("merge"), ["class", "super"], "left_anti")
         )
         if new.isEmpty():
             return found

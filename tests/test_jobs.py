@@ -53,6 +53,20 @@ def test_closure_ends_on_a_cycle(spark):
     assert got == {(1, 1), (1, 2), (1, 3), (9, 9), (9, 1), (9, 2), (9, 3), (7, 7)}
 
 
+def test_closure_broadcasts_nothing(spark, monkeypatch):
+    plans = []
+
+    def cut(df, keep=G.cut_lineage):
+        out = keep(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(G, "cut_lineage", cut)
+    edges = spark.createDataFrame([(k, k // 2) for k in range(1, 200)], "child long, parent long")
+    assert G.class_closure(edges, edges.select(edges.child.alias("class")), hops=2).count() == sum(k.bit_length() + 1 for k in range(1, 200))
+    assert sum("SortMergeJoin" in p for p in plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
 def test_place_items(spark):
     items = spark.createDataFrame([(1, i, q) for i, q in (("seed", "q0"), ("a", "q1"), ("b", None), ("geo", None), ("coda", None), ("lone", None))], "page_id int, item_id string, qid string")
     links = spark.createDataFrame([(1, 1, 1, "q1"), (1, 3, 1, "q1")], "page_id int, section_ord long, ord int, qid string")
