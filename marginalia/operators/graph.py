@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.session import cut_lineage
@@ -127,60 +127,76 @@ def place_items(items: DataFrame, links: DataFrame, edges: DataFrame, seeds: Dat
 
     ``items``: page_id, item_id, qid; ``links``: page_id, section_ord, ord, qid
     (section 1 is the lede); ``edges``: page_id, src, dst, type, linked_via;
-    ``seeds``: page_id, item_id, placed in the lede as the article's subject."""
-    items = cut_lineage(items.select("page_id", "item_id", "qid"))
-    by_qid = items.filter("qid IS NOT NULL").groupBy("page_id", "qid").agg(F.min("item_id").alias("item_id"))
+    ``seeds``: page_id, item_id, placed in the lede as the article's subject.
+
+    Instead of joins, rows of both sides are grouped together, each side grouped before where it is large. All keys hold ``page_id``, so what is asked of one
+    input alone needs no shuffle where it is dealt by page (``store_by_page``); their unions are dealt anew."""
+    item = ["page_id", "item_id"]
     in_lede = (F.col("section_ord") == 1).alias("_lede")
+    named = items.filter("qid IS NOT NULL").groupBy("page_id", "qid").agg(F.min("item_id").alias("item_id"))
+    first_links = links.dropna(subset=["page_id", "qid"]).groupBy("page_id", "qid").agg(F.min(F.struct(in_lede, "section_ord", "ord", "qid")).alias("p"))
     linked = (
-        links.join(by_qid, ["page_id", "qid"])
-        .groupBy("page_id", "item_id")
-        .agg(F.min(F.struct(in_lede, "section_ord", "ord", "qid")).alias("p"))
-        .select("page_id", "item_id", "p.section_ord", F.col("p.qid").cast("string").alias("via"))
-    )
-    subjects = seeds.join(items.select("page_id", "item_id"), ["page_id", "item_id"], "left_semi").select(
-        "page_id", "item_id", F.lit(1).cast("bigint").alias("section_ord"), F.lit("article subject").alias("via")
+        named.unionByName(first_links, allowMissingColumns=True)
+        .groupBy("page_id", "qid")
+        .agg(F.min("item_id").alias("item_id"), F.min("p").alias("p"))
+        .dropna(subset=["item_id", "p"])
     )
-    # used three times below
-    direct = cut_lineage(
-        subjects.unionByName(
-            linked.join(subjects, ["page_id", "item_id"], "left_anti")
-        ).withColumn("placement", F.lit("direct"))
+    known = (
+        items.select(*item, F.lit(True).alias("_item"))
+        .unionByName(linked.select(*item, "p"), allowMissingColumns=True)
+        .unionByName(seeds.dropna(subset=item).select(*item, F.lit(True).alias("_seed")), allowMissingColumns=True)
+        .groupBy(*item)
+        .agg(F.bool_or("_item").alias("_item"), F.bool_or("_seed").alias("_seed"), F.min("p").alias("p"))
+        .filter("_item")
+        .select(
+            *item, "_item", (F.col("_seed").isNotNull() | F.col("p").isNotNull()).alias("_direct"),
+            F.when(F.col("_seed"), F.lit(1).cast("bigint")).otherwise(F.col("p.section_ord")).alias("section_ord"),
+            F.when(F.col("_seed"), "article subject").otherwise(F.col("p.qid").cast("string")).alias("via"),
+        )
     )
 
     # Edges seen from either end; each edge judged before it is grouped.
     geographic = (F.size("linked_via") > 0) & (
         F.size(F.array_except("linked_via", F.array(*[F.lit(g) for g in GEOGRAPHIC]))) == 0
     )
-    judged = cut_lineage(
-        edges.select("page_id", "src", "dst", geographic.alias("_geo"), (F.col("type") == "location").alias("_loc"))
-    )
     both_ways = F.array(
         F.struct(F.col("src").alias("item_id"), F.col("dst").alias("other")),
         F.struct(F.col("dst").alias("item_id"), F.col("src").alias("other")),
     )
-    ends = judged.select("page_id", F.inline(both_ways), "_geo", "_loc")
-    by_item = ends.groupBy("page_id", "item_id").agg(
-        F.bool_and("_geo").alias("_geo"), F.bool_and("_loc").alias("_loc")
-    )
-    open_items = items.select("page_id", "item_id").distinct().join(direct, ["page_id", "item_id"], "left_anti").join(
-        by_item, ["page_id", "item_id"], "left"
+    ends = (
+        edges.select("page_id", "src", "dst", geographic.alias("_geo"), (F.col("type") == "location").alias("_loc"))
+        .select("page_id", F.inline(both_ways), "_geo", "_loc")
+        .dropna(subset=item)
     )
-    placed = direct.select("page_id", F.col("item_id").alias("other"), "section_ord")
-    through = (
-        ends.join(placed, ["page_id", "other"])
-        .groupBy("page_id", "item_id")
-        .agg(F.min(F.struct(in_lede, "section_ord", "other")).alias("p"))
+    placed = known.filter("_direct").select("page_id", F.col("item_id").alias("other"), "section_ord", F.lit(True).alias("_placed"))
+    there = Window.partitionBy("page_id", "other")
+    through = F.when(F.max("_placed").over(there), F.struct((F.col("_at") == 1).alias("_lede"), F.col("_at").alias("section_ord"), "other"))
+    around = (
+        ends.unionByName(placed, allowMissingColumns=True)
+        .withColumn("_at", F.max("section_ord").over(there))
+        .withColumn("p", through)
+        .filter("_placed IS NULL")
+        .groupBy(*item)
+        .agg(F.bool_and("_geo").alias("_geo"), F.bool_and("_loc").alias("_loc"), F.min("p").alias("p"))
     )
     geo = F.coalesce("_geo", F.lit(False))
     found = F.col("p").isNotNull() & ~geo
-    rest = open_items.join(through, ["page_id", "item_id"], "left").select(
-        "page_id", "item_id",
-        F.when(found, F.col("p.section_ord")).alias("section_ord"),
-        F.when(found, F.col("p.other")).alias("via"),
-        F.when(geo & F.col("_loc"), "prologue").when(geo, "coda").when(found, "connection")
-        .otherwise("unplaced").alias("placement"),
+    return (
+        known.unionByName(around, allowMissingColumns=True)
+        .groupBy(*item)
+        .agg(
+            F.bool_or("_item").alias("_item"), F.bool_or("_direct").alias("_direct"), F.max("section_ord").alias("section_ord"), F.max("via").alias("via"),
+            F.bool_or("_geo").alias("_geo"), F.bool_or("_loc").alias("_loc"), F.min("p").alias("p"),
+        )
+        .filter("_item")
+        .select(
+            *item,
+            F.when(F.col("_direct"), F.col("section_ord")).when(found, F.col("p.section_ord")).alias("section_ord"),
+            F.when(F.col("_direct"), F.col("via")).when(found, F.col("p.other")).alias("via"),
+            F.when(F.col("_direct"), "direct").when(geo & F.col("_loc"), "prologue").when(geo, "coda").when(found, "connection")
+            .otherwise("unplaced").alias("placement"),
+        )
     )
-    return direct.unionByName(rest)
 
 
 def placement_report(placement: DataFrame) -> DataFrame:

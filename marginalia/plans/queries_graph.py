@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from marginalia.operators import graph as G
 from marginalia.operators import quality as Q
 from marginalia.plans.catalog import query
-from marginalia.plans.views import sql_over, table, view, with_views
+from marginalia.plans.views import parts_of, sql_over, table, view, with_views
+from marginalia.sources.pages import BUCKETS, store_by_page
 
 
 @query(
@@ -68,15 +69,26 @@ PAGE_LINKS = "SELECT page_id, section_ord, c.ord, value_id AS qid FROM v_section
 PAGE_SEEDS = "SELECT page_id, 'p' || CAST(min(cand) AS STRING) AS item_id FROM v_cands GROUP BY page_id"
 
 
+# Of an item's links only the section tells, for it has one qid; the line number stands for their order.
+PAGE_ROWS = """SELECT page_id, section_ord, l_linenumber AS ord, l_partkey, l_suppkey, l_linestatus, l_returnflag
+FROM v_sections JOIN lineitem ON l_orderkey = section_id"""
+
+
 def placement(spark, sf):
+    """All four inputs come from the rows of a page, which are dealt by page once."""
+    rows = store_by_page(sql_over(spark, sf, PAGE_ROWS, "v_sections"), "placement", buckets=parts_of(spark, sf, "lineitem") or BUCKETS)
+    part, supplier = F.concat(F.lit("p"), F.col("l_partkey")), F.concat(F.lit("s"), F.col("l_suppkey"))
     system = F.create_map(*[F.lit(x) for x in ("A", "coordinates", "N", "geonames", "R", "viaf")])
-    edges = sql_over(spark, sf, PAGE_EDGES, "v_sections").withColumn(
-        "linked_via", F.array_distinct(F.array(system[F.col("lo")], system[F.col("hi")]))
-    )
-    return G.place_items(
-        sql_over(spark, sf, PAGE_ITEMS, "v_cands"), sql_over(spark, sf, PAGE_LINKS, "v_sections", "v_claims"), edges,
-        sql_over(spark, sf, PAGE_SEEDS, "v_cands"),
+    edges = rows.groupBy("page_id", "l_suppkey", "l_partkey").agg(
+        F.when(F.bool_or(F.col("l_linestatus") == "F"), "subject").otherwise("location").alias("type"),
+        F.array_distinct(F.array(system[F.min("l_returnflag")], system[F.max("l_returnflag")])).alias("linked_via"),
+    ).select("page_id", supplier.alias("src"), part.alias("dst"), "type", "linked_via")
+    items = rows.select("page_id", "l_partkey").distinct().select("page_id", part.alias("item_id"), F.col("l_partkey").alias("qid")).unionByName(
+        rows.select("page_id", "l_suppkey").distinct().select("page_id", supplier.alias("item_id"), F.lit(None).cast("bigint").alias("qid"))
     )
+    links = rows.filter("l_returnflag = 'A'").select("page_id", "section_ord", "ord", F.col("l_partkey").alias("qid"))
+    seeds = rows.groupBy("page_id").agg(F.min("l_partkey").alias("l_partkey")).select("page_id", part.alias("item_id"))
+    return G.place_items(items, links, edges, seeds)
 
 
 PLACED = f"""{with_views('v_sections', 'v_claims', 'v_cands')}, e AS ({PAGE_EDGES}), i AS ({PAGE_ITEMS}), l AS ({PAGE_LINKS}), sd AS ({PAGE_SEEDS}),

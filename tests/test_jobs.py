@@ -82,6 +82,34 @@ def test_place_items(spark):
     }
 
 
+def test_items_of_stored_pages_are_placed_without_a_join(spark):
+    from marginalia.sources.pages import drop_stored, store_by_page
+
+    rows = [(page, k, page % 3 + k, k % 4) for page in range(40) for k in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, section_ord long, part long, supplier long")
+    stored = store_by_page(df, "placement_test", buckets=4)
+    part, supplier = F.concat(F.lit("p"), F.col("part")), F.concat(F.lit("s"), F.col("supplier"))
+
+    def placed(rows):
+        items = rows.select("page_id", "part").distinct().select("page_id", part.alias("item_id"), F.col("part").alias("qid")).unionByName(
+            rows.select("page_id", "supplier").distinct().select("page_id", supplier.alias("item_id")), allowMissingColumns=True
+        )
+        links = rows.filter("part % 2 = 0").select("page_id", "section_ord", F.lit(1).alias("ord"), F.col("part").alias("qid"))
+        edges = rows.groupBy("page_id", "part", "supplier").agg(F.min("section_ord").alias("o")).select(
+            "page_id", supplier.alias("src"), part.alias("dst"), F.lit("subject").alias("type"), F.when(F.col("o") % 2 == 0, F.array(F.lit("viaf"))).otherwise(F.array(F.lit("geonames"))).alias("linked_via")
+        )
+        seeds = rows.groupBy("page_id").agg(F.min("part").alias("part")).select("page_id", part.alias("item_id"))
+        return G.place_items(items, links, edges, seeds)
+
+    try:
+        found = placed(stored)
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(str, found.collect()))
+        assert got == sorted(map(str, placed(df).collect())) and len(got) == len(set(got)) > 200
+    finally:
+        drop_stored(spark, "placement_test")
+
+
 def test_card_budgets_map_does_not_take_a_card(spark):
     cards = spark.createDataFrame([(1, 1, i, i, i in (2, 3)) for i in range(1, 8)], "page_id int, section_ord int, anchor_ord int, ord int, is_map boolean")
     assert sorted(r.ord for r in K.card_budgets(cards, 4, 1).collect()) == [1, 2, 4, 5]
