@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,6 +33,20 @@ def id_bitmap(ids: DataFrame, column: str, digest: bool = False) -> np.ndarray:
     return out
 
 
+class Bitmaps:
+    """Bitmaps on their way to the tasks: few bits are set in most, so they travel and lie on disk compressed."""
+
+    def __init__(self, *held: np.ndarray | None):
+        self.held = held
+
+    def __reduce__(self):
+        return _unpacked, tuple(None if b is None else zlib.compress(b, 1) for b in self.held)
+
+
+def _unpacked(*held: bytes | None) -> Bitmaps:
+    return Bitmaps(*(None if b is None else np.frombuffer(zlib.decompress(b), np.uint8) for b in held))
+
+
 def _bits(bitmap: np.ndarray, k: np.ndarray, p: np.ndarray) -> np.ndarray:
     return ((bitmap[k * (_BUCKET // 8) + p // 8] >> (p % 8).astype(np.uint8)) & 1) == 1
 
@@ -56,11 +72,11 @@ def slots_in(bitmap: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
 
 def maybe_in(bitmap: np.ndarray, key: Column) -> Column:
     """False only for keys that are not in the table behind the bitmap. Only the key goes through Python."""
-    held = SparkSession.active().sparkContext.broadcast(bitmap)
+    sent = SparkSession.active().sparkContext.broadcast(Bitmaps(bitmap))
 
     @F.pandas_udf("boolean")
     def hit(bucket: pd.Series, position: pd.Series) -> pd.Series:
-        return pd.Series(_bits(held.value, bucket.to_numpy(np.int64), position.to_numpy(np.int64)))
+        return pd.Series(_bits(sent.value.held[0], bucket.to_numpy(np.int64), position.to_numpy(np.int64)))
 
     slot = _slot(key, False)
     return hit((slot / _BUCKET).cast("int"), F.bitmap_bit_position(slot))

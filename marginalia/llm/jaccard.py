@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.ordering import top_k
 from marginalia.llm.components import components
-from marginalia.llm.idfilter import digests_in, id_bitmap, maybe_in, slot_columns, slots_in
+from marginalia.llm.idfilter import Bitmaps, digests_in, id_bitmap, maybe_in, slot_columns, slots_in
 from marginalia.llm.registry import query, table
 from marginalia.llm.textbytes import chunks, flat, lower, mixed, prefix, stretch_digests, words
 from marginalia.session import cut_lineage
@@ -28,7 +28,7 @@ WIDTH = 3
 PERCENT = 90
 LEAST_PERCENT = 60
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
-SKETCH_BITS = 2048  # of the signatures that go to every part a set shares
+SKETCH_BITS = 256  # at least, of the signatures that go to every part a set shares
 SKETCHED_SETS = 256  # sets in a part that are compared by signature before they are grouped
 PART_BYTES = 1 << 19  # of text whose parts are worked out at once
 PIVOTS = 8
@@ -169,6 +169,27 @@ def signatures(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return np.packbits(flags, axis=1).view(np.uint64)
 
 
+def sketch_bits(size: int) -> int:
+    """How long a set's signature is: at most every fourth bit is set, so sets of any size can be told apart by it."""
+    return max(SKETCH_BITS, 1 << (4 * size - 1).bit_length())
+
+
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """A signature per set, each as long as the set asks for."""
+    bits, out = [sketch_bits(len(s)) for s in sets], [b""] * len(sets)
+    for length in set(bits):
+        places = [k for k, b in enumerate(bits) if b == length]
+        for k, sign in zip(places, signatures([sets[k] for k in places], length), strict=True):
+            out[k] = sign.tobytes()
+    return out
+
+
+def folded(held: list[bytes]) -> np.ndarray:
+    """Signatures of several lengths as rows of the least: a longer one's bits fall where that length puts them."""
+    words = min(map(len, held)) // 8
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, words), axis=0) for x in held])
+
+
 def _needed(sizes: np.ndarray, percent: int) -> np.ndarray:
     """The overlap that two sets of that many shingles together need to link."""
     return -(-percent * sizes // (100 + percent))
@@ -311,20 +332,25 @@ def _set_table(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _part_rows(
-    docs: DataFrame, percent: int, width: int, asked: np.ndarray | None = None, copied: np.ndarray | None = None, of_copies: bool = True
+    docs: DataFrame, percent: int, width: int, asked: tuple[np.ndarray, np.ndarray] | None = None,
+    copied: tuple[np.ndarray, np.ndarray] | None = None, of_copies: bool = True,
 ) -> DataFrame:
-    """key, node: the parts of every set, once per batch for equal sets. ``asked``: a bitmap over the keys that matter.
-    ``copied``: a bitmap over doc_id that says which texts are taken: those in it, or (``of_copies`` false) the others.
-    Tasks look ids up themselves, so that a task has one Python worker."""
-    held = docs.sparkSession.sparkContext.broadcast((asked, copied))
+    """key, node: the parts of every set, once per batch for equal sets. ``asked``: bitmaps over the keys that matter and over the
+    doc_id of one text of each set. ``copied``: bitmaps over doc_id, of the texts whose set others have too and of one text of each set; texts
+    in both are taken, or (``of_copies`` false) those not in the first. Tasks look ids up themselves, so that a task has one Python worker."""
+    wanted, firsts = asked or (None, None)
+    ids, firsts = copied or (None, firsts)
+    sent = docs.sparkSession.sparkContext.broadcast(Bitmaps(wanted, ids, firsts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, (wanted, ids) = Parts(percent), held.value
+        parts, (wanted, ids, firsts) = Parts(percent), sent.value.held
         for whole in batches:
             seen: set[int] = set()
             for batch in chunks(whole, most=PART_BYTES):
                 if ids is not None:
                     batch = batch.filter(pa.array(slots_in(ids, batch) == of_copies))
+                if firsts is not None:
+                    batch = batch.filter(pa.array(slots_in(firsts, batch)))
                 digests, cuts = shingle_sets(batch.column("text"), width)
                 nodes, keys = [], []
                 for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
@@ -342,7 +368,7 @@ def _part_rows(
                     key, node = key[some], node[some]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
 
-    columns = slot_columns(F.col("doc_id")) if copied is not None else []
+    columns = slot_columns(F.col("doc_id")) if asked is not None or copied is not None else []
     return docs.select("text", *columns).mapInArrow(run, "key bigint, node bigint")
 
 
@@ -366,19 +392,26 @@ def _sets_of(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node bigint, held binary")
 
 
-def _sketches_of(docs: DataFrame, width: int) -> DataFrame:
+def _sketches_of(docs: DataFrame, width: int, firsts: np.ndarray, asked: np.ndarray) -> DataFrame:
+    """node, sketch, size of the texts in a bitmap over doc_id whose set is in one over digests of sets."""
+    sent = docs.sparkSession.sparkContext.broadcast(Bitmaps(firsts, asked))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, nodes = sent.value.held
         for whole in batches:
             for batch in chunks(whole):
+                batch = batch.filter(pa.array(slots_in(ids, batch)))
                 digests, cuts = shingle_sets(batch.column("text"), width)
                 held = [digests[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False) if b > a]
+                node = np.array([node_of(h) for h in held], np.int64)
+                some = np.flatnonzero(digests_in(nodes, node))
+                held = [held[k] for k in some]
                 if held:
-                    signs = signatures(held, SKETCH_BITS)
-                    columns = [[int(node_of(h)) for h in held], [x.tobytes() for x in signs], [len(h) for h in held]]
+                    columns = [node[some], sketches(held), [len(h) for h in held]]
                     types = (pa.int64(), pa.binary(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["node", "sketch", "size"])
 
-    return docs.select("text").mapInArrow(run, "node bigint, sketch binary, size bigint")
+    return docs.select("text", *slot_columns(F.col("doc_id"))).mapInArrow(run, "node bigint, sketch binary, size bigint")
 
 
 def _by_block(finish, columns: list[str]):
@@ -419,7 +452,7 @@ def _sketch_blocks(rows: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that join the sets of a block which may link as far as their signatures tell. ``rows``: block, node, sketch, size."""
 
     def finish(c: dict) -> pa.RecordBatch:
-        signs = np.frombuffer(b"".join(c["sketch"]), np.uint64).reshape(len(c["node"]), -1)
+        signs = folded(c["sketch"])
         tree = Tree(signs, np.array(c["size"], np.int64), signs[:, 0])
         links = Links(np.arange(len(signs)))
         i, j = dual_walk(tree, tree, np.arange(len(signs)), np.arange(len(signs)), percent)
@@ -449,11 +482,12 @@ def candidate_edges(docs: DataFrame, sets: DataFrame, percent: int, width: int)
     Equal parts gather sets, each once however many texts hold it. Parts with the same sets count once; their sets are joined where their signatures, walked as a
     tree, let them link. In parts of very many sets all are joined to the least.
 
-    A set that one text holds has its parts once, and they are counted before they travel. Only the parts of sets with several
-    texts are made distinct first, for a repeat would change the count and cancel in the sum."""
-    copied = sets.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("_n")).filter("_n > 1")
-    ids = id_bitmap(sets.join(copied, "node"), "doc_id")
-    parts = _part_rows(docs, percent, width, None, ids, False).unionAll(_part_rows(docs, percent, width, None, ids, True).distinct())
+    A set that one text holds has its parts once, and they are counted before they travel. Of a set with several texts one is read, but
+    bitmaps let a few others pass: their parts are made distinct first, for a repeat would change the count and cancel in the sum."""
+    first = sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("_n"))
+    firsts = id_bitmap(first, "doc_id")
+    copied = id_bitmap(sets.join(first.filter("_n > 1").select("node"), "node"), "doc_id"), firsts
+    parts = _part_rows(docs, percent, width, None, copied, False).unionAll(_part_rows(docs, percent, width, None, copied, True).distinct())
     shared = cut_lineage(
         parts.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n"), F.bit_xor("node").alias("x"))
         .filter("n > 1").groupBy("leader", "n", "x").agg(F.min("key").alias("key"))
@@ -462,12 +496,12 @@ def candidate_edges(docs: DataFrame, sets: DataFrame, percent: int, width: int)
     other = F.col("x").bitwiseXOR(F.col("leader"))
     two = shared.filter("n = 2").select(F.col("key").alias("block"), F.explode(F.array("leader", other)).alias("node"))
     more = shared.filter("n > 2").select("key", "leader", "n")
-    rows = cut_lineage(_part_rows(docs, percent, width, id_bitmap(more, "key", digest=True)).join(more, "key"))
+    rows = cut_lineage(_part_rows(docs, percent, width, (id_bitmap(more, "key", digest=True), firsts)).join(more, "key"))
     small = two.unionAll(rows.filter(F.col("n") <= SKETCHED_SETS).select(F.col("key").alias("block"), "node")).distinct()
     nodes = small.select("node").distinct()
     # Texts are read again for the sets that share a part; their rows alone are dealt out.
-    sketches = _sketches_of(docs, width).join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    edges = _sketch_blocks(small.join(sketches, "node"), percent)
+    signs = _sketches_of(docs, width, firsts, id_bitmap(nodes, "node", digest=True)).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    edges = _sketch_blocks(small.join(signs, "node"), percent)
     star = rows.filter(F.col("n") > SKETCHED_SETS).select("leader", "node").distinct()
     low = star.groupBy("node").agg(F.min("leader").alias("low"))
     to_low = star.join(low, "node").select(F.col("leader").alias("a"), F.col("low").alias("b")).distinct()
@@ -539,12 +573,13 @@ def link_similar(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, bl
 
 def one_per_component(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without those whose component has a smaller id: one document of each group stays."""
-    linked = link_similar(docs, **options)
-    gone = cut_lineage(linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")))
-    suspect = maybe_in(id_bitmap(gone, "_id"), F.col("doc_id"))
-    marked = docs.withColumn("_suspect", suspect)
-    sure = marked.filter("not _suspect").drop("_suspect")
-    rest = marked.filter("_suspect").drop("_suspect").join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    linked = cut_lineage(link_similar(docs, **options).select(F.col("doc_id").alias("_id"), (F.col("doc_id") != F.col("component_id")).alias("_gone")))
+    gone = linked.filter("_gone")
+    # A text whose id no document that stays has is gone; only those that may be either are dealt out.
+    left = id_bitmap(linked.filter("_gone IS NOT TRUE"), "_id")
+    marked = docs.withColumns({"_suspect": maybe_in(id_bitmap(gone, "_id"), F.col("doc_id")), "_left": maybe_in(left, F.col("doc_id"))})
+    sure = marked.filter("not _suspect").drop("_suspect", "_left")
+    rest = marked.filter("_suspect and _left").drop("_suspect", "_left").join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
     return sure.unionAll(rest)
 
 

@@ -1,6 +1,8 @@
 """Operators over documents against plain loops, on rows with every oddity."""
 
 
+import pickle
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -144,6 +146,34 @@ def test_parts_of_sets_that_repeat_are_told_apart(spark, monkeypatch):
     assert {n for r in edges.collect() for n in r} == {10, 20, 30, 90}
 
 
+def test_large_texts_that_share_half_are_no_candidates(spark):
+    """They agree in parts; a signature of fixed length is full for sets of that size and lets any two of them link."""
+    draw = random.Random(11)
+    words = [[f"w{draw.randrange(10**6)}" for _ in range(6000)] for _ in range(3)]
+    texts = [words[0], words[0][:3000] + words[1][:3000], words[2], [*words[2][:5990], *["x"] * 10]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    sets = jaccard._set_table(docs, 5).persist()
+    node = {r.doc_id: r.node for r in sets.collect()}
+    edges = jaccard.candidate_edges(docs, sets, 80, 5).collect()
+    assert {n for r in edges for n in r} == {node[2], node[3]}
+
+
+def test_parts_are_taken_of_one_text_of_a_set(spark):
+    text = " ".join(f"w{k}" for k in range(300))
+    docs = spark.createDataFrame([(k, text) for k in range(40)], "doc_id long, text string").repartition(8)
+    bitmaps = jaccard.id_bitmap(docs, "doc_id"), jaccard.id_bitmap(docs.filter("doc_id = 0"), "doc_id")
+    one = jaccard._part_rows(docs.filter("doc_id = 0"), 90, 3).count()
+    assert jaccard._part_rows(docs, 90, 3, None, bitmaps, True).count() == one > 0
+    assert jaccard._part_rows(docs, 90, 3, None, bitmaps, False).count() == 0
+
+
+def test_bitmaps_travel_small():
+    bitmap = np.zeros(1 << 20, np.uint8)
+    bitmap[77] = 5
+    sent = pickle.dumps(jaccard.Bitmaps(bitmap, None))
+    assert len(sent) < 10_000 and (pickle.loads(sent).held[0] == bitmap).all() and pickle.loads(sent).held[1] is None
+
+
 def test_links_on_odd_rows(odd, odd_rows, none):
     got = Counter(tuple(r) for r in jaccard.link_similar(odd).collect())
     assert got == loop_components([(r[0], r[1]) for r in odd_rows], 90, 3)
