@@ -1,6 +1,7 @@
 """Column expressions and extraction on small hand-made cases."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from marginalia.functions import markup as MK
 from marginalia.functions import places as P
 from marginalia.functions import text as T
 from marginalia.operators import extract as X
+from marginalia.plans import corpus
 
 
 def value(spark, col, text):
@@ -321,3 +323,21 @@ def test_a_licence_name_is_read_once(spark):
     # Each reading looks its words up among the terms, run by run.
     assert _plan(out).count("creativecommons") == 1
     assert {r.item: r.licences and [x.licence for x in r.licences] for r in out.collect()} == {"a": ["CC0"], "b": None}
+
+
+def test_text_of_articles_is_not_dealt_out(spark):
+    """What an exchange moves has no text yet: none stands above the grouping that writes it."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        text = corpus.articles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    plan = [x for x in text.split("\n") if re.match(r"[ :]*[+:]- ", x)]  # others are lines of a literal
+    depth = [re.match(r"[ :]*[+:]- ", x).end() for x in plan]
+    assert any("collect_list" in x for x in plan)
+    for k, line in enumerate(plan):
+        if "Exchange " in line:
+            below = next((j for j in range(k + 1, len(plan)) if depth[j] <= depth[k]), len(plan))
+            assert not any("collect_list" in x for x in plan[k + 1 : below]), line
